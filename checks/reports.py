@@ -134,6 +134,15 @@ def _(v):
     return shifts(v, weight_by_qty=True)
 
 
+SHARED["x_received"] = """
+    select cd_agenda, nu_etiqueta_lote etiqueta, cd_produto, 'AGRUPADA' tp_etiqueta, qt_conferido, dt_conferencia
+    from label_grouped where cd_empresa = 1590 and cd_situacao = 23 and cd_produto <> 11
+    union all
+    select cd_agenda, nu_etiqueta, cd_produto, 'NORMAL', qt_conferido, dt_conferencia
+    from label_single
+    where cd_empresa = 1590 and cd_situacao = 23 and cd_produto <> 11 and cd_area_armaz not in (17, 9, 27)"""
+
+
 def putaway_sql(company: int) -> str:
     return f"""
     with labels as (
@@ -235,7 +244,7 @@ SHARED["x_states"] = """
 SHARED["x_all"] = """
     select numpedven, tpnota, tipo_pedido, codfiltransffat, if(codfil = 200, 'SITE', 'REDE') canal_vendas, codmodal,
            descricao, modalidade,
-           case when rota <> 'NORTE' or codmodal is null then rota
+           case when rota is distinct from 'NORTE' or codmodal is null then rota
                 when codmodal = 'COU' then 'SEDEX' when rota = 'NORTE' then 'FAVORITA' end descricaorota,
            dtalter data_aprovacao, dtpedido, dtentrega, cast(reserved_at as date) preventrega, dtlibfat_mod, familia,
            filorig, status, item, linha, numlote, numpedcomp, qtcomp, precounit, cm3 * 0.000001 cub_unit,
@@ -243,7 +252,7 @@ SHARED["x_all"] = """
            case when situacao = 'Roteiro Y' then 'ROT Y' when fllibfat = 'N' then 'VENDA FORNECEDOR'
                 when latest > timestamp '2000-01-03' then 'PROGRAMADO' when codmodal = 'INA' then 'ABA INAUGURACAO'
                 when sitcarga = 9 then 'BLOQUEADO' else status_operacao end status_operacao_gerencial,
-           cm3 * 0.000001 * qtcomp cubtotal, qtcomp * precounit valtotal, fllibfat
+           cm3 * 0.000001 * qtcomp cubtotal, cast(qtcomp as decimal(38,6)) * precounit valtotal, fllibfat
     from x_states"""
 SHARED["x_backlog"] = "select * exclude (fllibfat) from x_all where fllibfat = 'S'"
 SHARED["x_enriched"] = """

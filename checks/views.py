@@ -273,4 +273,6 @@ def with_views(sql: str, extra: dict[str, str]) -> str:
     visit(sql)
     if not needed:
         return sql
-    return "with " + ",\n".join(f"{name} as ({texts[name]})" for name in needed) + "\n" + sql
+    views = ",\n".join(f"{name} as ({texts[name]})" for name in needed)
+    body = sql.lstrip()
+    return f"with {views}" + (f",\n{body[5:]}" if body.startswith("with ") else f"\n{body}")

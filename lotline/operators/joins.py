@@ -15,6 +15,39 @@ from pyspark.sql import DataFrame, functions as F
 # A key above this share of the rows is hot; there are fewer than 1/share such keys.
 HOT_SHARE = 0.01
 
+# Most keys that ``keep_matching`` broadcasts (numbers: some 100 MB in memory).
+MAX_BROADCAST_KEYS = 2_000_000
+
+
+def _planned_bytes(df: DataFrame) -> int:
+    """Size of a result as Spark estimates it before running."""
+    return int(str(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()))
+
+
+def _broadcast_limit(df: DataFrame) -> int:
+    """``spark.sql.autoBroadcastJoinThreshold`` in bytes."""
+    return df.sparkSession._jsparkSession.sessionState().conf().autoBroadcastJoinThreshold()
+
+
+def keep_matching(
+    facts: DataFrame, partners: DataFrame, keys: Sequence[str], max_keys: int = MAX_BROADCAST_KEYS
+) -> DataFrame:
+    """``facts`` cut to the keys of ``partners`` before the join that follows, where that pays.
+
+    A report joins a short window of one table to the whole history of another. When
+    the keys of the window are counted and few, a broadcast semi join drops the rest
+    of the history inside its scan stage, ahead of any shuffle. Otherwise (more keys
+    than ``max_keys``, history small enough to be broadcast itself, broadcasts turned
+    off) ``facts`` comes back as it is and the join works as usual.
+    """
+    limit = _broadcast_limit(facts)
+    if limit < 0 or _planned_bytes(facts) <= limit:
+        return facts
+    wanted = partners.select(*keys).na.drop().distinct()
+    if wanted.count() > max_keys:
+        return facts
+    return facts.join(F.broadcast(wanted), list(keys), "left_semi")
+
 
 def first_per_key(df: DataFrame, keys: Sequence[str], order: Sequence[str], keep: Sequence[str]) -> DataFrame:
     """One row per key, the smallest by ``order`` (NULL first), then by ``keep``.

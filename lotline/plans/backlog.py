@@ -9,7 +9,7 @@ from pyspark.sql import Column, DataFrame, functions as F
 
 from lotline.functions import amounts, clock, codes
 from lotline.operators.filters import differs_or_missing
-from lotline.operators.joins import first_per_key, lookup_merge, salted_join
+from lotline.operators.joins import first_per_key, keep_matching, lookup_merge, salted_join
 
 # Codes of eligible orders.
 ORIGIN_BRANCH = 2650
@@ -160,15 +160,21 @@ def goods(t: BacklogTables, origin: int = ORIGIN_BRANCH) -> DataFrame:
     )
 
 
+def listed_orders(t: BacklogTables, origin: int = ORIGIN_BRANCH, released_only: bool = True) -> DataFrame:
+    return t.order.filter(eligible(origin) & listed(released_only))
+
+
 def backlog_lines(
     t: BacklogTables, *, origin: int = ORIGIN_BRANCH, released_only: bool = True, salts: int = 0
 ) -> DataFrame:
     """Distinct lines of the eligible orders; kits and plain items are distinct apart.
 
-    Both kinds share one join to the orders. The rows are made distinct on all their
-    columns, which combines copies before the shuffle and spreads hot orders.
+    Items of other orders are dropped first, and both kinds share one join to the
+    orders. The rows are made distinct on all their columns, which combines copies
+    before the shuffle and spreads hot orders.
     """
-    orders = release_time(t.order.filter(eligible(origin) & listed(released_only)), t.site_time)
+    chosen = listed_orders(t, origin, released_only)
+    orders = release_time(chosen, keep_matching(t.site_time, chosen, ["numpedven"]))
     orders = orders.join(t.mode.select("codmodal", F.col("descricao").alias("modalidade")), "codmodal", "left")
     orders = orders.select(
         *ORDER_KEYS,
@@ -192,7 +198,7 @@ def backlog_lines(
         "codcli",
         "dtlibfat_mod",
     )
-    items = order_items(t.item, t.kit_item)
+    items = keep_matching(order_items(t.item, t.kit_item), chosen, ORDER_KEYS)
     lines = salted_join(items, orders, ORDER_KEYS, salts=salts).join(goods(t, origin), ["coditprod", "codembal"])
     return lines.drop("tipoped", "codembal").distinct().drop("kit")
 
@@ -263,11 +269,12 @@ def order_backlog(
     """Open order lines with status, route, supply situation, volume and value."""
     lots = t.lot.select(F.col("nlote").alias("numlote"), F.col("codfil").alias("filorig"), "flseparacao")
     routes = t.area_route.select("praca", F.col("descricao").alias("rota"))
+    reserved = keep_matching(t.reservation, listed_orders(t, origin, released_only), ["codreserva"])
     lines = (
         backlog_lines(t, origin=origin, released_only=released_only, salts=salts)
         .join(lots, ["numlote", "filorig"], "left")
         .join(routes, "praca", "left")
-        .join(first_reservations(t.reservation), ["codreserva", "coditprod"], "left")
+        .join(first_reservations(reserved), ["codreserva", "coditprod"], "left")
     )
     latest = clock.latest_of(F.col("dtlibfat_mod"), F.col("dtpedido"), F.col("dtentrega"))
     derived = lines.withColumns(

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import DataFrame, functions as F
+from pyspark.sql import Column, DataFrame, functions as F
 
 from lotline.functions.codes import delivery_label
 from lotline.operators.aggregates import flag_count, pivot_sum
@@ -31,7 +31,8 @@ def pending_deliveries(delivery: DataFrame) -> DataFrame:
     return delivery.filter(kept)
 
 
-def _due_counts():
+def due_counts() -> list[Column]:
+    """Counts of deliveries due later, today, overdue, and all."""
     due = F.col("status_prazo")
     return [
         flag_count(due == LATER).alias("a_vencer"),
@@ -43,12 +44,12 @@ def _due_counts():
 
 def due_totals(delivery: DataFrame) -> DataFrame:
     """One row: pending deliveries due later, today, overdue, and all."""
-    return pending_deliveries(delivery).agg(*_due_counts())
+    return pending_deliveries(delivery).agg(*due_counts())
 
 
 def due_by_carrier(delivery: DataFrame, n: int = CARRIERS_SHOWN) -> DataFrame:
     """Pending deliveries by carrier, most due today first, then most overdue."""
-    counts = pending_deliveries(delivery).groupBy(CARRIER).agg(*_due_counts())
+    counts = pending_deliveries(delivery).groupBy(CARRIER).agg(*due_counts())
     return top_rows(counts, ["vence_hoje", "vencido"], CARRIER, n)
 
 

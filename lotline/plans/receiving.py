@@ -7,6 +7,7 @@ from collections.abc import Sequence
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from lotline.functions import clock, codes
+from lotline.operators.joins import keep_matching
 from lotline.sources.sheets import read_csv_fill
 from lotline.sources.snapshots import write_snapshot
 
@@ -53,26 +54,30 @@ def putaway_pending(
     as_of: clock.AsOf,
     company: int,
     excluded_areas: Sequence[int] = STORED_AREAS,
+    ordered: bool = True,
 ) -> DataFrame:
-    """Labels waiting to be stored, with checker, product name and age in days."""
+    """Labels waiting to be stored, with checker, product name and age in days.
+
+    ``ordered=False`` leaves out the global sort, for results that are stored.
+    """
     labels = received_labels(label_grouped, label_single, company=company, excluded_areas=excluded_areas)
     checkers = employee.select(F.col("cd_funcionario").alias("cd_func_conferencia"), "nm_funcionario")
-    return (
-        labels.join(checkers, "cd_func_conferencia")
-        .join(product.select("cd_produto", "ds_produto"), "cd_produto", "left")
-        .orderBy("dt_conferencia", "etiqueta", "cd_produto", "cd_agenda", "tp_etiqueta")
-        .select(
-            clock.minute_text(F.col("dt_conferencia")).alias("data_entrada"),
-            "cd_agenda",
-            "etiqueta",
-            clock.age_days(as_of, F.col("dt_addrow")).alias("dias"),
-            "cd_produto",
-            "ds_produto",
-            "nm_funcionario",
-            "qt_conferido",
-            "tp_etiqueta",
-            "cd_endereco",
-        )
+    rows = labels.join(checkers, "cd_func_conferencia").join(
+        product.select("cd_produto", "ds_produto"), "cd_produto", "left"
+    )
+    if ordered:
+        rows = rows.orderBy("dt_conferencia", "etiqueta", "cd_produto", "cd_agenda", "tp_etiqueta")
+    return rows.select(
+        clock.minute_text(F.col("dt_conferencia")).alias("data_entrada"),
+        "cd_agenda",
+        "etiqueta",
+        clock.age_days(as_of, F.col("dt_addrow")).alias("dias"),
+        "cd_produto",
+        "ds_produto",
+        "nm_funcionario",
+        "qt_conferido",
+        "tp_etiqueta",
+        "cd_endereco",
     )
 
 
@@ -93,14 +98,13 @@ def open_appointments(
     """
     keys = ["cd_empresa", "cd_agenda"]
     lines = receipt.filter((F.col("cd_empresa") == company) & F.col("cd_situacao").isin(*OPEN_RECEIPTS))
-    rows = (
-        divergent.filter(F.col("cd_empresa") == company)
-        .select(*keys)
-        .join(lines.select(*keys, "cd_produto_master", "qt_produto", "qt_recebido", "qt_sobra"), keys)
-        .join(appointment.select(*keys, "id_agenda_externa", "dt_agendamento"), keys, "left")
-    )
+    listed = divergent.filter(F.col("cd_empresa") == company).select(*keys)
+    lines = keep_matching(lines, listed, keys).select(*keys, "cd_produto_master", "qt_produto", "qt_recebido", "qt_sobra")
+    visits = appointment.filter(F.col("cd_empresa") == company).select(*keys, "id_agenda_externa", "dt_agendamento")
+    rows = listed.join(lines, keys).join(keep_matching(visits, listed, keys), keys, "left")
     if not dedupe_invoices:
-        rows = rows.join(invoice.select(*keys), keys, "left")
+        bills = invoice.filter(F.col("cd_empresa") == company).select(*keys)
+        rows = rows.join(keep_matching(bills, listed, keys), keys, "left")
     names = product.select(F.col("cd_produto").alias("cd_produto_master"), "ds_produto")
     return rows.join(names, "cd_produto_master", "left").select(
         "cd_empresa",

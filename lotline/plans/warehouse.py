@@ -8,7 +8,7 @@ from pyspark.sql import Column, DataFrame, functions as F
 
 from lotline.functions import amounts, clock, codes, display
 from lotline.operators.filters import recent, recent_business_days
-from lotline.operators.joins import salted_join
+from lotline.operators.joins import keep_matching, salted_join
 
 # Fixed values of the warehouse: company, states and codes.
 COMPANY = 12650
@@ -37,8 +37,9 @@ def programmed_lots(
 ) -> DataFrame:
     """Per lot: first date, lowest state, quantity and volume to pick, orders.
 
-    Lines are summed per order before they meet the headers, so an order with very
-    many lines is combined on the map side and both steps use one partitioning.
+    Lines of other periods are dropped first. The rest is summed per order before it
+    meets the headers, so an order with very many lines is combined on the map side
+    and both steps use one partitioning.
     """
     headers = order_header.filter(
         (F.col("cd_empresa") == company)
@@ -47,6 +48,7 @@ def programmed_lots(
     ).select("nu_pedido_origem", "cd_carga", "dt_addrow", "cd_situacao")
 
     lines = order_line.filter((F.col("cd_empresa") == company) & (F.col("cd_situacao") != CANCELLED))
+    lines = keep_matching(lines, headers, ["nu_pedido_origem"])
     lines = lines.join(_piece_volumes(product), "cd_produto").select(
         "nu_pedido_origem",
         (F.col("cd_situacao") != CLOSED).alias("open"),
@@ -187,7 +189,8 @@ def shift_production(
 ) -> DataFrame:
     """Picked quantity and volume by business date, lot, shift and hour."""
     recent_picks = pick.filter(recent_business_days(F.col("dt_separacao"), as_of, window_days))
-    rows = production_rows(recent_picks, order_header, product, company=company, weight_by_qty=weight_by_qty)
+    headers = keep_matching(order_header, recent_picks, ["nu_pedido"])
+    rows = production_rows(recent_picks, headers, product, company=company, weight_by_qty=weight_by_qty)
     at = F.col("dt_separacao")
     return (
         rows.groupBy(
@@ -287,19 +290,23 @@ def pick_productivity(
     window_days: int = 7,
     company: int = COMPANY,
     salts: int = 0,
+    ordered: bool = True,
 ) -> DataFrame:
     """Picks by worker, address, product and second over the last business days.
 
     ``location`` is the result of ``location_profile``. Rows are summed by the keys
     of the pick alone; names and address parts follow from them and are attached to
     the sums. The names of product, worker, family and line must be unique by key.
+    ``ordered=False`` leaves out the global sort, for results that are stored.
     """
     at = F.col("dt_separacao")
     recent_picks = pick.filter(
         recent_business_days(at, as_of, window_days) & ~F.col("cd_endereco").startswith(UNCOUNTED_ADDRESS)
     )
-    done = picks_of_tasks(recent_picks, task, company=company, salts=salts)
+    tasks = keep_matching(task, recent_picks, ["nu_tarefa"])
+    done = picks_of_tasks(recent_picks, tasks, company=company, salts=salts)
     origin = order_header.filter(F.col("cd_empresa") == company).select("nu_pedido", "nu_pedido_origem")
+    origin = keep_matching(origin, recent_picks, ["nu_pedido"])
     sums = (
         done.join(origin, "nu_pedido", "left")
         .groupBy(
@@ -331,7 +338,9 @@ def pick_productivity(
         .join(line.select("cd_linha", "ds_linha"), "cd_linha", "left")
         .withColumn("m3", F.col("qtde_separada").cast("decimal(22,6)") * F.col("unit_m3"))
     )
-    return named.orderBy("cd_funcionario", "dt_separacao", "nu_tarefa", "cd_endereco", "cd_produto").select(
+    if ordered:
+        named = named.orderBy("cd_funcionario", "dt_separacao", "nu_tarefa", "cd_endereco", "cd_produto")
+    return named.select(
         F.lit(company).alias("cd"),
         "rua",
         "cd_endereco",

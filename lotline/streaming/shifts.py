@@ -39,14 +39,16 @@ def hourly_production(
     )
 
 
-def store_hours(hours: DataFrame, path: str, checkpoint: str, *, once: bool = False) -> StreamingQuery:
-    """Store the changed hours of each batch in their own directory.
+def store_hours(
+    hours: DataFrame, path: str, checkpoint: str, *, once: bool = False, files: int = 8
+) -> StreamingQuery:
+    """Store the changed hours of each batch in their own directory of ``files`` files.
 
     A repeated batch overwrites its directory, so nothing is counted twice.
     """
 
     def store(batch: DataFrame, batch_id: int) -> None:
-        batch.write.mode("overwrite").parquet(f"{path}/lote_id={batch_id}")
+        batch.repartition(files, "inicio", "cd_carga").write.mode("overwrite").parquet(f"{path}/lote_id={batch_id}")
 
     writer = hours.writeStream.outputMode("update").foreachBatch(store).option("checkpointLocation", checkpoint)
     writer = writer.trigger(availableNow=True) if once else writer.trigger(processingTime="1 minute")
