@@ -796,10 +796,10 @@ def _(v):
 @check(
     "trunc_num",
     """select nu_pedido, cast(trunc(x * 100) as double) / 100 + 0.0::double cortado
-       from (select nu_pedido, (qt_separado - 30) / 7.0 x from pick_event)""",
+       from (select nu_pedido, (qt_separado - 30) * 0.123 x from pick_event)""",
 )
 def _(v):
-    value = ((F.col("qt_separado") - 30) / F.lit(7).cast("decimal(3,1)")).cast("decimal(20,9)")
+    value = ((F.col("qt_separado") - 30) * F.lit(0.123).cast("decimal(4,3)")).cast("decimal(20,9)")
     return v.pick_event.select("nu_pedido", amounts.truncate_number(value).alias("cortado"))
 
 

@@ -35,16 +35,22 @@ def tables(v: Views) -> backlog.BacklogTables:
 
 
 def lots(v: Views, **options):
+    if "lot_status" in v.results:
+        return v.read_stored("lot_status")
     return warehouse.lot_status(
         v.order_header, v.order_line, v.product, v.pick_lot, as_of=LOT_AS_OF, window_days=LOT_DAYS, **options
     )
 
 
 def orders_listed(v: Views, **options):
+    if "order_backlog" in v.results:
+        return v.read_stored("order_backlog")
     return backlog.order_backlog(tables(v), as_of=BACKLOG_AS_OF, **options)
 
 
 def enriched(v: Views):
+    if "backlog_enriched" in v.results:
+        return v.read_stored("backlog_enriched")
     return backlog.enrich_backlog(orders_listed(v), v.mode_map, v.branch_map, v.city_map)
 
 

@@ -10,6 +10,7 @@ from __future__ import annotations
 import re
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql.types import StructType
 
 BASE = ("region", "nation", "customer", "supplier", "part", "orders", "lineitem", "events")
 
@@ -229,6 +230,10 @@ VIEWS = {
 }
 
 
+# Schemas of stored views, read once as a catalog would keep them.
+_STORED_SCHEMAS: dict[str, StructType] = {}
+
+
 def _sources(name: str) -> list[str]:
     return re.findall(r"\{(\w+)\}", VIEWS[name])
 
@@ -236,8 +241,10 @@ def _sources(name: str) -> list[str]:
 class Views:
     """The tables and views of one data directory as DataFrames, built when first used."""
 
-    def __init__(self, spark: SparkSession, sf_dir: str, stored: str | None = None):
-        self.spark, self.sf_dir, self.stored = spark, sf_dir, stored
+    def __init__(
+        self, spark: SparkSession, sf_dir: str, stored: str | None = None, results: tuple[str, ...] = ()
+    ):
+        self.spark, self.sf_dir, self.stored, self.results = spark, sf_dir, stored, results
         self._built: dict[str, DataFrame] = {}
 
     def __getattr__(self, name: str) -> DataFrame:
@@ -251,10 +258,16 @@ class Views:
         if name not in VIEWS:
             raise AttributeError(name)
         if self.stored:
-            return self.spark.read.parquet(f"{self.stored}/{name}")
+            return self.read_stored(name)
         sources = {source: getattr(self, source) for source in _sources(name)}
         return self.spark.sql(VIEWS[name], **sources)
 
+    def read_stored(self, name: str) -> DataFrame:
+        path = f"{self.stored}/{name}"
+        if path not in _STORED_SCHEMAS:
+            _STORED_SCHEMAS[path] = self.spark.read.parquet(path).schema
+        return self.spark.read.schema(_STORED_SCHEMAS[path]).parquet(path)
+
 
 def with_views(sql: str, extra: dict[str, str]) -> str:
     """``sql`` for DuckDB with the views it needs in front, in order of use."""

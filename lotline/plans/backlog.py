@@ -70,6 +70,32 @@ BACKLOG_COLUMNS = (
 
 ORDER_KEYS = ["codfil", "tipoped", "numpedven"]
 
+# Columns of an order and of its goods that tell two lines apart.
+ORDER_COLUMNS = (
+    "numpedven",
+    "codfil",
+    "tipo_pedido",
+    "tpnota",
+    "filorig",
+    "dtpedido",
+    "fllibfat",
+    "numlote",
+    "dtentrega",
+    "codfiltransffat",
+    "dtlibfat",
+    "sitcarga",
+    "codreserva",
+    "dtalter",
+    "praca",
+    "numpedcli",
+    "codrota",
+    "codmodal",
+    "modalidade",
+    "codcli",
+    "dtlibfat_mod",
+)
+GOODS_COLUMNS = ("item", "descricao", "cub_unit", "linha", "familia")
+
 
 @dataclass(frozen=True)
 class BacklogTables:
@@ -171,36 +197,19 @@ def backlog_lines(
 
     Items of other orders are dropped first, and both kinds share one join to the
     orders. The rows are made distinct on all their columns, which combines copies
-    before the shuffle and spreads hot orders.
+    before the shuffle and spreads hot orders; columns of one side travel as a struct,
+    which keeps the generated code of that step short.
     """
     chosen = listed_orders(t, origin, released_only)
     orders = release_time(chosen, keep_matching(t.site_time, chosen, ["numpedven"]))
     orders = orders.join(t.mode.select("codmodal", F.col("descricao").alias("modalidade")), "codmodal", "left")
-    orders = orders.select(
-        *ORDER_KEYS,
-        "tpnota",
-        codes.decode_values(F.col("tipoped"), ORDER_KINDS).alias("tipo_pedido"),
-        "filorig",
-        "dtpedido",
-        "fllibfat",
-        "numlote",
-        "dtentrega",
-        "codfiltransffat",
-        "dtlibfat",
-        "sitcarga",
-        "codreserva",
-        "dtalter",
-        "praca",
-        "numpedcli",
-        "codrota",
-        "codmodal",
-        "modalidade",
-        "codcli",
-        "dtlibfat_mod",
-    )
+    orders = orders.withColumn("tipo_pedido", codes.decode_values(F.col("tipoped"), ORDER_KINDS))
+    orders = orders.select(*ORDER_KEYS, F.struct(*ORDER_COLUMNS).alias("ordered"))
+    stock = goods(t, origin).select("coditprod", "codembal", F.struct(*GOODS_COLUMNS).alias("good"))
     items = keep_matching(order_items(t.item, t.kit_item), chosen, ORDER_KEYS)
-    lines = salted_join(items, orders, ORDER_KEYS, salts=salts).join(goods(t, origin), ["coditprod", "codembal"])
-    return lines.drop("tipoped", "codembal").distinct().drop("kit")
+    lines = salted_join(items, orders, ORDER_KEYS, salts=salts).join(stock, ["coditprod", "codembal"])
+    lines = lines.select("ordered", "good", "kit", "coditprod", "qtcomp", "precounit").distinct()
+    return lines.select("ordered.*", "good.*", "coditprod", "qtcomp", "precounit")
 
 
 def line_status() -> Column:
