@@ -102,16 +102,17 @@ def salted_join(
 ) -> DataFrame:
     """Inner or left equi join that spreads the hot keys of ``left`` over ``salts`` tasks.
 
-    Rows of a hot key get a salt from their content; only the matching rows of
-    ``right`` are copied once per salt. With ``salts`` below 2 it is a plain join.
-    The hot keys are broadcast; ``share`` bounds their number.
+    Rows of a hot key get a salt from their content and input partition, which a
+    repeated task finds again and which spreads equal rows too; only the matching
+    rows of ``right`` are copied once per salt. With ``salts`` below 2 it is a plain
+    join. The hot keys are broadcast; ``share`` bounds their number.
     """
     if how not in ("inner", "left"):
         raise ValueError("salted_join supports inner and left joins")
     if salts < 2:
         return left.join(right, list(keys), how)
     hot = F.broadcast(hot_keys(left, keys, share).withColumn("_hot", F.lit(True)))
-    spread = F.pmod(F.xxhash64(*left.columns), F.lit(salts)).cast("int")
+    spread = F.pmod(F.xxhash64(*left.columns, F.spark_partition_id()), F.lit(salts)).cast("int")
     salted_left = left.join(hot, list(keys), "left").withColumn(
         "_salt", F.when(F.col("_hot"), spread).otherwise(0)
     )

@@ -31,22 +31,37 @@ def _files(spark: SparkSession, path: str):
     hadoop = jvm.org.apache.hadoop.fs
     conf = spark._jsc.hadoopConfiguration()
     uri = hadoop.Path(path).toUri()
-    context = hadoop.FileContext.getFileContext(uri, conf) if uri.getScheme() else hadoop.FileContext.getFileContext(conf)
-    return context, hadoop
+    if uri.getScheme():
+        return hadoop.FileContext.getFileContext(uri, conf), hadoop
+    return hadoop.FileContext.getFileContext(conf), hadoop
 
 
-def _publish(spark: SparkSession, path: str, version: str) -> None:
-    """Point ``path`` at ``version``; the rename replaces the old pointer at once."""
+def _versions(spark: SparkSession, path: str) -> list[str]:
+    """Published snapshot and the one before it, newest first; empty when nothing was published."""
     context, hadoop = _files(spark, path)
+    if not context.util().exists(hadoop.Path(f"{path}/{POINTER}")):
+        return []
+    return spark.read.text(f"{path}/{POINTER}", wholetext=True).first()[0].split()
+
+
+def _drop(spark: SparkSession, path: str, version: str) -> None:
+    context, hadoop = _files(spark, path)
+    context.delete(hadoop.Path(f"{path}/{version}"), True)
+
+
+def _publish(spark: SparkSession, path: str, versions: list[str]) -> None:
+    """Name the versions in the pointer file; the rename replaces the old one at once."""
+    context, hadoop = _files(spark, path)
+    gateway = spark.sparkContext._gateway
     options = spark._jvm.org.apache.hadoop.fs.Options
-    draft = hadoop.Path(f"{path}/.{version}.pointer")
-    create = spark._sc._gateway.new_array(spark._jvm.org.apache.hadoop.fs.Options.CreateOpts, 1)
+    draft = hadoop.Path(f"{path}/.{versions[0]}.pointer")
+    create = gateway.new_array(options.CreateOpts, 1)
     create[0] = options.CreateOpts.createParent()
     flags = spark._jvm.java.util.EnumSet.of(hadoop.CreateFlag.CREATE, hadoop.CreateFlag.OVERWRITE)
     stream = context.create(draft, flags, create)
-    stream.write(bytearray(version, "utf-8"))
+    stream.write(bytearray("\n".join(versions), "utf-8"))
     stream.close()
-    replace = spark._sc._gateway.new_array(options.Rename, 1)
+    replace = gateway.new_array(options.Rename, 1)
     replace[0] = options.Rename.OVERWRITE
     context.rename(draft, hadoop.Path(f"{path}/{POINTER}"), replace)
 
@@ -54,7 +69,8 @@ def _publish(spark: SparkSession, path: str, version: str) -> None:
 def write_snapshot(df: DataFrame, path: str, fmt: str = "parquet", header: bool = False) -> int:
     """Replace what ``path`` holds by ``df`` and return the number of rows written.
 
-    CSV is written as text cells, with a header row only when asked for.
+    CSV is written as text cells, with a header row only when asked for. The snapshot
+    before stays for readers that have begun; older ones are removed.
     """
     spark = df.sparkSession
     version = f"snapshot-{uuid.uuid4().hex}"
@@ -63,18 +79,30 @@ def write_snapshot(df: DataFrame, path: str, fmt: str = "parquet", header: bool
     writer = out.observe(written, F.count(F.lit(1)).alias("rows")).write.format(fmt)
     if fmt == "csv":
         writer = writer.option("header", header)
-    writer.save(f"{path}/{version}")
-    _publish(spark, path, version)
+    try:
+        writer.save(f"{path}/{version}")
+    except Exception:
+        _drop(spark, path, version)
+        raise
+    earlier = _versions(spark, path)
+    _publish(spark, path, [version, *earlier[:1]])
+    for old in earlier[1:]:
+        _drop(spark, path, old)
     return written.get["rows"]
 
 
 def current_snapshot(spark: SparkSession, path: str) -> str:
     """Directory of the published snapshot; raises when nothing was published."""
-    pointer = spark.read.text(f"{path}/{POINTER}", wholetext=True).first()
-    return f"{path}/{pointer[0].strip()}"
+    versions = _versions(spark, path)
+    if not versions:
+        raise FileNotFoundError(f"no snapshot at {path}")
+    return f"{path}/{versions[0]}"
 
 
-def read_snapshot(spark: SparkSession, path: str, schema: str | None = None, fmt: str = "parquet", header: bool = False) -> DataFrame:
+def read_snapshot(
+    spark: SparkSession, path: str, schema: str | None = None, fmt: str = "parquet", header: bool = False
+) -> DataFrame:
+    """The published snapshot."""
     reader = spark.read.format(fmt)
     if schema:
         reader = reader.schema(schema)

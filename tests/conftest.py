@@ -12,9 +12,8 @@ SF_DIR = "/root/testdata/sf0.001"
 
 @pytest.fixture(scope="session")
 def spark(tmp_path_factory):
-    spark = session("4")
+    spark = session("4", {"spark.checkpoint.dir": str(tmp_path_factory.mktemp("shared"))})
     spark.sparkContext.setLogLevel("ERROR")
-    spark.conf.set("spark.checkpoint.dir", str(tmp_path_factory.mktemp("shared")))
     spark.conf.set("spark.sql.shuffle.partitions", "4")
     yield spark
     spark.stop()

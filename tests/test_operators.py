@@ -62,6 +62,22 @@ def test_salted_join_equals_plain_join(spark, how):
     assert placed.count() == plain.count()
 
 
+def test_salted_join_spreads_equal_rows_of_a_hot_key(spark):
+    left = spark.range(0, 3000, 1, 16).select(F.when(F.col("id") % 3 == 0, 1).otherwise(F.col("id")).alias("k"))
+    right = left.distinct().withColumn("name", F.col("k") * 2)
+    joined = joins.salted_join(left, right, ["k"], salts=8)
+    assert joined.count() == 3000 and joined.filter("k = 1 and name = 2").count() == 1001
+    before = spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", "false")
+    try:
+        sizes = joins.salted_join(left, right, ["k"], salts=8).groupBy(F.spark_partition_id()).count()
+        assert max(r[1] for r in rows(sizes)) < 2000
+    finally:
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", before)
+        spark.conf.unset("spark.sql.adaptive.coalescePartitions.enabled")
+
+
 def test_salted_join_rejects_other_kinds(spark):
     with pytest.raises(ValueError):
         joins.salted_join(spark.range(1), spark.range(1), ["id"], "full", salts=2)

@@ -1,5 +1,7 @@
 """Sources, sinks and streams on new directories."""
 
+import os
+
 import pytest
 from pyspark.sql import functions as F
 
@@ -78,6 +80,13 @@ def test_snapshot_is_replaced_and_survives_a_failed_run(spark):
     assert write_snapshot(spark.range(2).toDF("x"), path) == 2
     assert rows(read_snapshot(spark, path)) == [(0,), (1,)]
     assert rows(spark.read.parquet(first)) == [(i,) for i in range(5)]
+    write_snapshot(spark.range(1).toDF("x"), path)
+    assert sorted(os.listdir(path)) == sorted(
+        ["CURRENT", ".CURRENT.crc", *(x for x in os.listdir(path) if x.startswith("snapshot-"))]
+    )
+    assert len([x for x in os.listdir(path) if x.startswith("snapshot-")]) == 2
+    with pytest.raises(FileNotFoundError):
+        current_snapshot(spark, scratch_dir(spark, "none"))
 
 
 def test_snapshot_csv_header(spark):
