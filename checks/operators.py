@@ -737,7 +737,8 @@ def _(v):
         from x_lines where fllibfat = 'S' and codfiltransffat <> 98""",
 )
 def _(v):
-    return backlog.backlog_lines(reports.tables(v)).select(
+    t = reports.tables(v)
+    return backlog.backlog_lines(t, backlog.listed_orders(t)).select(
         "numpedven", "item", "qtcomp", "precounit", "familia", "modalidade", "dtlibfat_mod"
     )
 

@@ -492,7 +492,7 @@ def _(v):
     with t as (select cast(sum(cubtotal) as double) m3 from x_enriched),
     r as (select 'Carteira Atual' tipo, m3 valor from t union all select 'Capacidade', 1061.0::double
           union all select 'Dias Em Carteira', m3 / 1061 from t)
-    select tipo, valor, {ptbr('valor', 1)} valor_texto from r""",
+    select tipo, valor, if(tipo = 'Capacidade', '1061', {ptbr('valor', 1)}) valor_texto from r""",
 )
 def _(v):
     return backlog_views.days_in_backlog(enriched(v), display=True)
@@ -545,24 +545,25 @@ def _(v):
 @check(
     "closing_top_lots",
     f"""
-    select l.lote, {n6('valtotal')} valtotal, pendente_sep, pendente_conf
+    select l.lote, {n6('valtotal')} valtotal, pendente_sep, pendente_conf, {ptbr('valtotal', 0)} valtotal_texto
     from (select numlote, sum(valtotal) valtotal from x_sales
           where status_operacao = 'EM PROCESSO' and status <> '6-Conferido Aguardando Fat'
           group by numlote order by 2 desc, 1 limit 10) t
     left join x_lots l on l.lote = t.numlote""",
 )
 def _(v):
-    return closing.closing_top_lots(orders_listed(v), lots(v))
+    return closing.closing_top_lots(orders_listed(v), lots(v), display=True)
 
 
 @check(
     "closing_top_orders",
     f"""
-    select numpedven, {n6('sum(valtotal)')} valtotal from x_sales where status_operacao <> 'EM PROCESSO'
+    select numpedven, {n6('sum(valtotal)')} valtotal, {ptbr('sum(valtotal)', 0)} valtotal_texto
+    from x_sales where status_operacao <> 'EM PROCESSO'
     group by numpedven order by sum(valtotal) desc, numpedven limit 10""",
 )
 def _(v):
-    return closing.closing_top_orders(orders_listed(v))
+    return closing.closing_top_orders(orders_listed(v), display=True)
 
 
 @check(
@@ -577,10 +578,11 @@ def _(v):
     "result_vs_target",
     f"""
     select {n6('sum(valtotal)')} resultado, {i8('1952000')} meta, {n6('sum(valtotal) - 1952000')} dif,
-           sum(valtotal) > 1952000 acima from x_sales""",
+           sum(valtotal) > 1952000 acima, {ptbr('sum(valtotal)', 0)} resultado_texto, '1.952.000' meta_texto,
+           {ptbr('sum(valtotal) - 1952000', 0)} dif_texto from x_sales""",
 )
 def _(v):
-    return closing.result_vs_target(orders_listed(v))
+    return closing.result_vs_target(orders_listed(v), display=True)
 
 
 SHARED["x_pending"] = """

@@ -9,13 +9,14 @@ partitions. ``salted_join`` spreads hot keys explicitly where that is not enough
 from __future__ import annotations
 
 from collections.abc import Mapping, Sequence
+from functools import cached_property
 
 from pyspark.sql import DataFrame, functions as F
 
 # A key above this share of the rows is hot; there are fewer than 1/share such keys.
 HOT_SHARE = 0.01
 
-# Most keys that ``keep_matching`` broadcasts (numbers: some 100 MB in memory).
+# Most keys that a window broadcasts (numbers: some 100 MB in memory).
 MAX_BROADCAST_KEYS = 2_000_000
 
 
@@ -29,24 +30,38 @@ def _broadcast_limit(df: DataFrame) -> int:
     return df.sparkSession._jsparkSession.sessionState().conf().autoBroadcastJoinThreshold()
 
 
-def keep_matching(
-    facts: DataFrame, partners: DataFrame, keys: Sequence[str], max_keys: int = MAX_BROADCAST_KEYS
-) -> DataFrame:
-    """``facts`` cut to the keys of ``partners`` before the join that follows, where that pays.
+class Window:
+    """Rows of a short period or selection that a report joins to whole tables.
 
-    A report joins a short window of one table to the whole history of another. When
-    the keys of the window are counted and few, a broadcast semi join drops the rest
-    of the history inside its scan stage, ahead of any shuffle. Otherwise (more keys
-    than ``max_keys``, history small enough to be broadcast itself, broadcasts turned
-    off) ``facts`` comes back as it is and the join works as usual.
+    Its keys are broadcast to cut those tables before the join, but only after they
+    were counted; the rows are counted once for all tables.
     """
-    limit = _broadcast_limit(facts)
-    if limit < 0 or _planned_bytes(facts) <= limit:
-        return facts
-    wanted = partners.select(*keys).na.drop().distinct()
-    if wanted.count() > max_keys:
-        return facts
-    return facts.join(F.broadcast(wanted), list(keys), "left_semi")
+
+    def __init__(self, rows: DataFrame, max_keys: int = MAX_BROADCAST_KEYS):
+        self.rows, self.max_keys = rows, max_keys
+
+    @cached_property
+    def _row_count(self) -> int:
+        return self.rows.count()
+
+    def _few(self, wanted: DataFrame) -> bool:
+        return self._row_count <= self.max_keys or wanted.count() <= self.max_keys
+
+    def cut(self, facts: DataFrame, keys: Sequence[str]) -> DataFrame:
+        """``facts`` without rows whose keys are not in the window, where that pays.
+
+        When the keys are few, a broadcast semi join drops the rest of the table
+        inside its scan stage, ahead of any shuffle. Otherwise (more than
+        ``max_keys`` keys, a table small enough to be broadcast itself, broadcasts
+        turned off) ``facts`` comes back as it is and the join works as usual.
+        """
+        limit = _broadcast_limit(facts)
+        if limit < 0 or _planned_bytes(facts) <= limit:
+            return facts
+        wanted = self.rows.select(*keys).na.drop().distinct()
+        if not self._few(wanted):
+            return facts
+        return facts.join(F.broadcast(wanted), list(keys), "left_semi")
 
 
 def first_per_key(df: DataFrame, keys: Sequence[str], order: Sequence[str], keep: Sequence[str]) -> DataFrame:

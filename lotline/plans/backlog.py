@@ -9,7 +9,7 @@ from pyspark.sql import Column, DataFrame, functions as F
 
 from lotline.functions import amounts, clock, codes
 from lotline.operators.filters import differs_or_missing
-from lotline.operators.joins import first_per_key, keep_matching, lookup_merge, salted_join
+from lotline.operators.joins import Window, first_per_key, lookup_merge, salted_join
 
 # Codes of eligible orders.
 ORIGIN_BRANCH = 2650
@@ -186,27 +186,27 @@ def goods(t: BacklogTables, origin: int = ORIGIN_BRANCH) -> DataFrame:
     )
 
 
-def listed_orders(t: BacklogTables, origin: int = ORIGIN_BRANCH, released_only: bool = True) -> DataFrame:
-    return t.order.filter(eligible(origin) & listed(released_only))
+def listed_orders(t: BacklogTables, origin: int = ORIGIN_BRANCH, released_only: bool = True) -> Window:
+    """Orders the backlog is about; they also tell which rows of other tables matter."""
+    return Window(t.order.filter(eligible(origin) & listed(released_only)))
 
 
 def backlog_lines(
-    t: BacklogTables, *, origin: int = ORIGIN_BRANCH, released_only: bool = True, salts: int = 0
+    t: BacklogTables, chosen: Window, *, origin: int = ORIGIN_BRANCH, salts: int = 0
 ) -> DataFrame:
-    """Distinct lines of the eligible orders; kits and plain items are distinct apart.
+    """Distinct lines of the chosen orders; kits and plain items are distinct apart.
 
     Items of other orders are dropped first, and both kinds share one join to the
     orders. The rows are made distinct on all their columns, which combines copies
     before the shuffle and spreads hot orders; columns of one side travel as a struct,
     which keeps the generated code of that step short.
     """
-    chosen = listed_orders(t, origin, released_only)
-    orders = release_time(chosen, keep_matching(t.site_time, chosen, ["numpedven"]))
+    orders = release_time(chosen.rows, chosen.cut(t.site_time, ["numpedven"]))
     orders = orders.join(t.mode.select("codmodal", F.col("descricao").alias("modalidade")), "codmodal", "left")
     orders = orders.withColumn("tipo_pedido", codes.decode_values(F.col("tipoped"), ORDER_KINDS))
     orders = orders.select(*ORDER_KEYS, F.struct(*ORDER_COLUMNS).alias("ordered"))
     stock = goods(t, origin).select("coditprod", "codembal", F.struct(*GOODS_COLUMNS).alias("good"))
-    items = keep_matching(order_items(t.item, t.kit_item), chosen, ORDER_KEYS)
+    items = chosen.cut(order_items(t.item, t.kit_item), ORDER_KEYS)
     lines = salted_join(items, orders, ORDER_KEYS, salts=salts).join(stock, ["coditprod", "codembal"])
     lines = lines.select("ordered", "good", "kit", "coditprod", "qtcomp", "precounit").distinct()
     return lines.select("ordered.*", "good.*", "coditprod", "qtcomp", "precounit")
@@ -278,12 +278,12 @@ def order_backlog(
     """Open order lines with status, route, supply situation, volume and value."""
     lots = t.lot.select(F.col("nlote").alias("numlote"), F.col("codfil").alias("filorig"), "flseparacao")
     routes = t.area_route.select("praca", F.col("descricao").alias("rota"))
-    reserved = keep_matching(t.reservation, listed_orders(t, origin, released_only), ["codreserva"])
+    chosen = listed_orders(t, origin, released_only)
     lines = (
-        backlog_lines(t, origin=origin, released_only=released_only, salts=salts)
+        backlog_lines(t, chosen, origin=origin, salts=salts)
         .join(lots, ["numlote", "filorig"], "left")
         .join(routes, "praca", "left")
-        .join(first_reservations(reserved), ["codreserva", "coditprod"], "left")
+        .join(first_reservations(chosen.cut(t.reservation, ["codreserva"])), ["codreserva", "coditprod"], "left")
     )
     latest = clock.latest_of(F.col("dtlibfat_mod"), F.col("dtpedido"), F.col("dtentrega"))
     derived = lines.withColumns(

@@ -10,7 +10,7 @@ from collections.abc import Sequence
 
 from pyspark.sql import DataFrame, functions as F
 
-from lotline.functions.display import with_display
+from lotline.functions.display import SUFFIX, fmt_ptbr, with_display
 from lotline.operators.aggregates import conditional_sum, group_sums, pivot_margin, pivot_sum, total_row
 from lotline.operators.ordering import first_rows, top_rows
 from lotline.plans.backlog import IN_PICKING, RELEASED
@@ -60,7 +60,10 @@ def days_in_backlog(enriched: DataFrame, capacity: int = CAPACITY, display: bool
         f"stack(3, 'Carteira Atual', m3, 'Capacidade', cast({int(capacity)} as double), "
         f"'Dias Em Carteira', m3 / {int(capacity)}) as (tipo, valor)"
     )
-    return _shown(rows, {"valor": "CUBAGEM"}, display)
+    if not display:
+        return rows
+    text = F.when(F.col("tipo") == "Capacidade", str(int(capacity))).otherwise(fmt_ptbr(F.col("valor"), "CUBAGEM"))
+    return rows.withColumn("valor" + SUFFIX, text)
 
 
 def mode_names(modes: DataFrame) -> list[str]:

@@ -38,21 +38,23 @@ def top_lots_by_value(backlog: DataFrame, n: int = SHOWN) -> DataFrame:
     return top_rows(group_sums(in_process, "numlote", {"valtotal": "valtotal"}), ["valtotal"], "numlote", n)
 
 
-def closing_top_lots(backlog: DataFrame, lot_status: DataFrame) -> DataFrame:
+def closing_top_lots(backlog: DataFrame, lot_status: DataFrame, display: bool = False) -> DataFrame:
     """The top lots with what is still to pick and check; ``lote`` is NULL without lot status."""
     pending = lot_status.select("lote", "pendente_sep", "pendente_conf")
     top = top_lots_by_value(backlog)
-    return (
+    rows = (
         top.join(pending, top.numlote == pending.lote, "left")
         .orderBy(F.desc("valtotal"), "numlote")
         .select("lote", "valtotal", "pendente_sep", "pendente_conf")
     )
+    return with_display(rows, {"valtotal": "NORMAL"}) if display else rows
 
 
-def closing_top_orders(backlog: DataFrame) -> DataFrame:
+def closing_top_orders(backlog: DataFrame, display: bool = False) -> DataFrame:
     """The orders not in process with the largest sales value."""
     waiting = sales_not_scheduled(backlog).filter(differs_or_missing(F.col("status_operacao"), IN_PROCESS))
-    return top_rows(group_sums(waiting, "numpedven", {"valtotal": "valtotal"}), ["valtotal"], "numpedven", SHOWN)
+    rows = top_rows(group_sums(waiting, "numpedven", {"valtotal": "valtotal"}), ["valtotal"], "numpedven", SHOWN)
+    return with_display(rows, {"valtotal": "NORMAL"}) if display else rows
 
 
 def lots_to_invoice(backlog: DataFrame) -> DataFrame:
@@ -61,9 +63,10 @@ def lots_to_invoice(backlog: DataFrame) -> DataFrame:
     return checked.agg(F.countDistinct("numlote").alias("lotes_para_faturar"))
 
 
-def result_vs_target(backlog: DataFrame, target: int = TARGET) -> DataFrame:
+def result_vs_target(backlog: DataFrame, target: int = TARGET, display: bool = False) -> DataFrame:
     """Sales value, target, difference, and whether the target was passed."""
     result = F.coalesce(F.sum("valtotal"), F.lit(0))
     total = sales_not_scheduled(backlog).agg(result.alias("resultado"))
     gap = F.col("resultado") - target
-    return total.select("resultado", F.lit(target).alias("meta"), gap.alias("dif"), (gap > 0).alias("acima"))
+    row = total.select("resultado", F.lit(target).alias("meta"), gap.alias("dif"), (gap > 0).alias("acima"))
+    return with_display(row, dict.fromkeys(["resultado", "meta", "dif"], "NORMAL")) if display else row

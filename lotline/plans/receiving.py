@@ -7,7 +7,7 @@ from collections.abc import Sequence
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from lotline.functions import clock, codes
-from lotline.operators.joins import keep_matching
+from lotline.operators.joins import Window
 from lotline.sources.sheets import read_csv_fill
 from lotline.sources.snapshots import write_snapshot
 
@@ -99,12 +99,13 @@ def open_appointments(
     keys = ["cd_empresa", "cd_agenda"]
     lines = receipt.filter((F.col("cd_empresa") == company) & F.col("cd_situacao").isin(*OPEN_RECEIPTS))
     listed = divergent.filter(F.col("cd_empresa") == company).select(*keys)
-    lines = keep_matching(lines, listed, keys).select(*keys, "cd_produto_master", "qt_produto", "qt_recebido", "qt_sobra")
+    window = Window(listed)
+    lines = window.cut(lines, keys).select(*keys, "cd_produto_master", "qt_produto", "qt_recebido", "qt_sobra")
     visits = appointment.filter(F.col("cd_empresa") == company).select(*keys, "id_agenda_externa", "dt_agendamento")
-    rows = listed.join(lines, keys).join(keep_matching(visits, listed, keys), keys, "left")
+    rows = listed.join(lines, keys).join(window.cut(visits, keys), keys, "left")
     if not dedupe_invoices:
         bills = invoice.filter(F.col("cd_empresa") == company).select(*keys)
-        rows = rows.join(keep_matching(bills, listed, keys), keys, "left")
+        rows = rows.join(window.cut(bills, keys), keys, "left")
     names = product.select(F.col("cd_produto").alias("cd_produto_master"), "ds_produto")
     return rows.join(names, "cd_produto_master", "left").select(
         "cd_empresa",

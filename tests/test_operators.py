@@ -91,21 +91,22 @@ def tiny_broadcasts(spark):
     spark.conf.set("spark.sql.autoBroadcastJoinThreshold", before)
 
 
-def test_keep_matching_cuts_large_facts_only_for_few_keys(spark, tiny_broadcasts):
+def test_window_cuts_large_facts_only_for_few_keys(spark, tiny_broadcasts):
     facts = spark.range(1000).select((F.col("id") % 100).alias("k"), "id")
-    window = spark.createDataFrame([(3,), (3,), (None,), (5,)], "k long")
-    cut = joins.keep_matching(facts, window, ["k"])
+    keys = spark.createDataFrame([(3,), (3,), (None,), (5,)], "k long")
+    cut = joins.Window(keys).cut(facts, ["k"])
     assert {r[0] for r in rows(cut)} == {3, 5} and cut.count() == 20
     plan = cut._jdf.queryExecution().executedPlan().toString()
     assert "BroadcastHashJoin" in plan and "LeftSemi" in plan
-    assert joins.keep_matching(facts, window, ["k"], max_keys=1) is facts
+    assert joins.Window(keys, max_keys=2).cut(facts, ["k"]) is not facts
+    assert joins.Window(keys, max_keys=1).cut(facts, ["k"]) is facts
     spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
-    assert joins.keep_matching(facts, window, ["k"]) is facts
+    assert joins.Window(keys).cut(facts, ["k"]) is facts
 
 
-def test_keep_matching_leaves_small_facts(spark):
+def test_window_leaves_small_facts(spark):
     facts = spark.range(10)
-    assert joins.keep_matching(facts, facts, ["id"]) is facts
+    assert joins.Window(facts).cut(facts, ["id"]) is facts
 
 
 def test_total_row_tells_null_group_from_total(spark):
