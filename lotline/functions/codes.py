@@ -55,9 +55,8 @@ OCCUPANCY_NAMES = {"42": "VAZIO", "45": "OCUPADO", "47": "OCUPADO"}
 
 # Column ranges of the blocks, by building.
 BLOCKS = {
-    "P": {"1 BLOCO": ("000", "037"), "2 BLOCO": ("038", "075"), "3 BLOCO": ("076", "199")},
-    "B": {"1 BLOCO": ("000", "033"), "2 BLOCO": ("034", "067"), "3 BLOCO": ("068", "199")},
-    "G": {"1 BLOCO": ("000", "033"), "2 BLOCO": ("034", "067"), "3 BLOCO": ("068", "199")},
+    ("P",): {"1 BLOCO": ("000", "037"), "2 BLOCO": ("038", "075"), "3 BLOCO": ("076", "199")},
+    ("B", "G"): {"1 BLOCO": ("000", "033"), "2 BLOCO": ("034", "067"), "3 BLOCO": ("068", "199")},
 }
 
 # Delivery texts of the carriers and the labels shown for them.
@@ -83,9 +82,15 @@ def classify(rules: Iterable[tuple[Column, object]], default: object = None) ->
     return chain.otherwise(_as_column(default))
 
 
+def _sql_literal(value: object) -> str:
+    return "'" + value.replace("\\", "\\\\").replace("'", "\\'") + "'" if isinstance(value, str) else str(value)
+
+
 def decode_values(value: Column, labels: Mapping[object, object], default: object = None) -> Column:
     """Label of each listed value; other values and NULL give ``default``."""
-    return classify([(value == key, label) for key, label in labels.items()], default)
+    entries = ", ".join(f"{_sql_literal(key)}, {_sql_literal(label)}" for key, label in labels.items())
+    found = F.try_element_at(F.expr(f"map({entries})"), value)
+    return found if default is None else F.coalesce(found, _as_column(default))
 
 
 def class_name(code: Column) -> Column:
@@ -119,11 +124,10 @@ def address_parts(address: Column) -> dict[str, Column]:
 
 def address_block(building: Column, column: Column) -> Column:
     """Block of a storage column, compared as text; empty when there is none."""
-    rules = [
-        ((building == name) & column.between(*limits), block)
-        for name, blocks in BLOCKS.items()
-        for block, limits in blocks.items()
-    ]
+    rules = []
+    for buildings, blocks in BLOCKS.items():
+        inside = building.isin(*buildings)
+        rules += [(inside & column.between(*limits), block) for block, limits in blocks.items()]
     return classify(rules, "")
 
 

@@ -214,10 +214,12 @@ def backlog_lines(
 
 def line_status() -> Column:
     """Status of a line; the load state goes before the flag of the lot."""
-    rules = [(F.col("fllibfat") == "N", UNRELEASED)]
-    rules += [(F.col("sitcarga") == load, label) for load, label in LOAD_STATES.items()]
-    rules += [(F.col("flseparacao") == flag, label) for flag, label in LOT_STATES.items()]
-    return codes.classify(rules, RELEASED)
+    return F.coalesce(
+        F.when(F.col("fllibfat") == "N", UNRELEASED),
+        codes.decode_values(F.col("sitcarga"), LOAD_STATES),
+        codes.decode_values(F.col("flseparacao"), LOT_STATES),
+        F.lit(RELEASED),
+    )
 
 
 def line_situation() -> Column:

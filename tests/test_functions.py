@@ -153,6 +153,14 @@ def test_code_maps(values):
     ]
 
 
+def test_decode_values_keeps_quotes_and_types(values):
+    labels = {"a'b": "it's", "c\\d": "back\\slash"}
+    assert values(codes.decode_values(F.col("c"), labels, "x"), [("a'b",), ("c\\d",), (None,)], "c string") == [
+        "it's", "back\\slash", "x",
+    ]
+    assert values(codes.decode_values(F.col("k"), {1: "one"}, F.lit("?")), [(1,), (2,), (None,)], "k bigint") == ["one", "?", "?"]
+
+
 def test_classify_takes_the_first_match(values):
     rules = [(F.col("x") > 1, "big"), (F.col("x") > 0, "small")]
     assert values(codes.classify(rules, "none"), [(2,), (1,), (0,), (None,)], "x int") == ["big", "small", "none", "none"]
