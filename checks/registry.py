@@ -28,9 +28,9 @@ def comparable(df: DataFrame) -> DataFrame:
         elif isinstance(field.dataType, T.FloatType):
             col = col.cast("double")
         elif isinstance(field.dataType, (T.TimestampType, T.TimestampNTZType)):
-            col = F.date_format(col, "yyyy-MM-dd HH:mm:ss")
+            col = F.substring(col.cast("string"), 1, 19)
         elif isinstance(field.dataType, T.DateType):
-            col = F.date_format(col, "yyyy-MM-dd")
+            col = col.cast("string")
         return col.alias(field.name)
 
     return df.select(*(plain(field) for field in df.schema.fields))

@@ -73,7 +73,7 @@ def age_days(as_of: AsOf, ts: Column) -> Column:
 
 def to_second(ts: Column) -> Column:
     """``ts`` without fractions of a second."""
-    return F.date_trunc("second", ts).cast("timestamp_ntz")
+    return F.substring(ts.cast("string"), 1, 19).cast("timestamp_ntz")
 
 
 def text_to_time(text: Column, pattern: str = "yyyy-MM-dd HH:mm:ss") -> Column:
@@ -87,25 +87,37 @@ def latest_of(a: Column, b: Column, c: Column) -> Column:
     return F.when(missing <= 1, F.greatest(a, b, c))
 
 
-def day_text(ts: Column) -> Column:
-    return F.date_format(ts, "dd/MM/yyyy")
-
+# Text comes from the cast to ``yyyy-MM-dd HH:mm:ss``. For a TIMESTAMP_NTZ that cast
+# knows no zone, whereas ``date_format`` would move times that a clock change skips.
 
-def minute_text(ts: Column) -> Column:
-    return F.date_format(ts, "dd/MM/yyyy HH:mm")
 
-
-def second_text(ts: Column) -> Column:
-    return F.date_format(ts, "dd/MM/yyyy HH:mm:ss")
+def _cut(ts: Column, start: int, length: int) -> Column:
+    return F.substring(ts.cast("string"), start, length)
 
 
 def iso_day_text(ts: Column) -> Column:
-    return F.date_format(ts, "yyyy-MM-dd")
+    return _cut(ts, 1, 10)
 
 
 def hour_text(ts: Column) -> Column:
-    return F.date_format(ts, "HH")
+    return _cut(ts, 12, 2)
 
 
 def clock_text(ts: Column) -> Column:
-    return F.date_format(ts, "HH:mm:ss")
+    return _cut(ts, 12, 8)
+
+
+def day_text(ts: Column) -> Column:
+    """``dd/MM/yyyy``"""
+    slash = F.lit("/")
+    return F.concat(_cut(ts, 9, 2), slash, _cut(ts, 6, 2), slash, _cut(ts, 1, 4))
+
+
+def minute_text(ts: Column) -> Column:
+    """``dd/MM/yyyy HH:mm``"""
+    return F.concat(day_text(ts), F.lit(" "), _cut(ts, 12, 5))
+
+
+def second_text(ts: Column) -> Column:
+    """``dd/MM/yyyy HH:mm:ss``"""
+    return F.concat(day_text(ts), F.lit(" "), clock_text(ts))

@@ -28,7 +28,8 @@ def hourly_production(
     """Quantity and volume by hour and lot; ``dt_separacao`` must be a TIMESTAMP.
 
     State holds one row per lot and hour younger than ``lateness``; later picks may
-    be dropped, so let a nightly ``shift_production`` settle the past days.
+    be dropped, so let a nightly ``shift_production`` settle the past days. Each batch
+    reads ``order_header`` anew: pass the orders that can still be picked, not all.
     """
     timely = picks.withWatermark("dt_separacao", lateness)
     rows = production_rows(timely, order_header, product, company=company, weight_by_qty=weight_by_qty)
@@ -44,7 +45,8 @@ def store_hours(
 ) -> StreamingQuery:
     """Store the changed hours of each batch in their own directory of ``files`` files.
 
-    A repeated batch overwrites its directory, so nothing is counted twice.
+    A repeated batch overwrites its directory, so nothing is counted twice. Batches
+    older than the days still reported hold no hour that is read and may be deleted.
     """
 
     def store(batch: DataFrame, batch_id: int) -> None:

@@ -59,6 +59,21 @@ def test_text_to_time_gives_null_for_other_text(values):
     assert values(clock.text_to_time(F.col("s")), rows, "s string") == [dt.datetime(2024, 1, 2, 3, 4, 5), None, None]
 
 
+def test_wall_clock_is_kept_in_a_zone_that_skips_it(spark, values):
+    skipped = [(dt.datetime(2018, 11, 4, 0, 30, 15, 250000),), (None,)]
+    before = spark.conf.get("spark.sql.session.timeZone")
+    spark.conf.set("spark.sql.session.timeZone", "America/Sao_Paulo")
+    try:
+        t, schema = F.col("t"), "t timestamp_ntz"
+        assert values(clock.to_second(t), skipped, schema) == [dt.datetime(2018, 11, 4, 0, 30, 15), None]
+        assert values(clock.second_text(t), skipped, schema) == ["04/11/2018 00:30:15", None]
+        assert values(clock.minute_text(t), skipped, schema) == ["04/11/2018 00:30", None]
+        assert values(clock.hour_text(t), skipped, schema) == ["00", None]
+        assert values(clock.business_date(t), skipped, schema) == [dt.date(2018, 11, 3), None]
+    finally:
+        spark.conf.set("spark.sql.session.timeZone", before)
+
+
 def test_truncate_and_round_away_from_zero(values):
     rows = [(Decimal(x),) for x in ("1.239", "-1.239", "2.5", "-2.5", "0.999")]
     cut = values(amounts.truncate_number(F.col("x")), rows, "x decimal(10,3)")
