@@ -236,6 +236,48 @@ def test_backlog_is_the_same_salted_and_cut(spark):
     assert cut_rows == sorted(rows(reports.productivity(v)), key=str)
 
 
+def test_hot_order_is_split_at_run_time(spark):
+    """A third of the picks in one order: the join spreads them, the sums stay whole."""
+    picks = spark.range(0, 60000, 1, 8).select(
+        F.lit(12650).alias("cd_empresa"),
+        F.when(F.col("id") % 3 == 0, 5).otherwise(F.col("id") % 9000).alias("nu_pedido"),
+        (F.col("id") % 50).alias("cd_produto"),
+        F.lit(1).cast("decimal(18,6)").alias("qt_separado"),
+        F.expr("timestamp_ntz '2024-01-05 08:00:00' + (id % 3600) * interval '1' second").alias("dt_separacao"),
+    )
+    headers = spark.range(9000).select(
+        F.lit(12650).alias("cd_empresa"),
+        F.col("id").alias("nu_pedido"),
+        (F.col("id") % 10).alias("cd_carga"),
+        F.lit("EPP").alias("tp_pedido"),
+    )
+    product = spark.range(50).select(
+        F.col("id").alias("cd_produto"),
+        *(F.lit(100).cast("decimal(18,6)").alias(c) for c in ("vl_altura", "vl_largura", "vl_profundidade")),
+    )
+    settings = {
+        "spark.sql.autoBroadcastJoinThreshold": "-1",
+        "spark.sql.adaptive.skewJoin.skewedPartitionThresholdInBytes": "20k",
+        "spark.sql.adaptive.skewJoin.skewedPartitionFactor": "1.5",
+        "spark.sql.adaptive.advisoryPartitionSizeInBytes": "20k",
+        "spark.sql.adaptive.forceOptimizeSkewedJoin": "true",
+        "spark.sql.adaptive.coalescePartitions.enabled": "false",
+    }
+    before = {name: spark.conf.get(name) for name in settings}
+    for name, value in settings.items():
+        spark.conf.set(name, value)
+    try:
+        report = warehouse.shift_production(picks, headers, product, as_of="2024-01-06")
+        got = report.collect()
+        plan = report._jdf.queryExecution().executedPlan().toString()
+    finally:
+        for name, value in before.items():
+            spark.conf.set(name, value)
+    assert sum(r.qt_separado for r in got) == 60000
+    assert {r.cd_carga: r.qt_separado for r in got}[5] >= 20000
+    assert "skew=true" in plan
+
+
 ENRICHED = "status string, familia string, qtcomp decimal(18,6), cubtotal decimal(18,6), modal_master string, filial string, cidade string, numpedven int"
 
 
