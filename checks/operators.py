@@ -993,6 +993,10 @@ def _(v):
 
 @check("stream_shift_production", reports.shift_sql(f"cast({M3} as decimal(18,0))"))
 def _(v):
+    # The state of a stream keeps the partitions it starts with: one per core here.
+    session = v.spark.newSession()
+    session.conf.set("spark.sql.shuffle.partitions", session.sparkContext.defaultParallelism)
+    v = Views(session, v.sf_dir)
     _, picks = landed_picks(v)
     stored = scratch_dir(v.spark, "hours")
     hours = hourly_production(picks, v.order_header, v.product, lateness="40 days")

@@ -9,7 +9,8 @@ partitions. ``salted_join`` spreads hot keys explicitly where that is not enough
 from __future__ import annotations
 
 from collections.abc import Mapping, Sequence
-from functools import cached_property
+from functools import cached_property, reduce
+from operator import or_
 
 from pyspark.sql import DataFrame, functions as F
 
@@ -117,10 +118,10 @@ def salted_join(
 ) -> DataFrame:
     """Inner or left equi join that spreads the hot keys of ``left`` over ``salts`` tasks.
 
-    Rows of a hot key get a salt from their content and input partition, which a
-    repeated task finds again and which spreads equal rows too; only the matching
-    rows of ``right`` are copied once per salt. With ``salts`` below 2 it is a plain
-    join. The hot keys are broadcast; ``share`` bounds their number.
+    Rows of a hot key, or without key, get a salt from their content and input
+    partition, which a repeated task finds again and which spreads equal rows too;
+    only the matching rows of ``right`` are copied once per salt. With ``salts`` below
+    2 it is a plain join. The hot keys are broadcast; ``share`` bounds their number.
     """
     if how not in ("inner", "left"):
         raise ValueError("salted_join supports inner and left joins")
@@ -128,8 +129,9 @@ def salted_join(
         return left.join(right, list(keys), how)
     hot = F.broadcast(hot_keys(left, keys, share).withColumn("_hot", F.lit(True)))
     spread = F.pmod(F.xxhash64(*left.columns, F.spark_partition_id()), F.lit(salts)).cast("int")
+    keyless = reduce(or_, (F.col(key).isNull() for key in keys))
     salted_left = left.join(hot, list(keys), "left").withColumn(
-        "_salt", F.when(F.col("_hot"), spread).otherwise(0)
+        "_salt", F.when(F.col("_hot") | keyless, spread).otherwise(0)
     )
     copies = F.when(F.col("_hot"), F.sequence(F.lit(0), F.lit(salts - 1))).otherwise(F.array(F.lit(0)))
     salted_right = right.join(hot, list(keys), "left").withColumn("_salt", F.explode(copies))
