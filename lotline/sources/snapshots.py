@@ -7,7 +7,6 @@ place and readers never see half of one.
 
 from __future__ import annotations
 
-import tempfile
 import uuid
 
 from pyspark.sql import DataFrame, Observation, SparkSession, functions as F
@@ -18,10 +17,16 @@ POINTER = "CURRENT"
 
 
 def scratch_dir(spark: SparkSession, purpose: str) -> str:
-    """New directory name in the shared folder of the cluster (a local one when unset)."""
+    """New directory name in the shared folder of the cluster.
+
+    That is ``spark.checkpoint.dir``; where the session names none, a folder in the home
+    directory of the default file system, which all executors see on a cluster.
+    """
     base = spark.conf.get("spark.checkpoint.dir", None)
     if not base:
-        base = tempfile.mkdtemp(prefix="lotline-")
+        hadoop = spark._jvm.org.apache.hadoop.fs
+        home = hadoop.FileSystem.get(spark._jsc.hadoopConfiguration()).getHomeDirectory()
+        base = hadoop.Path(home, ".lotline-scratch").toString()
     return f"{base.rstrip('/')}/{purpose}-{uuid.uuid4().hex}"
 
 

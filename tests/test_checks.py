@@ -3,11 +3,12 @@
 import pytest
 
 import __spark_entry__
+from checks import registry
 from checks.compare import difference, duck
 from tests.conftest import SF_DIR
 
-QUERIES = __spark_entry__.queries()
-SQL = __spark_entry__.oracle_sql()
+QUERIES = registry.QUERIES
+SQL = registry.oracle_texts()
 # Empty on the smallest tables.
 MAY_BE_EMPTY = set()
 
@@ -19,6 +20,8 @@ def con():
 
 def test_every_query_has_sql():
     assert set(QUERIES) == set(SQL)
+    assert set(QUERIES) <= set(__spark_entry__.queries())
+    assert set(SQL) <= set(__spark_entry__.oracle_sql())
 
 
 def test_entry(spark):
