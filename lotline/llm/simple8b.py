@@ -53,11 +53,12 @@ def encode(ids: np.ndarray) -> bytes:
     widest = _window_max(_bit_lengths(padded), n)
     chosen = np.zeros(n, dtype=np.uint8)  # selector 0: escape
     for selector in range(15, 0, -1):  # from one id per word up to the most ids
-        chosen[widest[int(COUNTS[selector])] <= BITS[selector]] = selector
+        np.copyto(chosen, np.uint8(selector), where=widest[int(COUNTS[selector])] <= BITS[selector])
     jumps = COUNTS[chosen].astype(np.uint8).tobytes()
     starts, at = [], 0
+    add = starts.append
     while at < n:
-        starts.append(at)
+        add(at)
         at += jumps[at]
     starts = np.array(starts, dtype=np.int64)
     selectors = chosen[starts] if n else chosen

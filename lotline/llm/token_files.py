@@ -14,6 +14,7 @@ from __future__ import annotations
 
 import os
 import zlib
+from array import array
 from collections.abc import Iterator
 
 import numpy as np
@@ -38,17 +39,22 @@ NOT_SPACE = ("\x1c", "\x1d", "\x1e", "\x1f")
 
 # Stands between words that are encoded together; it has one id that nothing else has.
 MARK = "\x00"
-JOINED_WORDS = 500
+JOINED_WORDS = 30
+CLOSING = ",.!"
 
 _tokenizers: dict[str, WordIds] = {}
 
 
+def _ascii_lower(text: str) -> str:
+    return text.lower() if text.isascii() else text.encode("utf-8").lower().decode("utf-8")
+
+
 class WordIds:
     """Ids of texts, joined from the ids of their words between white space.
 
     The tokenizer drops white space and never joins characters across it, so the ids
     of a text are those of its words in a row; frequent words are encoded once. As it
-    ignores case, plain text is lowered first.
+    ignores case, ASCII letters are lowered first.
     """
 
     def __init__(self, path: str):
@@ -57,6 +63,7 @@ class WordIds:
 
         self.tokenizer = Tokenizer.from_file(path)
         self.known: dict[str, bytes] = {}
+        self.closing = dict(zip(CLOSING, self._encode(list(CLOSING))))
         (self.mark_id,) = self.tokenizer.encode(MARK, add_special_tokens=False).ids
 
     def _encode(self, texts: list[str]) -> list[bytes]:
@@ -64,7 +71,22 @@ class WordIds:
         return [np.array(one.ids, dtype="<u4").tobytes() for one in found]
 
     def _learn(self, words: list[str]) -> None:
-        """Encode words many at a time, with a mark between them that has an id of its own."""
+        """Encode words many at a time, with a mark between them that has an id of its own.
+
+        Letters before one closing mark are a word of their own to the tokenizer. Small
+        ASCII letters alone pass its normaliser and splitter unchanged and go to its merges at once.
+        """
+        closed = [word for word in words if word[-1] in self.closing and word[:-1].isalpha()]
+        bare = {word[:-1] for word in closed}.difference(self.known)
+        words = bare.union(words).difference(closed)
+        simple = [word for word in words if word.isascii() and word.isalpha()]
+        split = self.tokenizer.model.tokenize
+        self.known.update((word, array("I", [token.id for token in split(word)]).tobytes()) for word in simple)
+        self._encode_words(list(words.difference(simple)))
+        find, closing = self.known.__getitem__, self.closing
+        self.known.update((word, find(word[:-1]) + closing[word[-1]]) for word in closed)
+
+    def _encode_words(self, words: list[str]) -> None:
         plain = [word for word in words if MARK not in word]
         for word in set(words).difference(plain):
             self.known[word] = self._encode([word])[0]
@@ -79,9 +101,7 @@ class WordIds:
     def ids(self, texts: list[str]) -> list[np.ndarray]:
         """The ids of each text."""
         whole = [any(mark in text for mark in NOT_SPACE) for text in texts]
-        words = [
-            [] if odd else (text.lower() if text.isascii() else text).split() for odd, text in zip(whole, texts)
-        ]
+        words = [[] if odd else _ascii_lower(text).split() for odd, text in zip(whole, texts)]
         wanted = set().union(*words)
         missing = wanted.difference(self.known)
         if len(self.known) + len(missing) > CACHED_WORDS:
@@ -95,6 +115,7 @@ class WordIds:
         for word in missing:
             if len(word) > CACHED_CHARS:
                 del self.known[word]
+                self.known.pop(word[:-1], None)
         return out
 
 
