@@ -7,14 +7,19 @@ from collections.abc import Callable
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from lotline.llm import bpe, divergence, quality, token_files, toxicity
+from lotline.llm import bpe, divergence, mixing, quality, secret_scan, token_files, toxicity, url_filter
 from lotline.llm.common import read
+from lotline.llm.sql import mixing_sql, secret_scan_sql, url_filter_sql
 from lotline.sources.snapshots import scratch_dir
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 SQL: dict[str, str] = {}
 
 
+# Blocks per period of a thousand.
+MIX_WEIGHTS = {"src0": 120, "src1": 100, "src2": 80} | {f"src{i}": 40 for i in range(3, 20)} | {mixing.REST: 20}
+
+
 def query(build: Callable[[SparkSession, str], DataFrame]):
     QUERIES[build.__name__] = build
     return build
@@ -32,17 +37,40 @@ def op2_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return bpe.round_trip(read(spark, sf_dir, "documents"), ranks, public_tokenizers.PATTERN)
 
 
+@query
+def op3_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return url_filter.judge(read(spark, sf_dir, "pages"))
+
+
 @query
 def op4_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     scores = toxicity.toxicity_scores(read(spark, sf_dir, "documents"), read(spark, sf_dir, "labels"))
     return scores.withColumn("predicted", (F.col("score") >= toxicity.TOXIC).cast("int"))
 
 
+@query
+def op5_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = secret_scan.scan_documents(read(spark, sf_dir, "documents"), scratch_dir(spark, "ledger"))
+    return found.select(
+        "doc_id",
+        "n_assign",
+        "n_access",
+        "n_hex",
+        F.sha2(F.concat_ws(",", "base_spans").cast("binary"), 256).alias("base_sha256"),
+        F.concat_ws(",", "spans").alias("spans"),
+    )
+
+
 @query
 def op7_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return divergence.quality_rules(read(spark, sf_dir, "documents"))
 
 
+@query
+def op9_source_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return mixing.mix(read(spark, sf_dir, "documents"), MIX_WEIGHTS)
+
+
 @query
 def op10_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
     path = scratch_dir(spark, "token-files")
@@ -50,3 +78,10 @@ def op10_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
         read(spark, sf_dir, "documents"), path, public_tokenizers.path("word_bpe_49k.json")
     )
     return token_files.read_token_index(spark, path)
+
+
+SQL |= {
+    "op3_url_filter": url_filter_sql(),
+    "op5_secret_scan": secret_scan_sql(),
+    "op9_source_mixing": mixing_sql(MIX_WEIGHTS),
+}
