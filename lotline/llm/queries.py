@@ -7,7 +7,18 @@ from collections.abc import Callable
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from lotline.llm import bpe, divergence, mixing, quality, secret_scan, token_files, toxicity, url_filter
+from lotline.llm import (
+    bpe,
+    divergence,
+    mixing,
+    ngram_join,
+    quality,
+    secret_scan,
+    token_files,
+    toxicity,
+    url_filter,
+    vector_forest,
+)
 from lotline.llm.common import read
 from lotline.llm.sql import mixing_sql, secret_scan_sql, url_filter_sql
 from lotline.sources.snapshots import scratch_dir
@@ -61,11 +72,21 @@ def op5_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+@query
+def op6_vector_forest(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return vector_forest.near_vectors(read(spark, sf_dir, "embeddings"))
+
+
 @query
 def op7_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return divergence.quality_rules(read(spark, sf_dir, "documents"))
 
 
+@query
+def op8_ngram_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return ngram_join.ngram_join(read(spark, sf_dir, "documents"))
+
+
 @query
 def op9_source_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixing.mix(read(spark, sf_dir, "documents"), MIX_WEIGHTS)
