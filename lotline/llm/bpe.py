@@ -285,6 +285,19 @@ def digest_batches(batches: Iterator[pa.RecordBatch], path: str, pattern: str) -
         )
 
 
+def token_batches(batches: Iterator[pa.RecordBatch], path: str, pattern: str) -> Iterator[pa.RecordBatch]:
+    """Ids of each text with their number, and whether they decode to the text."""
+    tool = codec(path, pattern)
+    for batch in batches:
+        texts = batch.column(1).to_pylist()
+        ids = tool.encode(texts)
+        right = [tool.decode(one.tolist()) == text.encode("utf-8") for one, text in zip(ids, texts)]
+        ends = pa.array(np.cumsum([0, *map(len, ids)]), pa.int32())
+        flat = pa.array(np.concatenate([np.zeros(0, "<u4"), *ids]).astype(np.int32))
+        columns = [batch.column(0), pa.array(map(len, ids), pa.int64()), pa.ListArray.from_arrays(ends, flat)]
+        yield pa.RecordBatch.from_arrays([*columns, pa.array(right, pa.bool_())], names=["doc_id", "n_tokens", "ids", "decodes"])
+
+
 def _id_type(df: DataFrame) -> str:
     return df.schema["doc_id"].dataType.simpleString()
 
@@ -315,3 +328,13 @@ def round_trip(docs: DataFrame, path: str, pattern: str, *, doc_id: str = "doc_i
     docs = texts_of(docs, doc_id, text)
     schema = f"doc_id {_id_type(docs)}, n_tokens long, ids_sha256 string, decoded_sha256 string"
     return docs.mapInArrow(batch_task("bpe", "digest_batches", path, pattern), schema)
+
+
+def tokens(docs: DataFrame, path: str, pattern: str, *, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
+    """``doc_id, n_tokens, ids, decodes`` of every whole text; the last tells whether the ids give the text again.
+
+    Nulls, empties and repeated rows as in ``encode``.
+    """
+    docs = texts_of(docs, doc_id, text)
+    schema = f"doc_id {_id_type(docs)}, n_tokens long, ids array<int>, decodes boolean"
+    return docs.mapInArrow(batch_task("bpe", "token_batches", path, pattern), schema)

@@ -10,6 +10,7 @@ from __future__ import annotations
 
 import math
 from collections.abc import Iterator
+from dataclasses import dataclass, field
 
 import numpy as np
 import pyarrow as pa
@@ -124,58 +125,99 @@ def isotonic(bins: list[tuple[int, int, float]]) -> tuple[list[float], list[floa
     return [p[0] / p[1] for p in pools], [p[2] / p[1] for p in pools]
 
 
-def score_batches(batches: Iterator[pa.RecordBatch], mean, spread, weights, centres, means) -> Iterator[pa.RecordBatch]:
-    for batch in batches:
-        raw = fourier(_rows(batch.column("x")), mean, spread) @ np.array(weights)
+@dataclass(frozen=True)
+class Model:
+    """Scaling of the statistics, ridge weights and the calibration; without weights every score is 0.5."""
+
+    mean: list[float] = field(default_factory=list)
+    spread: list[float] = field(default_factory=list)
+    weights: list[float] = field(default_factory=list)
+    centres: list[float] = field(default_factory=list)
+    means: list[float] = field(default_factory=list)
+
+    def scores(self, x: np.ndarray) -> np.ndarray:
+        if not self.weights:
+            return np.full(len(x), 0.5)
+        raw = fourier(x, self.mean, self.spread) @ np.array(self.weights)
         place = np.clip((raw - LOW) / (HIGH - LOW) * BINS - 0.5, 0, BINS - 1)
-        score = np.round(np.clip(np.interp(place, centres, means), 0, 1), 6)
+        return np.round(np.clip(np.interp(place, self.centres, self.means), 0, 1), 6)
+
+
+def score_batches(batches: Iterator[pa.RecordBatch], model: Model) -> Iterator[pa.RecordBatch]:
+    for batch in batches:
+        score = model.scores(_rows(batch.column("x")))
         yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array(score)], names=["doc_id", "score"])
 
 
+def accepted_batches(batches: Iterator[pa.RecordBatch], model: Model, text: str, keep: float):
+    """The rows whose text scores ``keep`` or more."""
+    for batch in batches:
+        x = np.array([statistics(one or "") for one in batch.column(text).to_pylist()], np.float32).astype(np.float64)
+        yield batch.filter(pa.array(model.scores(x.reshape(-1, STATISTICS)) >= keep))
+
+
 def fold_of(doc_id) -> F.Column:
     return F.crc32(doc_id.cast("string").cast("binary")) % FOLDS
 
 
+def _statistics(docs: DataFrame, doc_id: str, text: str) -> DataFrame:
+    rows = texts_of(docs, doc_id, text)
+    id_type = rows.schema["doc_id"].dataType.simpleString()
+    task = batch_task("quality", "statistics_batches")
+    return stored(rows.mapInArrow(task, f"doc_id {id_type}, x array<float>"), "statistics")
+
+
+def _fit(known: DataFrame, labels: DataFrame, doc_id: str, label: str) -> Model:
+    truth = labels.select(F.col(f"`{doc_id}`").alias("doc_id"), F.col(f"`{label}`").cast("double").alias("y")).na.drop()
+    train = known.join(truth, "doc_id").select("x", "y", fold_of(F.col("doc_id")).alias("fold")).filter("fold <> 0")
+    train = stored(train, "train")
+    x = [F.col("x")[i] for i in range(STATISTICS)]
+    sizes = train.agg(F.count("*"), *(F.avg(c) for c in x), *(F.stddev_pop(c) for c in x)).first()
+    if not sizes[0]:
+        return Model()
+    mean = list(sizes[1 : STATISTICS + 1])
+    spread = [s if s > 1e-6 else 1.0 for s in sizes[STATISTICS + 1 :]]
+    parts = train.mapInArrow(batch_task("quality", "normal_sums", mean, spread), "sums binary")
+    sums = parts.rdd.map(lambda row: np.frombuffer(row.sums)).treeReduce(lambda a, b: a + b, depth=3)
+    sums = sums.reshape(FOLDS, FEATURES + 1, FEATURES + 2)
+    every = sums.sum(axis=0)
+    weights = ridge(every)
+    without = [weights] + [ridge(every - one if (every - one)[0, 0] > 0 else every) for one in sums[1:]]
+    task = batch_task("quality", "out_of_fold_bins", mean, spread, without)
+    bins = train.mapInArrow(task, "bin long, n long, total double").groupBy("bin")
+    bins = bins.agg(F.sum("n").alias("n"), F.sum("total").alias("total")).collect()  # BINS rows at most
+    return Model(mean, spread, weights, *isotonic([tuple(row) for row in bins]))
+
+
 def quality_scores(
+    docs: DataFrame, labels: DataFrame, *, doc_id: str = "doc_id", text: str = "text", label: str = "quality"
+) -> DataFrame:
+    """``doc_id, held_out, score`` of every document, by all labelled rows outside fold 0.
+
+    ``held_out`` is true for documents of fold 0 (a NULL id has no fold and no label). A
+    NULL text counts as empty; empty texts are scored by their zero statistics. Labels that
+    are NULL teach nothing; repeated rows of either table count as often as they occur. With
+    no usable label every score is 0.5. An empty table gives no rows; other columns are ignored.
+    """
+    known = _statistics(docs, doc_id, text)
+    model = _fit(known, labels, doc_id, label)
+    id_type = known.schema["doc_id"].dataType.simpleString()
+    scored = known.mapInArrow(batch_task("quality", "score_batches", model), f"doc_id {id_type}, score double")
+    return scored.select("doc_id", F.coalesce(fold_of(F.col("doc_id")) == 0, F.lit(False)).alias("held_out"), "score")
+
+
+def accepted(
     docs: DataFrame,
     labels: DataFrame,
     *,
     doc_id: str = "doc_id",
     text: str = "text",
     label: str = "quality",
+    keep: float = KEEP,
 ) -> DataFrame:
-    """``doc_id, held_out, score`` of every document, by all labelled rows outside fold 0.
+    """The rows of ``docs`` that score ``keep`` or more, with all their columns.
 
-    ``held_out`` is true for documents of fold 0 (a NULL id has no fold and no label). A NULL text counts
-    as empty; empty texts are scored by their zero statistics. Labels that are NULL teach
-    nothing; repeated rows of either table count as often as they occur. With no usable
-    label every score is 0.5. An empty table gives no rows; other columns are ignored.
+    Each row is judged by its own text, by the model of ``quality_scores``; nothing is joined to the texts.
     """
-    rows = texts_of(docs, doc_id, text)
-    id_type = rows.schema["doc_id"].dataType.simpleString()
-    known = stored(
-        rows.mapInArrow(batch_task("quality", "statistics_batches"), f"doc_id {id_type}, x array<float>"), "statistics"
-    )
-    truth = labels.select(F.col(f"`{doc_id}`").alias("doc_id"), F.col(f"`{label}`").cast("double").alias("y")).na.drop()
-    train = known.join(truth, "doc_id").select("x", "y", fold_of(F.col("doc_id")).alias("fold")).filter("fold <> 0")
-    train = stored(train, "train")
-    x = [F.col("x")[i] for i in range(STATISTICS)]
-    sizes = train.agg(F.count("*"), *(F.avg(c) for c in x), *(F.stddev_pop(c) for c in x)).first()
-    if not sizes[0]:
-        scored = known.select("doc_id", F.lit(0.5).alias("score"))
-    else:
-        mean = list(sizes[1 : STATISTICS + 1])
-        spread = [s if s > 1e-6 else 1.0 for s in sizes[STATISTICS + 1 :]]
-        parts = train.mapInArrow(batch_task("quality", "normal_sums", mean, spread), "sums binary")
-        shape = (FOLDS, FEATURES + 1, FEATURES + 2)
-        sums = parts.rdd.map(lambda row: np.frombuffer(row.sums)).treeReduce(lambda a, b: a + b, depth=3).reshape(shape)
-        every = sums.sum(axis=0)
-        weights = ridge(every)
-        without = [weights] + [ridge(every - one if (every - one)[0, 0] > 0 else every) for one in sums[1:]]
-        task = batch_task("quality", "out_of_fold_bins", mean, spread, without)
-        bins = train.mapInArrow(task, "bin long, n long, total double").groupBy("bin")
-        bins = bins.agg(F.sum("n").alias("n"), F.sum("total").alias("total")).collect()  # BINS rows at most
-        centres, means = isotonic([tuple(row) for row in bins])
-        task = batch_task("quality", "score_batches", mean, spread, weights, centres, means)
-        scored = known.mapInArrow(task, f"doc_id {id_type}, score double")
-    return scored.select("doc_id", F.coalesce(fold_of(F.col("doc_id")) == 0, F.lit(False)).alias("held_out"), "score")
+    model = _fit(_statistics(docs, doc_id, text), labels, doc_id, label)
+    return docs.mapInArrow(batch_task("quality", "accepted_batches", model, text, keep), docs.schema)
