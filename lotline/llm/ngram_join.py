@@ -35,6 +35,7 @@ AGREE = 38  # equal places of sets that are verified: 0.6, four deviations below
 BUCKET = 512  # sets that are compared outright
 DEPTH = 3  # steps of a path; larger buckets at its end are compared in blocks
 BLOCK_GRAMS = 1 << 20  # n-grams of a cluster that are verified in one task
+SLOTS = 1 << 19  # hash slots of ids that are broadcast, at most
 COLUMNS = 4096  # n-grams per product of matrices
 
 RUNS = math.ceil(math.log(1 - RECALL) / (SIMILARITY * PLACES * math.log(1 - PATHS / PLACES)))
@@ -73,13 +74,18 @@ def ngrams(text: str, seen: dict[str, int]) -> np.ndarray:
     return np.unique(_mixed(grams))
 
 
-def sketch(grams: np.ndarray) -> np.ndarray:
-    """16 bits of each of the min-hashes of a set."""
+def min_grams(grams: np.ndarray) -> np.ndarray:
+    """The gram that hashes lowest, for each of the hash functions."""
     short = (grams >> U64(32)).astype(np.uint32)
     least = np.full(PLACES, 0xFFFFFFFF, np.uint32)
+    out = np.zeros(PLACES, np.uint64)
     for at in range(0, len(short), 8192):
-        least = np.minimum(least, (short[at : at + 8192, None] * _A + _B).min(axis=0))
-    return ((least * np.uint32(0x9E3779B1)) >> np.uint32(16)).astype(np.uint16)
+        hashes = short[at : at + 8192] * _A[:, None] + _B[:, None]
+        place = hashes.argmin(axis=1)
+        lowest = hashes[np.arange(PLACES), place]
+        lower = lowest <= least if at == 0 else lowest < least
+        least, out = np.where(lower, lowest, least), np.where(lower, grams[at + place], out)
+    return out
 
 
 def digest(grams: np.ndarray) -> tuple[int, int]:
@@ -95,8 +101,17 @@ def sketch_batches(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch
         rows = []
         for text in batch.column(1).to_pylist():
             grams = ngrams(text, seen)
-            rows.append((*digest(grams), len(grams), sketch(grams).tobytes()) if len(grams) else (None, None, 0, None))
-        first, second, sizes, sketches = zip(*rows) if rows else ((),) * 4
+            least = min_grams(grams) if len(grams) else None
+            rows.append((*digest(grams), len(grams), least) if len(grams) else (None, None, 0, None))
+        first, second, sizes, least = zip(*rows) if rows else ((),) * 4
+        held = [i for i, one in enumerate(least) if one is not None]
+        paths = [[] for _ in rows]
+        if held:
+            values = np.array([least[i] for i in held])
+            for row, found in _followed(_mixed(values + np.arange(PLACES, dtype=np.uint64)), np.zeros(len(held), U64), RUNS):
+                for i, path in zip(row.tolist(), found.tolist()):
+                    paths[held[i]].append(path)
+        sketches = [None if one is None else (_mixed(one) >> U64(48)).astype(np.uint16).tobytes() for one in least]
         yield pa.RecordBatch.from_arrays(
             [
                 batch.column(0),
@@ -104,8 +119,9 @@ def sketch_batches(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch
                 pa.array(second, pa.int64()),
                 pa.array(sizes, pa.int64()),
                 pa.array(sketches, pa.binary()),
+                pa.array(paths, pa.list_(pa.int64())),
             ],
-            names=["doc_id", "key", "key2", "n_grams", "sketch"],
+            names=["doc_id", "key", "key2", "n_grams", "sketch", "paths"],
         )
 
 
@@ -113,19 +129,24 @@ def _sketches(column) -> np.ndarray:
     return np.frombuffer(b"".join(column.to_pylist()), np.uint16).reshape(-1, PLACES)
 
 
-def path_batches(batches: Iterator[pa.RecordBatch], runs: int) -> Iterator[pa.RecordBatch]:
-    """``path, key`` of every place that a set follows, from the start or from ``path``."""
+def _followed(values: np.ndarray, paths: np.ndarray, runs: int) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """Per run, the rows and names of the paths that sets follow on from ``paths``."""
     below = U64(int(2**64 / PLACES * PATHS))
+    for run in range(runs):
+        salt = _mixed(paths + U64((run + 1) * 0x9E3779B97F4A7C15 % 2**64))
+        hashes = _mixed(values ^ salt[:, None])
+        rows, places = np.nonzero(hashes < below)
+        yield rows, _mixed(hashes[rows, places] ^ salt[rows]).view(np.int64)
+
+
+def path_batches(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """``path, key`` of every place that a set follows on from ``path``."""
     for batch in batches:
         values = _sketches(batch.column("sketch")).astype(np.uint64)
-        values |= np.arange(PLACES, dtype=np.uint64) << U64(16)
+        values = _mixed((values | np.arange(PLACES, dtype=np.uint64) << U64(16)) + U64(1))
         paths = np.asarray(batch.column("path")).astype(np.int64).view(np.uint64)
         keys = np.asarray(batch.column("key"))
-        for run in range(runs):
-            salt = _mixed(paths + U64((run + 1) * 0x9E3779B97F4A7C15 % 2**64))
-            hashes = _mixed(_mixed(values + U64(1)) + salt[:, None])
-            rows, places = np.nonzero(hashes < below)
-            found = _mixed(hashes[rows, places] ^ salt[rows]).view(np.int64)
+        for rows, found in _followed(values, paths, 1):
             yield pa.RecordBatch.from_arrays([pa.array(found), pa.array(keys[rows])], names=["path", "key"])
 
 
@@ -184,10 +205,9 @@ def _grouped(rows: DataFrame, keys: list[str]) -> DataFrame:
 
 
 def candidate_links(classes: DataFrame) -> DataFrame:
-    """Links between sets (``key, sketch``) that meet in a bucket and agree in enough places."""
+    """Links between sets (``key, sketch, paths``) that meet in a bucket and agree in enough places."""
     schema = "path long, key long"
-    start = classes.select("key", "sketch", F.lit(0).cast("long").alias("path"))
-    rows = stored(start.mapInArrow(batch_task("ngram_join", "path_batches", RUNS), schema), "paths")
+    rows = classes.select(F.explode("paths").alias("path"), "key")
     links = None
     for depth in range(1, DEPTH + 1):
         counts = stored(rows.groupBy("path").agg(F.count("*").alias("n")).filter("n > 1"), "buckets")
@@ -203,7 +223,7 @@ def candidate_links(classes: DataFrame) -> DataFrame:
         if depth == DEPTH or not counts.filter(~small).take(1):
             return links
         large = met.filter(~small).join(classes.select("key", "sketch"), "key").select("key", "sketch", "path")
-        rows = stored(large.mapInArrow(batch_task("ngram_join", "path_batches", 1), schema), "paths")
+        rows = stored(large.mapInArrow(batch_task("ngram_join", "path_batches"), schema), "paths")
 
 
 def gram_batches(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -286,7 +306,7 @@ def ngram_join(docs: DataFrame, *, doc_id: str = "doc_id", text: str = "text") -
     """
     rows = texts_of(docs, doc_id, text)
     id_type = rows.schema["doc_id"].dataType.simpleString()
-    schema = f"doc_id {id_type}, key long, key2 long, n_grams long, sketch binary"
+    schema = f"doc_id {id_type}, key long, key2 long, n_grams long, sketch binary, paths array<long>"
     known = stored(rows.mapInArrow(batch_task("ngram_join", "sketch_batches"), schema), "sketches")
     classes = known.filter("key is not null").groupBy("key", "key2")
     classes = stored(
@@ -295,15 +315,21 @@ def ngram_join(docs: DataFrame, *, doc_id: str = "doc_id", text: str = "text") -
             F.count("*").alias("size"),
             F.first("n_grams").alias("n_grams"),
             F.first("sketch").alias("sketch"),
+            F.first("paths").alias("paths"),
         ),
         "classes",
     )
     clusters = components(candidate_links(classes)).select(F.col("id").alias("key"), F.col("root").alias("cluster"))
     members = stored(clusters.join(classes.select("key", "class_id", "size", "n_grams"), "key"), "members")
-    totals = members.groupBy("cluster").agg(F.ceil(F.sum("n_grams") / BLOCK_GRAMS).alias("n"))
+    blocks = F.greatest(F.ceil(F.sum("n_grams") / BLOCK_GRAMS), F.ceil(F.count("*") / BUCKET))
+    totals = members.groupBy("cluster").agg(blocks.alias("n"))
     members = stored(members.join(totals, "cluster"), "members")
 
-    texts = rows.join(members.withColumnRenamed("class_id", "doc_id"), "doc_id")
+    # Few texts are in a cluster: most others leave in the scan, by slots of ids whose number is bounded.
+    slot = F.pmod(F.xxhash64("doc_id"), F.lit(SLOTS)).alias("slot")
+    slots = members.select(F.col("class_id").alias("doc_id")).select(slot).distinct()
+    texts = rows.withColumn("slot", slot).join(F.broadcast(slots), "slot", "left_semi").drop("slot")
+    texts = texts.join(members.withColumnRenamed("class_id", "doc_id"), "doc_id")
     texts = texts.select("text", "cluster", "key", "size", "n")
     schema = "cluster long, key long, size long, n long, grams binary"
     sets = texts.mapInArrow(batch_task("ngram_join", "gram_batches"), schema)
