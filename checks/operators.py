@@ -14,7 +14,7 @@ from lotline.plans import backlog, backlog_views, closing, delivery, receiving,
 from lotline.sources import sheets, tables
 from lotline.sources.snapshots import read_snapshot, scratch_dir, write_snapshot
 from lotline.streaming.refresh import refresh_on_arrival
-from lotline.streaming.shifts import hourly_production, store_hours, stored_shift_production
+from lotline.streaming.shifts import store_hours, stored_shift_production
 
 # ---- sources and sinks
 
@@ -967,12 +967,12 @@ def _(v):
 # ---- streams
 
 
-def landed_picks(v: Views) -> tuple[str, DataFrame]:
-    """Directory of landed pick files and a stream over it, two files per batch."""
+def landed_picks(v: Views, files_per_batch: int = 2) -> tuple[str, DataFrame]:
+    """Directory of four landed pick files and a stream over it."""
     path = scratch_dir(v.spark, "landed")
     picks = v.pick_event.withColumn("dt_separacao", F.col("dt_separacao").cast("timestamp"))
     picks.repartition(4).write.parquet(path)
-    stream = v.spark.readStream.schema(picks.schema).option("maxFilesPerTrigger", 2).parquet(path)
+    stream = v.spark.readStream.schema(picks.schema).option("maxFilesPerTrigger", files_per_batch).parquet(path)
     return path, stream
 
 
@@ -993,12 +993,8 @@ def _(v):
 
 @check("stream_shift_production", reports.shift_sql(f"cast({M3} as decimal(18,0))"))
 def _(v):
-    # The state of a stream keeps the partitions it starts with: one per core here.
-    session = v.spark.newSession()
-    session.conf.set("spark.sql.shuffle.partitions", session.sparkContext.defaultParallelism)
-    v = Views(session, v.sf_dir)
-    _, picks = landed_picks(v)
+    _, picks = landed_picks(v, files_per_batch=1)
     stored = scratch_dir(v.spark, "hours")
-    hours = hourly_production(picks, v.order_header, v.product, lateness="40 days")
-    store_hours(hours, stored, scratch_dir(v.spark, "progress"), once=True).awaitTermination()
+    query = store_hours(picks, v.order_header, v.product, stored, scratch_dir(v.spark, "progress"), once=True)
+    query.awaitTermination()
     return stored_shift_production(v.spark, stored, as_of=reports.SHIFT_AS_OF)

@@ -226,19 +226,20 @@ SHARED["x_reserved"] = """
 SHARED["x_states"] = """
     select x.*, r.numpedcomp, r.reserved_at, a.descricao rota,
            case when fllibfat = 'N' then '1-Nao Liberado'
-                when sitcarga in (2, 8, 9, 14) then
-                    case sitcarga when 2 then '6-Conferido Aguardando Fat' when 8 then '8-Venda Pendente SEFAZ'
-                                  when 9 then '9-Bloqueado Expedicao' else '14-Eficiencia Energetica' end
+                when sitcarga = 2 then '6-Conferido Aguardando Fat'
+                when sitcarga = 8 then '8-Venda Pendente SEFAZ'
+                when sitcarga = 9 then '9-Bloqueado Expedicao'
+                when sitcarga = 14 then '14-Eficiencia Energetica'
+                when flseparacao = 'N' then '3-Lote montado'
                 when flseparacao in ('B', 'R') then '4-Lote em Separacao'
-                when flseparacao in ('N', 'C') then
-                    if(flseparacao = 'N', '3-Lote montado', '5-Lote em Conferencia')
+                when flseparacao = 'C' then '5-Lote em Conferencia'
                 else '2-Liberado' end status,
            case when fllibfat is distinct from 'N' then null
-                when codsitprod like 'A_' and codsitprod in ('AD', 'AN') then 'Adicional'
+                when codsitprod in ('AD', 'AN') then 'Adicional'
                 when codsitprod = 'EC' then 'Encomenda'
                 when tipopedido = 'T' then 'Roteiro Y'
-                when codreservay > 0 then 'Roteiro Y'
-                when codsitprod <> '' and tipopedido = 'C' then 'Pedido de Compra' end situacao,
+                when codreservay is not null then 'Roteiro Y'
+                when codsitprod not in ('AD', 'AN', 'EC') and tipopedido = 'C' then 'Pedido de Compra' end situacao,
            if(coalesce(numlote, 0) = 0, 'EM CARTEIRA', 'EM PROCESSO') status_operacao,
            if(len(list_filter([dtlibfat_mod, dtpedido, dtentrega], lambda d: d is not null)) >= 2,
               list_max([dtlibfat_mod, dtpedido, dtentrega]), null) latest
@@ -250,8 +251,8 @@ SHARED["x_states"] = """
 SHARED["x_all"] = """
     select numpedven, tpnota, tipo_pedido, codfiltransffat, if(codfil = 200, 'SITE', 'REDE') canal_vendas, codmodal,
            descricao, modalidade,
-           case when rota is distinct from 'NORTE' or codmodal is null then rota
-                when codmodal = 'COU' then 'SEDEX' when rota = 'NORTE' then 'FAVORITA' end descricaorota,
+           case when rota = 'NORTE' and codmodal = 'COU' then 'SEDEX'
+                when rota = 'NORTE' and codmodal <> 'COU' then 'FAVORITA' else rota end descricaorota,
            dtalter data_aprovacao, dtpedido, dtentrega, cast(reserved_at as date) preventrega, dtlibfat_mod, familia,
            filorig, status, item, linha, numlote, numpedcomp, qtcomp, precounit, cm3 * 0.000001 cub_unit,
            status_operacao, situacao,
@@ -422,7 +423,7 @@ def gate_csv(v: Views) -> str:
 def _(v):
     target = scratch_dir(v.spark, "gate-copy")
     receiving.gate_snapshot(v.spark, gate_csv(v), target, GATE_SCHEMA)
-    return read_snapshot(v.spark, target, fmt="csv", header=True).na.fill("")
+    return read_snapshot(v.spark, target, fmt="csv", header=True)
 
 
 @check(
@@ -473,8 +474,8 @@ def _(v):
 @check(
     "modes_in_process",
     shown_sums(
-        """select modal_master, sum(qtcomp) pecas, sum(if(status like '2%', cubtotal, 0)) carteira,
-                  sum(if(status like '4%', cubtotal, 0)) processo, sum(cubtotal) cubagem
+        """select modal_master, sum(qtcomp) pecas, sum(if(status = '2-Liberado', cubtotal, 0)) carteira,
+                  sum(if(status = '4-Lote em Separacao', cubtotal, 0)) processo, sum(cubtotal) cubagem
            from x_enriched
            where status in ('2-Liberado', '4-Lote em Separacao') and modal_master is not null group by 1""",
         "modal_master",

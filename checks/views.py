@@ -1,8 +1,8 @@
 """Input tables of the reports, derived from the test tables (see FIXTURES.md).
 
 One text serves both engines; ``{name}`` stands for a test table or an earlier
-view. Conditions such as ``% 10 <> 9`` shape the data: they leave keys out of a
-lookup so that joins meet unmatched rows. Facts keep all their rows.
+view. No view leaves rows out but for the two halves of the labels and the kit items;
+keys that joins shall not match are moved out of range, for example to ``-key``.
 """
 
 from __future__ import annotations
@@ -21,11 +21,13 @@ VIEWS = {
                cast(30 as decimal(18,6)) vl_profundidade
         from {part}""",
     "family": """
-        select distinct p_type cd_familia, 'FAM ' || p_type ds_familia from {part} where p_type <> 'SMALL'""",
+        select distinct case when p_type = 'SMALL' then '-SMALL' else p_type end cd_familia, 'FAM ' || p_type ds_familia
+        from {part}""",
     "product_line": """
         select distinct p_brand cd_linha, 'LIN ' || p_brand ds_linha from {part}""",
     "employee": """
-        select c_custkey cd_funcionario, c_name nm_funcionario from {customer} where c_custkey % 10 <> 9""",
+        select case when c_custkey % 10 = 9 then -c_custkey else c_custkey end cd_funcionario, c_name nm_funcionario
+        from {customer}""",
     "order_header": """
         select 12650 cd_empresa, o_orderkey nu_pedido, o_orderkey nu_pedido_origem, o_custkey % 120 cd_carga,
                o_orderdate dt_addrow,
@@ -76,7 +78,8 @@ VIEWS = {
                cast(substr(cd_endereco, 4, 3) as int) % 5 cd_tipo_endereco,
                cast(substr(cd_endereco, 2, 2) as int) % 11 cd_posto
         from {pick_event}""",
-    "storage_class": "select distinct cd_classe from {location} where cd_classe <> '26XXX'",
+    "storage_class": """
+        select distinct case when cd_classe = '26XXX' then '-26XXX' else cd_classe end cd_classe from {location}""",
     "storage_area": """
         select distinct cd_area_armaz, 'AREA ' || cd_area_armaz ds_area_armaz
         from {location} where cd_area_armaz is not null""",
@@ -84,10 +87,10 @@ VIEWS = {
         select distinct cd_tipo_endereco, 'TIPO ' || cast(cd_tipo_endereco as string) ds_tipo_endereco
         from {location}""",
     "station": """
-        select distinct cd_posto,
+        select distinct case when cd_posto = 10 then -10 else cd_posto end cd_posto,
                case cd_posto when 0 then 'COFRE' when 1 then 'MERCADO' when 2 then 'GENERICO+DOCA+TEC'
                     else 'POSTO ' || cast(cd_posto as string) end ds_posto
-        from {location} where cd_posto <> 10""",
+        from {location}""",
     "label_grouped": """
         select case when l_suppkey % 2 = 0 then 1590 else 15350 end cd_empresa, l_orderkey cd_agenda,
                l_orderkey * 10 + l_linenumber nu_etiqueta_lote, l_shipdate dt_conferencia, l_shipdate dt_addrow,
@@ -107,12 +110,13 @@ VIEWS = {
         select case when o_orderkey % 2 = 0 then 1590 else 15350 end cd_empresa, o_orderkey cd_agenda
         from {orders} where o_orderstatus <> 'F'""",
     "appointment": """
-        select case when o_orderkey % 2 = 0 then 1590 else 15350 end cd_empresa, o_orderkey cd_agenda,
+        select case when o_orderkey % 2 = 0 then 1590 else 15350 end cd_empresa,
+               case when o_orderkey % 7 = 0 then -o_orderkey else o_orderkey end cd_agenda,
                case when o_orderkey % 5 = 0 then null
                     when o_orderkey % 3 = 0 then 'INS' || cast(o_orderkey as string)
                     else 'AGE' || cast(o_orderkey as string) end id_agenda_externa,
                o_orderdate dt_agendamento
-        from {orders} where o_orderkey % 7 <> 0""",
+        from {orders}""",
     "receipt": """
         select case when l_orderkey % 2 = 0 then 1590 else 15350 end cd_empresa, l_orderkey cd_agenda,
                l_partkey cd_produto_master, l_quantity qt_produto, l_quantity - l_linenumber qt_recebido,
@@ -120,8 +124,9 @@ VIEWS = {
                case l_returnflag when 'R' then 10 when 'A' then 11 else 12 end cd_situacao
         from {lineitem}""",
     "invoice": """
-        select case when l_orderkey % 2 = 0 then 1590 else 15350 end cd_empresa, l_orderkey cd_agenda
-        from {lineitem} where l_linenumber <= 2""",
+        select case when l_orderkey % 2 = 0 then 1590 else 15350 end cd_empresa,
+               case when l_linenumber > 2 then -l_orderkey else l_orderkey end cd_agenda
+        from {lineitem}""",
     "erp_order": """
         select o_orderkey numpedven, case when o_custkey % 3 = 0 then 200 else 300 end codfil,
                case o_orderstatus when 'F' then 0 when 'O' then 2 else 1 end tipoped,
@@ -164,9 +169,11 @@ VIEWS = {
                case when p_partkey % 25 = 0 then 1 when p_partkey % 3 = 0 then null else 0 end codtpserv
         from {part}""",
     "erp_product_location": """
-        select 2650 codfil, p_partkey coditprod, 0 slot from {part} where p_partkey % 20 <> 19
+        select 2650 codfil, case when p_partkey % 20 = 19 then -p_partkey else p_partkey end coditprod, 0 slot
+        from {part}
         union all
-        select 2650 codfil, p_partkey coditprod, 1 slot from {part} where p_partkey % 20 <> 19""",
+        select 2650 codfil, case when p_partkey % 20 = 19 then -p_partkey else p_partkey end coditprod, 1 slot
+        from {part}""",
     "erp_pack": """
         select p_partkey codprod, 1 codembal, cast(p_size as decimal(18,6)) altura,
                cast(p_size as decimal(18,6)) largura, cast(40 as decimal(18,6)) comp from {part}
@@ -176,37 +183,43 @@ VIEWS = {
     "erp_line": "select cd_linha codlinha, ds_linha descricao from {product_line}",
     "erp_family": "select cd_familia codfam, ds_familia descricao from {family}",
     "erp_mode": """
-        select distinct codmodal, 'MODE ' || codmodal descricao from {erp_order} where codmodal <> 'M6'""",
+        select distinct case when codmodal = 'M6' then '-M6' else codmodal end codmodal, 'MODE ' || codmodal descricao
+        from {erp_order}""",
     "erp_lot": """
-        select distinct o_custkey % 50 nlote, 2650 codfil,
+        select distinct case when o_custkey % 50 % 6 = 5 then -1 - o_custkey % 50 else o_custkey % 50 end nlote, 2650 codfil,
                case o_custkey % 50 % 6 when 0 then 'N' when 1 then 'B' when 2 then 'R' when 3 then 'C'
                     else 'X' end flseparacao
-        from {orders} where o_custkey % 50 % 6 <> 5""",
+        from {orders}""",
     "erp_reservation": """
-        select o_custkey codreserva, l_partkey coditprod, l_shipdate dtentrega,
+        select case when l_returnflag = 'N' then -o_custkey else o_custkey end codreserva, l_partkey coditprod,
+               l_shipdate dtentrega,
                case l_linenumber when 1 then 'AD' when 2 then 'AN' when 3 then 'EC' else 'NO' end codsitprod,
                case when l_linenumber in (4, 5) then 'C' when l_linenumber = 6 then 'T' else 'Z' end tipopedido,
                case when l_linenumber = 7 then 1 end codreservay, l_orderkey * 10 + l_linenumber numpedcomp
-        from {lineitem} join {orders} on l_orderkey = o_orderkey where l_returnflag <> 'N'""",
+        from {lineitem} join {orders} on l_orderkey = o_orderkey""",
     "erp_area_route": """
-        select distinct o_custkey % 40 praca,
+        select distinct case when o_custkey % 40 = 39 then -39 else o_custkey % 40 end praca,
                case when o_custkey % 40 % 12 in (0, 4) then 'NORTE'
                     else 'ROTA_' || cast(o_custkey % 40 % 12 as string) end descricao
-        from {orders} where o_custkey % 40 <> 39""",
+        from {orders}""",
     "erp_site_time": """
-        select o_orderkey numpedven, o_orderdate dthora_int from {orders} where o_orderkey % 6 <> 5
+        select case when o_orderkey % 6 = 5 then -o_orderkey else o_orderkey end numpedven, o_orderdate dthora_int
+        from {orders}
         union all
-        select o_orderkey numpedven, o_orderdate + interval '1' day dthora_int
-        from {orders} where o_orderkey % 6 <> 5 and o_orderkey % 2 = 0""",
+        select case when o_orderkey % 6 = 5 or o_orderkey % 2 = 1 then -o_orderkey else o_orderkey end numpedven,
+               o_orderdate + interval '1' day dthora_int
+        from {orders}""",
     "mode_map": """
-        select distinct codmodal,
+        select distinct case when codmodal = 'M5' then '-M5' else codmodal end codmodal,
                case codmodal when 'COU' then 'Courier' when 'INA' then 'Inauguracao' when 'M2' then 'CD Entrega'
                     when 'M3' then 'CD Entrega' else 'Rota' end modal_master
-        from {erp_order} where codmodal <> 'M5'""",
-    "branch_map": "select cast(n_nationkey as string) cod, n_name filial from {nation} where n_nationkey <> 23",
+        from {erp_order}""",
+    "branch_map": """
+        select cast(case when n_nationkey = 23 then -23 else n_nationkey end as string) cod, n_name filial from {nation}""",
     "city_map": """
-        select distinct descricao rota, 'CITY_' || substr(descricao, 6, 2) cidade
-        from {erp_area_route} where descricao not in ('NORTE', 'ROTA_11')
+        select distinct case when descricao in ('NORTE', 'ROTA_11') then '-' || descricao else descricao end rota,
+               'CITY_' || substr(descricao, 6, 2) cidade
+        from {erp_area_route}
         union all select 'SEDEX', 'CITY_S'
         union all select 'FAVORITA', 'CITY_F'""",
     "delivery": """

@@ -9,7 +9,7 @@ partitions. ``salted_join`` spreads hot keys explicitly where that is not enough
 from __future__ import annotations
 
 from collections.abc import Mapping, Sequence
-from functools import cached_property, reduce
+from functools import reduce
 from operator import or_
 
 from pyspark.sql import DataFrame, functions as F
@@ -17,52 +17,26 @@ from pyspark.sql import DataFrame, functions as F
 # A key above this share of the rows is hot; there are fewer than 1/share such keys.
 HOT_SHARE = 0.01
 
-# Most keys that a window broadcasts (numbers: some 100 MB in memory).
-MAX_BROADCAST_KEYS = 2_000_000
-
-
-def _planned_bytes(df: DataFrame) -> int:
-    """Size of a result as Spark estimates it before running."""
-    return int(str(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()))
-
-
-def _broadcast_limit(df: DataFrame) -> int:
-    """``spark.sql.autoBroadcastJoinThreshold`` in bytes."""
-    return df.sparkSession._jsparkSession.sessionState().conf().autoBroadcastJoinThreshold()
+# Hash slots of the keys of a window: the most rows that a cut broadcasts, whatever the keys.
+SLOTS = 1 << 20
 
 
 class Window:
     """Rows of a short period or selection that a report joins to whole tables.
 
-    Its keys are broadcast to cut those tables before the join, but only after they
-    were counted; the rows are counted once for all tables.
+    The hash slots of their keys, whose number is bounded, are broadcast to cut those
+    tables in their scan stage, ahead of any shuffle. A slot may let other keys
+    through, so the exact join follows; the more keys, the less is cut.
     """
 
-    def __init__(self, rows: DataFrame, max_keys: int = MAX_BROADCAST_KEYS):
-        self.rows, self.max_keys = rows, max_keys
-
-    @cached_property
-    def _row_count(self) -> int:
-        return self.rows.count()
-
-    def _few(self, wanted: DataFrame) -> bool:
-        return self._row_count <= self.max_keys or wanted.count() <= self.max_keys
+    def __init__(self, rows: DataFrame):
+        self.rows = rows
 
     def cut(self, facts: DataFrame, keys: Sequence[str]) -> DataFrame:
-        """``facts`` without rows whose keys are not in the window, where that pays.
-
-        When the keys are few, a broadcast semi join drops the rest of the table
-        inside its scan stage, ahead of any shuffle. Otherwise (more than
-        ``max_keys`` keys, a table small enough to be broadcast itself, broadcasts
-        turned off) ``facts`` comes back as it is and the join works as usual.
-        """
-        limit = _broadcast_limit(facts)
-        if limit < 0 or _planned_bytes(facts) <= limit:
-            return facts
-        wanted = self.rows.select(*keys).na.drop().distinct()
-        if not self._few(wanted):
-            return facts
-        return facts.join(F.broadcast(wanted), list(keys), "left_semi")
+        """``facts`` without most of the rows whose keys are not in the window."""
+        slot = F.pmod(F.xxhash64(*keys), F.lit(SLOTS)).alias("_slot")
+        wanted = F.broadcast(self.rows.select(*keys).na.drop().select(slot).distinct())
+        return facts.withColumn("_slot", slot).join(wanted, "_slot", "left_semi").drop("_slot")
 
 
 def first_per_key(df: DataFrame, keys: Sequence[str], order: Sequence[str], keep: Sequence[str]) -> DataFrame:
@@ -80,12 +54,16 @@ def first_per_key(df: DataFrame, keys: Sequence[str], order: Sequence[str], keep
 
 
 def require_unique(dim: DataFrame, keys: Sequence[str]) -> DataFrame:
-    """``dim`` itself; raises when a non-NULL key repeats, as a scalar lookup would."""
-    filled = dim.na.drop(subset=list(keys))
-    repeated = filled.groupBy(*keys).count().filter(F.col("count") > 1).take(1)
-    if repeated:
-        raise ValueError(f"lookup key {tuple(keys)} is not unique: {repeated[0].asDict()}")
-    return dim
+    """``dim`` by its non-NULL keys; the query fails when a key repeats, as a scalar lookup would.
+
+    The check is part of the plan, so nothing runs ahead of the query.
+    """
+    rest = [name for name in dim.columns if name not in keys]
+    values = F.min(F.struct(*(F.col(f"`{name}`") for name in rest)))
+    rows = dim.na.drop(subset=list(keys)).groupBy(*keys).agg(F.count("*").alias("_n"), values.alias("_v"))
+    told = F.concat(F.lit(f"lookup key {tuple(keys)} is not unique: "), F.to_json(F.struct(*keys)))
+    checked = F.when(F.col("_n") > 1, F.raise_error(told)).otherwise(F.col("_v"))
+    return rows.select(*keys, checked.alias("_v")).select(*(f"_v.{name}" if name in rest else name for name in dim.columns))
 
 
 def lookup_merge(fact: DataFrame, dim: DataFrame, keys: Mapping[str, str]) -> DataFrame:

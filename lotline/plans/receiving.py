@@ -7,7 +7,7 @@ from collections.abc import Sequence
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from lotline.functions import clock, codes
-from lotline.operators.joins import Window
+from lotline.operators.joins import Window, require_unique
 from lotline.sources.sheets import read_csv_fill
 from lotline.sources.snapshots import write_snapshot
 
@@ -62,9 +62,8 @@ def putaway_pending(
     """
     labels = received_labels(label_grouped, label_single, company=company, excluded_areas=excluded_areas)
     checkers = employee.select(F.col("cd_funcionario").alias("cd_func_conferencia"), "nm_funcionario")
-    rows = labels.join(checkers, "cd_func_conferencia").join(
-        product.select("cd_produto", "ds_produto"), "cd_produto", "left"
-    )
+    names = require_unique(product.select("cd_produto", "ds_produto"), ["cd_produto"])
+    rows = labels.join(checkers, "cd_func_conferencia").join(names, "cd_produto", "left")
     if ordered:
         rows = rows.orderBy("dt_conferencia", "etiqueta", "cd_produto", "cd_agenda", "tp_etiqueta")
     return rows.select(

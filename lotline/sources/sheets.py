@@ -4,29 +4,42 @@ from __future__ import annotations
 
 from collections.abc import Mapping, Sequence
 
-from pyspark.sql import DataFrame, SparkSession, functions as F
+from pyspark.sql import DataFrame, DataFrameReader, SparkSession, functions as F
 
 from lotline.functions.display import text_export
 
+# One dialect for all cells: quotes inside a quoted cell are doubled.
+DIALECT = {"quote": '"', "escape": '"', "ignoreLeadingWhiteSpace": False, "ignoreTrailingWhiteSpace": False}
 
-def read_positional(spark: SparkSession, path: str, names: Sequence[str]) -> DataFrame:
-    """Cells without a header row, as text under the given names."""
+
+def _cells(spark: SparkSession, multi_line: bool) -> DataFrameReader:
+    """Reader of cells with doubled quotes. Cells may hold line breaks, for which a file is
+    read in one piece; without ``multi_line`` large files are split and a torn row fails."""
+    reader = spark.read.options(**DIALECT).option("multiLine", multi_line)
+    return reader if multi_line else reader.option("mode", "FAILFAST")
+
+
+def read_positional(spark: SparkSession, path: str, names: Sequence[str], *, multi_line: bool = True) -> DataFrame:
+    """Cells without a header row, as text under the given names; a blank is ``''``."""
     schema = ", ".join(f"`{name}` string" for name in names)
-    return spark.read.csv(path, schema=schema, header=False, enforceSchema=True)
+    cells = _cells(spark, multi_line).csv(path, schema=schema, header=False, enforceSchema=True)
+    return text_export(cells, null_text="")
 
 
-def read_headed(spark: SparkSession, path: str, n_cols: int | None = None) -> DataFrame:
-    """Cells as text under the names of the header row, first ``n_cols`` columns."""
-    cells = spark.read.csv(path, header=True)
-    return cells.select(*(f"`{name}`" for name in cells.columns[:n_cols]))
+def read_headed(spark: SparkSession, path: str, n_cols: int | None = None, *, multi_line: bool = True) -> DataFrame:
+    """Cells as text under the names of the header row, first ``n_cols`` columns; a blank is ``''``."""
+    cells = _cells(spark, multi_line).csv(path, header=True)
+    return text_export(cells.select(*(f"`{name}`" for name in cells.columns[:n_cols])), null_text="")
 
 
-def read_csv_fill(spark: SparkSession, path: str, schema: str | None = None) -> DataFrame:
+def read_csv_fill(
+    spark: SparkSession, path: str, schema: str | None = None, *, multi_line: bool = True
+) -> DataFrame:
     """Headed CSV as text with blanks as ``''``.
 
     Types come from ``schema``, or are inferred by one more pass over the file.
     """
-    reader = spark.read.option("header", True)
+    reader = _cells(spark, multi_line).option("header", True)
     typed = reader.csv(path, schema=schema) if schema else reader.csv(path, inferSchema=True)
     return text_export(typed, null_text="")
 

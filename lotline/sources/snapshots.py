@@ -12,8 +12,11 @@ import uuid
 from pyspark.sql import DataFrame, Observation, SparkSession, functions as F
 
 from lotline.functions.display import text_export
+from lotline.sources.sheets import DIALECT
 
 POINTER = "CURRENT"
+# A cell without value, as told from an empty text.
+NULL_CELL = "\\N"
 
 
 def scratch_dir(spark: SparkSession, purpose: str) -> str:
@@ -74,7 +77,7 @@ def _publish(spark: SparkSession, path: str, versions: list[str]) -> None:
 def write_snapshot(df: DataFrame, path: str, fmt: str = "parquet", header: bool = False) -> int:
     """Replace what ``path`` holds by ``df`` and return the number of rows written.
 
-    CSV is written as text cells, with a header row only when asked for. The snapshot
+    CSV is written as text cells as they are, NULL as ``\\N``, with a header row only when asked for. The snapshot
     before stays for readers that have begun; older ones are removed.
     """
     spark = df.sparkSession
@@ -83,7 +86,7 @@ def write_snapshot(df: DataFrame, path: str, fmt: str = "parquet", header: bool
     out = text_export(df) if fmt == "csv" else df
     writer = out.observe(written, F.count(F.lit(1)).alias("rows")).write.format(fmt)
     if fmt == "csv":
-        writer = writer.option("header", header)
+        writer = writer.options(**DIALECT).option("nullValue", NULL_CELL).option("header", header)
     try:
         writer.save(f"{path}/{version}")
     except Exception:
@@ -112,5 +115,5 @@ def read_snapshot(
     if schema:
         reader = reader.schema(schema)
     if fmt == "csv":
-        reader = reader.option("header", header)
+        reader = reader.options(**DIALECT).options(nullValue=NULL_CELL, multiLine=True, header=header)
     return reader.load(current_snapshot(spark, path))

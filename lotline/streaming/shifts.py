@@ -1,19 +1,31 @@
 """Shift production kept up to date from a stream of picks.
 
-Shifts start on whole hours, so hourly windows per lot hold all that the report
-needs; business date, shift and hour follow from the start of the window.
+Shifts start on whole hours, so sums per hour and lot hold all that the report needs;
+business date, shift and hour follow from the start of the hour. Every batch stores the
+sums of its own picks, and the report adds them up: sums of rounded quantities add
+exactly, so picks may land late and in any order, and there is no state to keep.
+
+The store is a folder with a directory ``lote_id=<batch>`` per batch and one ``upto=<batch>`` that
+holds the sums of all batches up to that one, each split by business date. A directory
+appears by one rename, so readers never see half of one.
 """
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession, functions as F
+import uuid
+
+from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 from pyspark.sql.streaming import StreamingQuery
 
 from lotline.functions import amounts, clock, codes
 from lotline.operators.filters import recent_business_days
 from lotline.plans.warehouse import COMPANY, production_rows
 
-LATENESS = "1 day"
+HOURS_SCHEMA = "inicio timestamp, cd_carga {lot}, qt decimal(38,6), m3 decimal(38,15), dia date"
+
+
+def _sums() -> list[Column]:
+    return [F.sum("qt").cast("decimal(38,6)").alias("qt"), F.sum("m3").cast("decimal(38,15)").alias("m3")]
 
 
 def hourly_production(
@@ -22,53 +34,110 @@ def hourly_production(
     product: DataFrame,
     *,
     company: int = COMPANY,
-    lateness: str = LATENESS,
     weight_by_qty: bool = False,
 ) -> DataFrame:
-    """Quantity and volume by hour and lot; ``dt_separacao`` must be a TIMESTAMP.
+    """Quantity and volume by business date, hour and lot."""
+    rows = production_rows(picks, order_header, product, company=company, weight_by_qty=weight_by_qty)
+    hour = F.date_trunc("hour", "dt_separacao").alias("inicio")
+    sums = rows.groupBy(hour, "cd_carga").agg(*_sums())
+    return sums.withColumn("dia", clock.business_date(F.col("inicio")))
 
-    State holds one row per lot and hour younger than ``lateness``; later picks may
-    be dropped, so let a nightly ``shift_production`` settle the past days. Each batch
-    reads ``order_header`` anew: pass the orders that can still be picked, not all.
-    """
-    timely = picks.withWatermark("dt_separacao", lateness)
-    rows = production_rows(timely, order_header, product, company=company, weight_by_qty=weight_by_qty)
-    return (
-        rows.groupBy(F.window("dt_separacao", "1 hour").alias("w"), "cd_carga")
-        .agg(F.sum("qt").alias("qt"), F.sum("m3").alias("m3"))
-        .select(F.col("w.start").alias("inicio"), "cd_carga", "qt", "m3")
-    )
+
+def _folder(spark: SparkSession, path: str):
+    place = spark._jvm.org.apache.hadoop.fs.Path(path)
+    return place.getFileSystem(spark._jsc.hadoopConfiguration()), place
+
+
+def _publish(hours: DataFrame, path: str, name: str) -> None:
+    """Write ``hours`` aside and show them as ``name`` by one rename; what is there already stays."""
+    spark = hours.sparkSession
+    files, target = _folder(spark, f"{path}/{name}")
+    if files.exists(target):
+        return
+    aside = f"{path}/_{uuid.uuid4().hex}"
+    hours.hint("rebalance", "dia").write.partitionBy("dia").parquet(aside)
+    files.rename(spark._jvm.org.apache.hadoop.fs.Path(aside), target)
 
 
 def store_hours(
-    hours: DataFrame, path: str, checkpoint: str, *, once: bool = False, files: int = 8
+    picks: DataFrame,
+    order_header: DataFrame,
+    product: DataFrame,
+    path: str,
+    checkpoint: str,
+    *,
+    company: int = COMPANY,
+    weight_by_qty: bool = False,
+    once: bool = False,
 ) -> StreamingQuery:
-    """Store the changed hours of each batch in their own directory of ``files`` files.
+    """Store the hourly sums of each batch of the stream ``picks``.
 
-    A repeated batch overwrites its directory, so nothing is counted twice. Batches
-    older than the days still reported hold no hour that is read and may be deleted.
+    ``dt_separacao`` must be a TIMESTAMP. A repeated batch holds the same picks and is not
+    stored again. Each batch reads ``order_header`` anew: pass the orders that can still be picked.
     """
 
     def store(batch: DataFrame, batch_id: int) -> None:
-        batch.repartition(files, "inicio", "cd_carga").write.mode("overwrite").parquet(f"{path}/lote_id={batch_id}")
+        hours = hourly_production(batch, order_header, product, company=company, weight_by_qty=weight_by_qty)
+        _publish(hours, path, f"lote_id={batch_id}")
 
-    writer = hours.writeStream.outputMode("update").foreachBatch(store).option("checkpointLocation", checkpoint)
+    writer = picks.writeStream.foreachBatch(store).option("checkpointLocation", checkpoint)
     writer = writer.trigger(availableNow=True) if once else writer.trigger(processingTime="1 minute")
     return writer.start()
 
 
+def _stored(spark: SparkSession, path: str) -> tuple[int, list[int]]:
+    """Last batch of the newest fold (-1 before any) and the batches after it."""
+    files, place = _folder(spark, path)
+    names = [status.getPath().getName() for status in files.listStatus(place)]
+    folded = max([-1, *(int(name[len("upto=") :]) for name in names if name.startswith("upto="))])
+    batches = (int(name[len("lote_id=") :]) for name in names if name.startswith("lote_id="))
+    return folded, sorted(batch for batch in batches if batch > folded)
+
+
+def _read(spark: SparkSession, path: str, folded: int, batches: list[int], lot: str) -> DataFrame:
+    names = [f"upto={folded}"] * (folded >= 0) + [f"lote_id={batch}" for batch in batches]
+    hours = spark.createDataFrame([], HOURS_SCHEMA.format(lot=lot))
+    for name in names:
+        hours = hours.unionByName(spark.read.schema(hours.schema).parquet(f"{path}/{name}"))
+    return hours
+
+
+def compact_hours(spark: SparkSession, path: str, *, lot: str = "bigint") -> int:
+    """Fold all stored batches into one directory and remove those it replaces; returns the last one folded.
+
+    Readers take the newest fold and the batches after it, so each sees either the
+    batches or their fold. What the fold before replaced is removed, what this one replaces stays for readers
+    that have begun.
+    """
+    folded, batches = _stored(spark, path)
+    if not batches:
+        return folded
+    hours = _read(spark, path, folded, batches, lot)
+    sums = hours.groupBy("inicio", "cd_carga", "dia").agg(*_sums())
+    _publish(sums, path, f"upto={batches[-1]}")
+    files, place = _folder(spark, path)
+    for status in files.listStatus(place):
+        name = status.getPath().getName()
+        number = name.partition("=")[2]
+        if number.isdigit() and (int(number) < folded or name == f"lote_id={folded}"):
+            files.delete(status.getPath(), True)
+    return batches[-1]
+
+
 def stored_shift_production(
-    spark: SparkSession, path: str, *, as_of: clock.AsOf, window_days: int = 2
+    spark: SparkSession, path: str, *, as_of: clock.AsOf, window_days: int = 2, lot: str = "bigint"
 ) -> DataFrame:
-    """Shift production from the stored hours; the last batch of an hour counts."""
-    hours = spark.read.parquet(path).filter(recent_business_days(F.col("inicio"), as_of, window_days))
-    last = hours.groupBy("inicio", "cd_carga").agg(F.max(F.struct("lote_id", "qt", "m3")).alias("v"))
+    """Shift production from the stored sums; only the business dates shown are read. ``lot`` is the type of the lot."""
+    hours = _read(spark, path, *_stored(spark, path), lot)
+    first = F.date_sub(F.to_date(F.lit(str(as_of))), window_days + 1)
+    hours = hours.filter(F.col("dia") >= first).filter(recent_business_days(F.col("inicio"), as_of, window_days))
+    sums = hours.groupBy("inicio", "cd_carga").agg(*_sums())
     start = F.col("inicio")
-    return last.select(
+    return sums.select(
         clock.iso_day_text(clock.business_date(start)).alias("dt_competencia"),
         "cd_carga",
         clock.shift_of_hour(F.hour(start)).alias("turno"),
-        F.col("v.qt").alias("qt_separado"),
-        amounts.truncate_number(F.col("v.m3")).alias("cubagem"),
+        F.col("qt").alias("qt_separado"),
+        amounts.truncate_number(F.col("m3")).alias("cubagem"),
         codes.pad2(F.hour(start)).alias("hora"),
     )

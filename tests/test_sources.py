@@ -11,7 +11,7 @@ from lotline.plans import receiving, warehouse
 from lotline.sources import sheets, tables
 from lotline.sources.snapshots import current_snapshot, read_snapshot, scratch_dir, write_snapshot
 from lotline.streaming.refresh import refresh_on_arrival
-from lotline.streaming.shifts import hourly_production, store_hours, stored_shift_production
+from lotline.streaming.shifts import compact_hours, hourly_production, store_hours, stored_shift_production
 from tests.conftest import SF_DIR
 
 
@@ -39,7 +39,7 @@ def test_jdbc_options_need_a_split():
 def test_positional_and_headed(spark):
     path = scratch_dir(spark, "sheet")
     spark.createDataFrame([("1", "2,5", None)], "a string, b string, c string").write.csv(path, header=False)
-    assert rows(sheets.read_positional(spark, path, ["X", "Y", "Z"])) == [("1", "2,5", None)]
+    assert rows(sheets.read_positional(spark, path, ["X", "Y", "Z"])) == [("1", "2,5", "")]
     headed = scratch_dir(spark, "sheet")
     spark.createDataFrame([("1", "x", "y")], "`A 1` string, b string, c string").write.csv(headed, header=True)
     got = sheets.read_headed(spark, headed, 2)
@@ -115,25 +115,26 @@ def landed(v, path, lower, upper):
     part.withColumn("dt_separacao", F.col("dt_separacao").cast("timestamp")).write.mode("append").parquet(path)
 
 
-def test_stream_equals_batch_and_goes_on_after_restart(spark):
+def test_stream_equals_batch_whatever_the_order_of_landing(spark):
     v = Views(spark, SF_DIR)
     source, stored, progress = (scratch_dir(spark, x) for x in ("in", "hours", "progress"))
-    landed(v, source, 0, 500)
-    schema = spark.read.parquet(source).schema
 
     def run():
+        schema = spark.read.parquet(source).schema
         picks = spark.readStream.schema(schema).parquet(source)
-        hours = hourly_production(picks, v.order_header, v.product, lateness="60 days")
-        store_hours(hours, stored, progress, once=True).awaitTermination()
+        store_hours(picks, v.order_header, v.product, stored, progress, once=True).awaitTermination()
 
-    run()
-    landed(v, source, 500, 10**9)
-    run()
-    got = stored_shift_production(spark, stored, as_of=reports.SHIFT_AS_OF)
-    assert rows(got) == rows(reports.shifts(v))
+    for lower, upper in ((600, 10**9), (300, 600), (0, 300)):  # newest first
+        landed(v, source, lower, upper)
+        run()
+    expected = rows(reports.shifts(v))
+    assert rows(stored_shift_production(spark, stored, as_of=reports.SHIFT_AS_OF)) == expected
+    assert compact_hours(spark, stored) == 2
+    assert rows(stored_shift_production(spark, stored, as_of=reports.SHIFT_AS_OF)) == expected
+    assert compact_hours(spark, stored) == 2
 
 
-def test_late_rows_do_not_change_settled_hours(spark):
+def test_late_rows_are_counted(spark):
     v = Views(spark, SF_DIR)
     source, stored, progress = (scratch_dir(spark, x) for x in ("in", "hours", "progress"))
     landed(v, source, 0, 10**9)
@@ -141,14 +142,14 @@ def test_late_rows_do_not_change_settled_hours(spark):
 
     def run():
         picks = spark.readStream.schema(schema).parquet(source)
-        hours = hourly_production(picks, v.order_header, v.product, lateness="1 hour")
-        store_hours(hours, stored, progress, once=True).awaitTermination()
-        total = spark.read.parquet(stored).groupBy("inicio", "cd_carga").agg(F.max("qt").alias("q"))
-        return total.agg(F.sum("q")).first()[0]
+        store_hours(picks, v.order_header, v.product, stored, progress, once=True).awaitTermination()
+        last = compact_hours(spark, stored)
+        return spark.read.parquet(f"{stored}/upto={last}").agg(F.sum("qt")).first()[0]
 
+    late = hourly_production(v.pick_event.filter("nu_pedido < 10"), v.order_header, v.product).agg(F.sum("qt")).first()[0]
     before = run()
-    landed(v, source, 0, 10)  # the oldest picks once more, far behind the watermark
-    assert run() == before
+    landed(v, source, 0, 10)  # the oldest picks once more
+    assert late > 0 and run() == before + late
 
 
 def test_refresh_publishes_each_arrival(spark):
@@ -174,3 +175,33 @@ def test_shift_window_reaches_the_scan(spark):
     v = Views(spark, SF_DIR)
     plan = warehouse.shift_production(v.pick_event, v.order_header, v.product, as_of=reports.SHIFT_AS_OF)
     assert "GreaterThanOrEqual(ts,2024-01-28T06:00)" in plan._jdf.queryExecution().executedPlan().toString()
+
+
+CELLS = [("1", 'he said "hi", ok', "  a "), ("2", "two\nlines", ""), ("3", "a,b", None)]
+
+
+def test_snapshot_cells_come_back_as_they_were(spark):
+    path = scratch_dir(spark, "cells")
+    write_snapshot(spark.createDataFrame(CELLS, "a string, b string, c string"), path, fmt="csv", header=True)
+    assert rows(read_snapshot(spark, path, fmt="csv", header=True)) == rows(
+        spark.createDataFrame(CELLS, "a string, b string, c string")
+    )
+
+
+def test_sheet_cells_with_quotes_breaks_and_blanks(spark):
+    path = scratch_dir(spark, "cells")
+    text = 'a,b,c\n1,"he said ""hi"", ok",  a \n2,"two\nlines",\n'
+    spark.createDataFrame([(text,)], "value string").coalesce(1).write.text(path)
+    expected = [("1", 'he said "hi", ok', "  a "), ("2", "two\nlines", "")]
+    assert [tuple(r) for r in sheets.read_headed(spark, path).collect()] == expected
+    assert [tuple(r) for r in sheets.read_csv_fill(spark, path).collect()] == expected
+    positional = sheets.read_positional(spark, path, ["a", "b", "c"]).collect()
+    assert [tuple(r) for r in positional][1:] == expected
+
+
+def test_repeated_product_fails_the_report(spark):
+    v = Views(spark, SF_DIR)
+    twice = v.product.unionAll(v.product)
+    plan = receiving.putaway_pending(v.label_grouped, v.label_single, twice, v.employee, as_of="2001-12-01", company=1590)
+    with pytest.raises(Exception, match="not unique"):
+        plan.collect()
