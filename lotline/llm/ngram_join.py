@@ -32,9 +32,10 @@ RECALL = 0.99999  # of pairs at the similarity, in large buckets less
 PLACES = 64  # min-hashes of a set
 PATHS = 2  # places that a set follows per step, on average
 AGREE = 38  # equal places of sets that are verified: 0.6, four deviations below 0.8
-BUCKET = 512  # sets that are compared outright
+BUCKET = 2048  # sets that are compared outright; a group of near copies below it is not split in vain
 DEPTH = 3  # steps of a path; larger buckets at its end are compared in blocks
 BLOCK_GRAMS = 1 << 20  # n-grams of a cluster that are verified in one task
+BLOCK_SETS = 512  # and sets
 SLOTS = 1 << 19  # hash slots of ids that are broadcast, at most
 COLUMNS = 4096  # n-grams per product of matrices
 
@@ -321,7 +322,7 @@ def ngram_join(docs: DataFrame, *, doc_id: str = "doc_id", text: str = "text") -
     )
     clusters = components(candidate_links(classes)).select(F.col("id").alias("key"), F.col("root").alias("cluster"))
     members = stored(clusters.join(classes.select("key", "class_id", "size", "n_grams"), "key"), "members")
-    blocks = F.greatest(F.ceil(F.sum("n_grams") / BLOCK_GRAMS), F.ceil(F.count("*") / BUCKET))
+    blocks = F.greatest(F.ceil(F.sum("n_grams") / BLOCK_GRAMS), F.ceil(F.count("*") / BLOCK_SETS))
     totals = members.groupBy("cluster").agg(blocks.alias("n"))
     members = stored(members.join(totals, "cluster"), "members")
 
