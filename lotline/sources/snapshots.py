@@ -7,6 +7,7 @@ place and readers never see half of one.
 
 from __future__ import annotations
 
+import re
 import uuid
 
 from pyspark.sql import DataFrame, Observation, SparkSession, functions as F
@@ -22,14 +23,18 @@ NULL_CELL = "\\N"
 def scratch_dir(spark: SparkSession, purpose: str) -> str:
     """New directory name in the shared folder of the cluster.
 
-    That is ``spark.checkpoint.dir``; where the session names none, a folder in the home
-    directory of the default file system, which all executors see on a cluster.
+    That is ``spark.checkpoint.dir``. Where the session names none, it is a folder in the
+    home directory of the default file system, or, when driver and executors are one
+    process (master ``local``), in its temporary folder.
     """
     base = spark.conf.get("spark.checkpoint.dir", None)
     if not base:
-        hadoop = spark._jvm.org.apache.hadoop.fs
-        home = hadoop.FileSystem.get(spark._jsc.hadoopConfiguration()).getHomeDirectory()
-        base = hadoop.Path(home, ".lotline-scratch").toString()
+        if re.fullmatch(r"local(\[.*\])?", spark.sparkContext.master):
+            home = spark._jvm.java.lang.System.getProperty("java.io.tmpdir")
+        else:
+            hadoop = spark._jvm.org.apache.hadoop.fs
+            home = hadoop.FileSystem.get(spark._jsc.hadoopConfiguration()).getHomeDirectory().toString()
+        base = f"{home.rstrip('/')}/lotline-scratch"
     return f"{base.rstrip('/')}/{purpose}-{uuid.uuid4().hex}"
 
 
