@@ -201,7 +201,7 @@ def backlog_lines(
     before the shuffle and spreads hot orders; columns of one side travel as a struct,
     which keeps the generated code of that step short.
     """
-    orders = release_time(chosen.rows, chosen.cut(t.site_time, ["numpedven"]))
+    orders = release_time(chosen.rows, t.site_time)
     orders = orders.join(t.mode.select("codmodal", F.col("descricao").alias("modalidade")), "codmodal", "left")
     orders = orders.withColumn("tipo_pedido", codes.decode_values(F.col("tipoped"), ORDER_KINDS))
     orders = orders.select(*ORDER_KEYS, F.struct(*ORDER_COLUMNS).alias("ordered"))
@@ -285,7 +285,7 @@ def order_backlog(
         backlog_lines(t, chosen, origin=origin, salts=salts)
         .join(lots, ["numlote", "filorig"], "left")
         .join(routes, "praca", "left")
-        .join(first_reservations(chosen.cut(t.reservation, ["codreserva"])), ["codreserva", "coditprod"], "left")
+        .join(first_reservations(t.reservation), ["codreserva", "coditprod"], "left")
     )
     latest = clock.latest_of(F.col("dtlibfat_mod"), F.col("dtpedido"), F.col("dtentrega"))
     derived = lines.withColumns(
