@@ -354,12 +354,12 @@ def _(v):
 
 @check(
     "lookup_scalar_multi",
-    """select numpedven, case when a.descricao = 'NORTE' and codmodal = 'COU' then 'SEDEX'
-              when a.descricao = 'NORTE' and codmodal <> 'COU' then 'FAVORITA' else a.descricao end rota
-       from erp_order o left join erp_area_route a on a.praca = o.praca""",
+    """select numpedven, case when a.rota = 'NORTE' and codmodal = 'COU' then 'SEDEX'
+              when a.rota = 'NORTE' and codmodal <> 'COU' then 'FAVORITA' else a.rota end rota
+       from erp_order o left join x_routes a on a.praca = o.praca""",
 )
 def _(v):
-    routes = v.erp_area_route.select("praca", F.col("descricao").alias("rota"))
+    routes = backlog.route_of_area(v.erp_area, v.erp_area_route, v.erp_route)
     joined = v.erp_order.join(routes, "praca", "left")
     return joined.select("numpedven", backlog.delivery_route().alias("rota"))
 
@@ -503,39 +503,20 @@ def _(v):
 
 @check(
     "agg_wide_keys",
-    reports.grouped_picks(f"""
-    select cd_funcionario id, nm_funcionario nome, {at('dt_separacao')} dt, cd_endereco, quadrante, cd_produto,
-           ds_familia, ds_linha, {n6('sum(qt_separado)')} qtde
-    from named group by all"""),
-)
-def _(v):
-    ts = F.col("dt_separacao")
-    recent = v.pick_event.filter(
-        filters.recent_business_days(ts, reports.PICK_AS_OF, 7) & ~F.col("cd_endereco").startswith("T99")
-    )
-    sums = (
-        warehouse.picks_of_tasks(recent, v.task)
-        .groupBy("cd_funcionario", clock.to_second(ts).alias("dt"), "cd_endereco", "cd_produto")
-        .agg(F.sum("qt_separado").alias("qtde"))
-    )
-    return (
-        sums.join(reports.profile(v).select("cd_endereco", "quadrante"), "cd_endereco")
-        .join(v.employee, "cd_funcionario", "left")
-        .join(v.product.select("cd_produto", "cd_familia", "cd_linha"), "cd_produto", "left")
-        .join(v.family, "cd_familia", "left")
-        .join(v.product_line, "cd_linha", "left")
-        .select(
-            F.col("cd_funcionario").alias("id"),
-            F.col("nm_funcionario").alias("nome"),
-            "dt",
-            "cd_endereco",
-            "quadrante",
-            "cd_produto",
-            "ds_familia",
-            "ds_linha",
-            "qtde",
-        )
-    )
+    reports.grouped_picks(
+        f"""
+    select cd_funcionario id, nm_funcionario nome, strftime(dt_separacao, '%d/%m/%Y %H:%M:%S') dt_separacao,
+           cd_endereco, quadrante, {reports.STATION_CASE} posto, cd_produto, ds_familia, ds_linha,
+           nu_pedido_origem, cd_carga lote, nu_tarefa tarefa, {n6('sum(qt_separado)')} qtde_separada
+    from named group by all""",
+        since="2024-01-27",
+    ),
+)
+def _(v):
+    return reports.productivity(v, window_days=3, ordered=False).select(
+        "id", "nome", "dt_separacao", "cd_endereco", "quadrante", "posto", "cd_produto", "ds_familia", "ds_linha",
+        "nu_pedido_origem", "lote", "tarefa", "qtde_separada",
+    )
 
 
 @check("distinct_rows", "select distinct cd_agenda, cd_produto from label_grouped")

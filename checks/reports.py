@@ -29,7 +29,9 @@ def tables(v: Views) -> backlog.BacklogTables:
         mode=v.erp_mode,
         lot=v.erp_lot,
         reservation=v.erp_reservation,
+        area=v.erp_area,
         area_route=v.erp_area_route,
+        route=v.erp_route,
         site_time=v.erp_site_time,
     )
 
@@ -55,7 +57,9 @@ def enriched(v: Views):
 
 
 def profile(v: Views):
-    return warehouse.location_profile(v.location, v.storage_class, v.storage_area, v.location_type, v.station)
+    return warehouse.location_profile(
+        v.location, v.storage_class, v.storage_area, v.location_type, v.location_station, v.station
+    )
 
 
 M3 = "cast(vl_altura as bigint) * cast(vl_largura as bigint) * cast(vl_profundidade as bigint)"
@@ -223,8 +227,12 @@ SHARED["x_reserved"] = """
     from erp_reservation
     qualify row_number() over (partition by codreserva, coditprod
         order by dtentrega, numpedcomp, codsitprod, tipopedido, codreservay nulls first) = 1"""
+SHARED["x_routes"] = """
+    select praca, (select t.descricao from erp_area_route l join erp_route t on t.codrota = l.codrota
+                   where l.praca = a.praca) rota
+    from erp_area a"""
 SHARED["x_states"] = """
-    select x.*, r.numpedcomp, r.reserved_at, a.descricao rota,
+    select x.*, r.numpedcomp, r.reserved_at, a.rota,
            case when fllibfat = 'N' then '1-Nao Liberado'
                 when sitcarga = 2 then '6-Conferido Aguardando Fat'
                 when sitcarga = 8 then '8-Venda Pendente SEFAZ'
@@ -245,7 +253,7 @@ SHARED["x_states"] = """
               list_max([dtlibfat_mod, dtpedido, dtentrega]), null) latest
     from x_lines x
     left join erp_lot t on t.nlote = x.numlote and t.codfil = x.filorig
-    left join erp_area_route a on a.praca = x.praca
+    left join x_routes a on a.praca = x.praca
     left join x_reserved r on r.codreserva = x.codreserva and r.coditprod = x.coditprod
     where codfiltransffat <> 98"""
 SHARED["x_all"] = """
@@ -289,20 +297,20 @@ def _(v):
     return orders_listed(v, released_only=False)
 
 
-def productivity(v: Views):
+def productivity(v: Views, **options):
     return warehouse.pick_productivity(
         v.pick_event, v.order_header, v.task, v.employee, profile(v), v.product, v.family, v.product_line,
-        as_of=PICK_AS_OF,
+        **{"as_of": PICK_AS_OF, **options},
     )
 
 
 SHARED["x_places"] = """
-    select l.*, ds_area_armaz, ds_tipo_endereco, ds_posto, left(cd_endereco, 1) predio, left(cd_endereco, 3) rua,
-           substring(cd_endereco, 4, 3) coluna, substring(cd_endereco, 7, 3) nivel2,
-           substring(cd_endereco, 10, 3) sala, cast(substring(cd_endereco, 4, 3) as int) n,
-           case when n > 199 or left(cd_endereco, 1) not in ('P', 'B', 'G') then ''
-                when n <= if(left(cd_endereco, 1) = 'P', 37, 33) then '1 BLOCO'
-                when n <= if(left(cd_endereco, 1) = 'P', 75, 67) then '2 BLOCO' else '3 BLOCO' end quadrante,
+    select l.*, ds_area_armaz, ds_tipo_endereco, ds_posto, left(l.cd_endereco, 1) predio, left(l.cd_endereco, 3) rua,
+           substring(l.cd_endereco, 4, 3) coluna, substring(l.cd_endereco, 7, 3) nivel2,
+           substring(l.cd_endereco, 10, 3) sala, cast(substring(l.cd_endereco, 4, 3) as int) n,
+           case when n > 199 or left(l.cd_endereco, 1) not in ('P', 'B', 'G') then ''
+                when n <= if(left(l.cd_endereco, 1) = 'P', 37, 33) then '1 BLOCO'
+                when n <= if(left(l.cd_endereco, 1) = 'P', 75, 67) then '2 BLOCO' else '3 BLOCO' end quadrante,
            if(n % 2 = 0, 'PAR', 'IMPAR') posicao,
            case id_endereco_baixo when 'S' then 'BAIXO' when 'N' then 'ALTO' end nivel,
            case l.cd_situacao when '42' then 'VAZIO' when '45' then 'OCUPADO' when '47' then 'OCUPADO' end situacao,
@@ -311,8 +319,9 @@ SHARED["x_places"] = """
     from location l
     left join storage_area using (cd_area_armaz)
     left join location_type using (cd_tipo_endereco)
-    left join station using (cd_posto)
-    where cd_empresa = 12650 and cd_area_armaz not in ('98', '6', '8', '35', '4', '5', '87', '32')"""
+    left join location_station k on k.cd_empresa = l.cd_empresa and k.cd_endereco = l.cd_endereco
+    left join station s on s.cd_empresa = k.cd_empresa and s.cd_posto = k.cd_posto
+    where l.cd_empresa = 12650 and cd_area_armaz not in ('98', '6', '8', '35', '4', '5', '87', '32')"""
 SHARED["x_tasks"] = """
     select nu_tarefa, cd_funcionario, try_cast(split_part(variavel, '#', 1) as bigint) nu_separacao,
            try_cast(split_part(variavel, '#', 2) as bigint) cd_grupo_separacao
@@ -321,12 +330,16 @@ SHARED["x_tasks"] = """
       and len(variavel) - len(replace(variavel, '#', '')) >= 2"""
 
 
-def grouped_picks(select: str) -> str:
+STATION_CASE = """case ds_posto when 'MERCADO' then 'BENS DE CONSUMO' when 'GENERICO+DOCA+TEC' then 'GENERICO'
+                else ds_posto end"""
+
+
+def grouped_picks(select: str, since: str = "2024-01-23") -> str:
     return f"""
     with picks as (
         select *, hour(dt_separacao) h from pick_event
         where cd_empresa = 12650 and cd_endereco not like 'T99%'
-          and cast(dt_separacao as date) - if(hour(dt_separacao) < 6, 1, 0) >= date '2024-01-23'),
+          and cast(dt_separacao as date) - if(hour(dt_separacao) < 6, 1, 0) >= date '{since}'),
     named as (
         select p.*, o.nu_pedido_origem, e.nm_funcionario, g.ds_produto, ds_familia, ds_linha, x.rua, x.predio,
                x.coluna, x.quadrante, x.nivel, x.ds_posto,
@@ -347,8 +360,7 @@ def grouped_picks(select: str) -> str:
     grouped_picks(f"""
     select {i8('12650')} cd, rua, cd_endereco, strftime(dt_separacao, '%d/%m/%Y %H:%M:%S') dt_separacao,
            strftime(dt_separacao, '%d/%m/%Y') data_separacao,
-           case ds_posto when 'MERCADO' then 'BENS DE CONSUMO' when 'GENERICO+DOCA+TEC' then 'GENERICO'
-                else ds_posto end posto,
+           {STATION_CASE} posto,
            cd_funcionario id, nm_funcionario nome, {SHIFT_CASE} turno, nu_pedido_origem,
            strftime(dt_separacao, '%H') hs24, {n6('sum(qt_separado)')} qtde_separada,
            replace(cast(cast(sum(m3) as decimal(38,6)) as varchar), '.', ',') m3_separado, {n6('sum(m3)')} m3_valor,

@@ -86,11 +86,22 @@ VIEWS = {
     "location_type": """
         select distinct cd_tipo_endereco, 'TIPO ' || cast(cd_tipo_endereco as string) ds_tipo_endereco
         from {location}""",
+    "location_station": """
+        select 12650 cd_empresa, cd_endereco, cd_posto from {location}
+        union all
+        select 12650 cd_empresa,
+               case when cast(substr(cd_endereco, 4, 3) as int) % 9 = 0 then cd_endereco else cd_endereco || '-' end cd_endereco,
+               (cd_posto + 3) % 11 cd_posto
+        from {location}
+        union all
+        select 15350 cd_empresa, cd_endereco, (cd_posto + 1) % 11 cd_posto from {location}""",
     "station": """
-        select distinct case when cd_posto = 10 then -10 else cd_posto end cd_posto,
+        select distinct 12650 cd_empresa, case when cd_posto = 10 then -10 else cd_posto end cd_posto,
                case cd_posto when 0 then 'COFRE' when 1 then 'MERCADO' when 2 then 'GENERICO+DOCA+TEC'
-                    else 'POSTO ' || cast(cd_posto as string) end ds_posto
-        from {location}""",
+                    when 4 then 'MERCADO' else 'POSTO ' || cast(cd_posto as string) end ds_posto
+        from {location}
+        union all
+        select distinct 15350 cd_empresa, cd_posto, 'OUTRO ' || cast(cd_posto as string) ds_posto from {location}""",
     "label_grouped": """
         select case when l_suppkey % 2 = 0 then 1590 else 15350 end cd_empresa, l_orderkey cd_agenda,
                l_orderkey * 10 + l_linenumber nu_etiqueta_lote, l_shipdate dt_conferencia, l_shipdate dt_addrow,
@@ -197,8 +208,14 @@ VIEWS = {
                case when l_linenumber in (4, 5) then 'C' when l_linenumber = 6 then 'T' else 'Z' end tipopedido,
                case when l_linenumber = 7 then 1 end codreservay, l_orderkey * 10 + l_linenumber numpedcomp
         from {lineitem} join {orders} on l_orderkey = o_orderkey""",
+    "erp_area": """
+        select distinct o_custkey % 40 praca, 'PRACA ' || cast(o_custkey % 40 as string) descricao from {orders}""",
     "erp_area_route": """
         select distinct case when o_custkey % 40 = 39 then -39 else o_custkey % 40 end praca,
+               o_custkey % 40 % 12 codrota
+        from {orders}""",
+    "erp_route": """
+        select distinct o_custkey % 40 % 12 codrota,
                case when o_custkey % 40 % 12 in (0, 4) then 'NORTE'
                     else 'ROTA_' || cast(o_custkey % 40 % 12 as string) end descricao
         from {orders}""",
@@ -219,7 +236,7 @@ VIEWS = {
     "city_map": """
         select distinct case when descricao in ('NORTE', 'ROTA_11') then '-' || descricao else descricao end rota,
                'CITY_' || substr(descricao, 6, 2) cidade
-        from {erp_area_route}
+        from {erp_route}
         union all select 'SEDEX', 'CITY_S'
         union all select 'FAVORITA', 'CITY_F'""",
     "delivery": """

@@ -81,8 +81,8 @@ def lookup_merge(fact: DataFrame, dim: DataFrame, keys: Mapping[str, str]) -> Da
 
 def hot_keys(df: DataFrame, keys: Sequence[str], share: float = HOT_SHARE) -> DataFrame:
     """Keys that hold more than ``share`` of the rows: at most ``1 / share`` rows."""
-    total = df.agg(F.count("*").alias("n"))
     counts = df.groupBy(*keys).agg(F.count("*").alias("_n"))
+    total = counts.agg(F.sum("_n"))
     return counts.filter(F.col("_n") > F.lit(share) * total.scalar()).select(*keys)
 
 

@@ -9,7 +9,7 @@ from pyspark.sql import Column, DataFrame, functions as F
 
 from lotline.functions import amounts, clock, codes
 from lotline.operators.filters import differs_or_missing
-from lotline.operators.joins import Window, first_per_key, lookup_merge, salted_join
+from lotline.operators.joins import Window, first_per_key, lookup_merge, require_unique, salted_join
 
 # Codes of eligible orders.
 ORIGIN_BRANCH = 2650
@@ -113,7 +113,9 @@ class BacklogTables:
     mode: DataFrame
     lot: DataFrame
     reservation: DataFrame
+    area: DataFrame
     area_route: DataFrame
+    route: DataFrame
     site_time: DataFrame
 
 
@@ -259,6 +261,13 @@ def delivery_route() -> Column:
     return codes.classify(rules, F.col("rota"))
 
 
+def route_of_area(area: DataFrame, area_route: DataFrame, route: DataFrame) -> DataFrame:
+    """``praca, rota``: the route that serves each market area; an area with two routes fails the query."""
+    routes = route.select("codrota", F.col("descricao").alias("rota"))
+    links = area.select("praca").join(area_route.select("praca", "codrota"), "praca").join(routes, "codrota")
+    return require_unique(links.select("praca", "rota"), ["praca"])
+
+
 def first_reservations(reservation: DataFrame) -> DataFrame:
     """At most one reservation per (reservation, product): the earliest delivery."""
     return first_per_key(
@@ -279,7 +288,7 @@ def order_backlog(
 ) -> DataFrame:
     """Open order lines with status, route, supply situation, volume and value."""
     lots = t.lot.select(F.col("nlote").alias("numlote"), F.col("codfil").alias("filorig"), "flseparacao")
-    routes = t.area_route.select("praca", F.col("descricao").alias("rota"))
+    routes = route_of_area(t.area, t.area_route, t.route)
     chosen = listed_orders(t, origin, released_only)
     lines = (
         backlog_lines(t, chosen, origin=origin, salts=salts)

@@ -216,15 +216,22 @@ def location_profile(
     storage_class: DataFrame,
     storage_area: DataFrame,
     location_type: DataFrame,
+    location_station: DataFrame,
     station: DataFrame,
     *,
     company: int = COMPANY,
     excluded_areas: Sequence[str] = UNCOUNTED_AREAS,
 ) -> DataFrame:
-    """One row per counted storage address; addresses without area are left out."""
-    counted = location.filter(
-        (F.col("cd_empresa") == company) & ~F.col("cd_area_armaz").isin(*excluded_areas)
-    )
+    """One row per counted storage address and station that serves it.
+
+    ``location_station`` links addresses to the stations of their company; an address
+    without link keeps one row without station. Addresses without area are left out.
+    """
+    in_company = F.col("cd_empresa") == company
+    counted = location.filter(in_company & ~F.col("cd_area_armaz").isin(*excluded_areas))
+    links = location_station.filter(in_company).select("cd_endereco", "cd_posto")
+    names = station.filter(in_company).select("cd_posto", "ds_posto")
+    stations = links.join(names, "cd_posto", "left").select("cd_endereco", "ds_posto")
     parts = codes.address_parts(F.col("cd_endereco"))
     known_class = storage_class.filter(F.col("cd_classe").isin(*codes.CLASS_NAMES)).select(
         "cd_classe", codes.class_name(F.col("cd_classe")).alias("ds_classe_produto")
@@ -233,7 +240,7 @@ def location_profile(
         counted.join(known_class, "cd_classe", "left")
         .join(location_type.select("cd_tipo_endereco", "ds_tipo_endereco"), "cd_tipo_endereco", "left")
         .join(storage_area.select("cd_area_armaz", "ds_area_armaz"), "cd_area_armaz", "left")
-        .join(station.select("cd_posto", "ds_posto"), "cd_posto", "left")
+        .join(stations, "cd_endereco", "left")
         .select(
             "cd_empresa",
             "cd_endereco",
@@ -296,7 +303,8 @@ def pick_productivity(
 
     ``location`` is the result of ``location_profile``. Rows are summed by the keys
     of the pick alone; names and address parts follow from them and are attached to
-    the sums. The names of product, worker, family and line must be unique by key.
+    the sums. A pick counts once per station of its address, under the label of the
+    station. The names of product, worker, family and line must be unique by key.
     ``ordered=False`` leaves out the global sort, for results that are stored.
     """
     at = F.col("dt_separacao")
@@ -330,8 +338,12 @@ def pick_productivity(
         "cd_linha",
         amounts.unit_volume(F.col("vl_altura"), F.col("vl_largura"), F.col("vl_profundidade")).alias("unit_m3"),
     )
+    label = codes.station_label(F.col("ds_posto")).alias("posto")
+    places = location.groupBy("cd_endereco", "rua", "predio", "coluna", "quadrante", "nivel", label)
+    places = places.agg(F.count(F.lit(1)).cast("decimal(10,0)").alias("stations"))
     named = (
-        sums.join(location.drop("cd_empresa", "cd_situacao"), "cd_endereco")
+        sums.join(places, "cd_endereco")
+        .withColumn("qtde_separada", (F.col("qtde_separada") * F.col("stations")).cast("decimal(28,6)"))
         .join(employee.select("cd_funcionario", "nm_funcionario"), "cd_funcionario", "left")
         .join(goods, "cd_produto", "left")
         .join(family.select("cd_familia", "ds_familia"), "cd_familia", "left")
@@ -346,7 +358,7 @@ def pick_productivity(
         "cd_endereco",
         clock.second_text(at).alias("dt_separacao"),
         clock.day_text(at).alias("data_separacao"),
-        codes.station_label(F.col("ds_posto")).alias("posto"),
+        "posto",
         F.col("cd_funcionario").alias("id"),
         F.col("nm_funcionario").alias("nome"),
         clock.shift_of_hour(F.hour(at)).alias("turno"),

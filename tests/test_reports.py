@@ -107,6 +107,47 @@ def test_pick_productivity_merges_orders_of_one_origin(spark):
     assert sorted(rows(salted), key=str) == sorted(rows(plain), key=str)
 
 
+def test_stations_of_an_address(spark):
+    """One row per station of the own company; a pick counts once per station under its label."""
+    links = [(12650, "P10002001001", 1), (12650, "P10002001001", 4), (15350, "P10002001001", 2), (12650, "P10003001001", 9)]
+    links = spark.createDataFrame(links, "cd_empresa int, cd_endereco string, cd_posto int")
+    stations = [(12650, 1, "MERCADO"), (12650, 4, "MERCADO"), (15350, 1, "OTHER"), (15350, 2, "OTHER")]
+    stations = spark.createDataFrame(stations, "cd_empresa int, cd_posto int, ds_posto string")
+    v = Views(spark, SF_DIR)
+    at = v.location.limit(1).drop("cd_endereco", "cd_area_armaz")
+    at = at.withColumn("cd_area_armaz", F.lit("1")).crossJoin(
+        spark.createDataFrame([("P10002001001",), ("P10003001001",), ("P10004001001",)], "cd_endereco string")
+    )
+    places = warehouse.location_profile(at, v.storage_class, v.storage_area, v.location_type, links, stations)
+    got = sorted((r.cd_endereco, r.ds_posto) for r in places.collect())
+    assert got == [
+        ("P10002001001", "MERCADO"), ("P10002001001", "MERCADO"), ("P10003001001", None), ("P10004001001", None),
+    ]
+
+    def picked(location):
+        picks = warehouse.pick_productivity(
+            v.pick_event.withColumn("cd_endereco", F.lit("P10002001001")), v.order_header, v.task, v.employee, location,
+            v.product, v.family, v.product_line, as_of=reports.PICK_AS_OF, ordered=False,
+        )
+        return picks.groupBy("posto").agg(F.count("*").alias("n"), F.sum("qtde_separada").alias("qt")).collect()
+
+    (twice,), (once,) = picked(places), picked(places.dropDuplicates(["cd_endereco"]))
+    assert (twice.posto, twice.n, twice.qt) == ("BENS DE CONSUMO", once.n, 2 * once.qt)
+
+
+def test_area_with_two_routes_fails(spark):
+    area = spark.createDataFrame([(1,), (2,), (3,)], "praca int")
+    links = [(1, 10), (2, 20), (4, 10)]
+    route = spark.createDataFrame([(10, "NORTE"), (20, "SUL")], "codrota int, descricao string")
+
+    def routes(rows):
+        return backlog.route_of_area(area, spark.createDataFrame(rows, "praca int, codrota int"), route)
+
+    assert sorted(rows(routes(links))) == [(1, "NORTE"), (2, "SUL")]
+    with pytest.raises(Exception, match="not unique"):
+        routes([*links, (2, 10)]).collect()
+
+
 def test_putaway_drops_labels_without_area(spark):
     schema = (
         "cd_empresa int, cd_agenda int, {label} int, dt_conferencia timestamp_ntz, dt_addrow timestamp_ntz, "
