@@ -22,8 +22,8 @@ from pyspark.sql import DataFrame, functions as F
 
 from lotline.llm.common import batch_task, texts_of
 
-# Pieces and stretches whose ids a worker remembers: some 300 MB at most.
-CACHED = 700_000
+# Pieces, and stretches, whose ids a worker remembers: some 100 MB at most.
+CACHED = 250_000
 CACHED_CHARS = 48
 # Pieces of like length are merged together, from so many on and so many at a time.
 TOGETHER = 48
@@ -225,7 +225,10 @@ class Codec:
                 first, *rest = text.split(" ")
                 cut.append([first, *(" " + word for word in rest)])
         missing = set().union(*cut).difference(self.stretches)
-        matched = {stretch: self.pattern.findall(stretch) for stretch in missing}
+        matched = {}
+        for stretch in missing:
+            found = self.pattern.findall(stretch)
+            matched[stretch] = [stretch] if found == [stretch] else found  # one text in memory, not two
         pieces = self.pieces
         pieces.update(self._ids_of_pieces(set().union(*matched.values()).difference(pieces)))
         of_piece = pieces.__getitem__
