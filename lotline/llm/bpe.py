@@ -289,7 +289,7 @@ def digest_batches(batches: Iterator[pa.RecordBatch], path: str, pattern: str) -
 
 
 def token_batches(batches: Iterator[pa.RecordBatch], path: str, pattern: str) -> Iterator[pa.RecordBatch]:
-    """Ids of each text with their number, and whether they decode to the text."""
+    """Ids of each text with their number, and whether they decode to the text; columns after the text follow."""
     tool = codec(path, pattern)
     for batch in batches:
         texts = batch.column(1).to_pylist()
@@ -298,7 +298,8 @@ def token_batches(batches: Iterator[pa.RecordBatch], path: str, pattern: str) ->
         ends = pa.array(np.cumsum([0, *map(len, ids)]), pa.int32())
         flat = pa.array(np.concatenate([np.zeros(0, "<u4"), *ids]).astype(np.int32))
         columns = [batch.column(0), pa.array(map(len, ids), pa.int64()), pa.ListArray.from_arrays(ends, flat)]
-        yield pa.RecordBatch.from_arrays([*columns, pa.array(right, pa.bool_())], names=["doc_id", "n_tokens", "ids", "decodes"])
+        columns += [pa.array(right, pa.bool_()), *batch.columns[2:]]
+        yield pa.RecordBatch.from_arrays(columns, names=["doc_id", "n_tokens", "ids", "decodes", *batch.schema.names[2:]])
 
 
 def _id_type(df: DataFrame) -> str:
@@ -333,11 +334,14 @@ def round_trip(docs: DataFrame, path: str, pattern: str, *, doc_id: str = "doc_i
     return docs.mapInArrow(batch_task("bpe", "digest_batches", path, pattern), schema)
 
 
-def tokens(docs: DataFrame, path: str, pattern: str, *, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
+def tokens(
+    docs: DataFrame, path: str, pattern: str, *, doc_id: str = "doc_id", text: str = "text", keep: tuple[str, ...] = ()
+) -> DataFrame:
     """``doc_id, n_tokens, ids, decodes`` of every whole text; the last tells whether the ids give the text again.
 
-    Nulls, empties and repeated rows as in ``encode``.
+    The columns ``keep`` follow. Nulls, empties and repeated rows as in ``encode``.
     """
-    docs = texts_of(docs, doc_id, text)
-    schema = f"doc_id {_id_type(docs)}, n_tokens long, ids array<int>, decodes boolean"
+    docs = texts_of(docs, doc_id, text, *(F.col(f"`{name}`") for name in keep))
+    kept = "".join(f", `{name}` {docs.schema[name].dataType.simpleString()}" for name in keep)
+    schema = f"doc_id {_id_type(docs)}, n_tokens long, ids array<int>, decodes boolean{kept}"
     return docs.mapInArrow(batch_task("bpe", "token_batches", path, pattern), schema)

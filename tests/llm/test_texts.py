@@ -14,8 +14,8 @@ from hypothesis import given, settings, strategies as st
 from tokenizers import Tokenizer
 
 import corpus_pipeline
-from lotline.llm import bpe, divergence, quality, simple8b, textstats, token_files, toxicity
-from lotline.llm.queries import QUERIES
+from lotline.llm import bpe, divergence, mixing, quality, simple8b, textstats, token_files, toxicity
+from lotline.llm.queries import MIX_WEIGHTS, QUERIES
 from lotline.sources.snapshots import scratch_dir
 from tests.conftest import SF_DIR
 
@@ -238,6 +238,19 @@ def test_pipeline(spark):
     assert len(lost) <= 0.05 * len(good)
 
 
+def test_pipeline_tells_the_mixed_stream(spark, frame):
+    rows = [(i // 2 if i < 40 else i, f"text {i}", None, f"src{i % 3}" if i % 9 else None, 7) for i in range(400)]
+    docs = frame(rows, "doc_id long, text string, lang string, source string, n_chars long").repartition(7)
+    stages = dict(corpus_pipeline.STAGES)
+    stream = mixing.mix(docs, MIX_WEIGHTS, keep=tuple(docs.columns)).orderBy("slot", "place").collect()
+    ordered = stages["mixing"](spark, docs, SF_DIR).repartition(5)  # as stored files come back
+    got = stages["tokens"](spark, ordered, SF_DIR).orderBy("slot", "place").collect()
+    tool = oracle()
+    assert [(r.doc_id, r.slot, r.place, r.share, tool.decode(r.ids)) for r in got] == [
+        (r.doc_id, r.slot, r.place, r.share, r.text) for r in stream
+    ]
+
+
 def test_stages_on_odd_rows(spark, frame):
     docs = frame([(i, text, None, None, 0, "extra") for i, text in ODD], "doc_id long, text string, lang string, source string, n_chars long, key string")
     for name, stage in corpus_pipeline.STAGES:
