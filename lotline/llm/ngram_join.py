@@ -27,11 +27,11 @@ from lotline.llm.graph import components, group_bounds, local_roots, sorted_grou
 
 NGRAM = 5
 SIMILARITY = 0.8
-RECALL = 0.99999  # of pairs at the similarity, in large buckets less
+RECALL = 0.99999  # of pairs at the similarity
 
 PLACES = 64  # min-hashes of a set
 PATHS = 2  # places that a set follows per step, on average
-AGREE = 38  # equal places of sets that are verified: 0.6, four deviations below 0.8
+AGREE = 35  # equal places of sets that are verified: five deviations below 0.8
 BUCKET = 2048  # sets that are compared outright; a group of near copies below it is not split in vain
 DEPTH = 3  # steps of a path; larger buckets at its end are compared in blocks
 BLOCK_GRAMS = 1 << 20  # n-grams of a cluster that are verified in one task
@@ -40,6 +40,21 @@ SLOTS = 1 << 19  # hash slots of ids that are broadcast, at most
 COLUMNS = 4096  # n-grams per product of matrices
 
 RUNS = math.ceil(math.log(1 - RECALL) / (SIMILARITY * PLACES * math.log(1 - PATHS / PLACES)))
+SPLIT_RUNS = 2  # runs in a bucket that is split
+
+
+def missed(splits: int) -> float:
+    """Share of the pairs at the similarity that agree in too few places, or meet only in buckets that are
+    split ``splits`` times and in none of those they are split into."""
+    total = 0.0
+    for equal in range(PLACES + 1):
+        share = math.comb(PLACES, equal) * SIMILARITY**equal * (1 - SIMILARITY) ** (PLACES - equal)
+        apart = 0.0  # chance that the pair is not compared, though it is in one bucket
+        for runs in [SPLIT_RUNS] * splits + [RUNS]:
+            apart = (1 - PATHS / PLACES * (1 - apart)) ** (runs * equal)
+        total += share * (apart if equal >= AGREE else 1)
+    return total
+
 
 CACHED = 400_000
 U64 = np.uint64
@@ -147,7 +162,7 @@ def path_batches(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         values = _mixed((values | np.arange(PLACES, dtype=np.uint64) << U64(16)) + U64(1))
         paths = np.asarray(batch.column("path")).astype(np.int64).view(np.uint64)
         keys = np.asarray(batch.column("key"))
-        for rows, found in _followed(values, paths, 1):
+        for rows, found in _followed(values, paths, SPLIT_RUNS):
             yield pa.RecordBatch.from_arrays([pa.array(found), pa.array(keys[rows])], names=["path", "key"])
 
 

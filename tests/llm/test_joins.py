@@ -6,6 +6,7 @@ import re
 from collections import Counter
 
 import numpy as np
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
@@ -87,6 +88,29 @@ def test_ngram_join(spark, monkeypatch, bucket, block):
     assert ngram_join.ngram_join(docs.limit(0)).count() == 0
 
 
+def test_recall_of_split_buckets():
+    assert all(ngram_join.missed(splits) < 1 - ngram_join.RECALL for splits in range(ngram_join.DEPTH))
+    # Pairs that agree in 51 of 64 places meet again when their bucket is split.
+    rng = np.random.default_rng(6)
+    n = 3000
+    left = rng.integers(0, 2**16, (n, ngram_join.PLACES), dtype=np.uint16)
+    right = left.copy()
+    right[:, 51:] ^= 1
+    sketches = [row.tobytes() for side in (left, right) for row in side]
+    paths = np.tile(rng.integers(-(2**63), 2**63, n), 2)
+    batch = pa.RecordBatch.from_arrays(
+        [pa.array(range(2 * n)), pa.array(sketches, pa.binary()), pa.array(paths)], names=["key", "sketch", "path"]
+    )
+    found = [set() for _ in range(2 * n)]
+    for out in ngram_join.path_batches(iter([batch])):
+        for path, key in zip(out.column("path").to_pylist(), out.column("key").to_pylist()):
+            found[key].add(path)
+    met = sum(not found[i].isdisjoint(found[n + i]) for i in range(n)) / n
+    places = 51 * ngram_join.SPLIT_RUNS
+    assert met > 0.95
+    assert met == pytest.approx(1 - (1 - ngram_join.PATHS / ngram_join.PLACES) ** places, abs=0.02)
+
+
 def test_ngram_join_repeated_ids(spark):
     text = " ".join(f"w{i}" for i in range(40))
     docs = spark.createDataFrame([(1, text), (1, text), (1, "other words " + text[::-1]), (None, text)], "doc_id long, text string")
