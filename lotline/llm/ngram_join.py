@@ -112,6 +112,7 @@ def digest(grams: np.ndarray) -> tuple[int, int]:
 
 
 def sketch_batches(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Class, size, sketch and paths of rows ``doc_id, text, print``."""
     seen: dict[str, int] = {}
     for batch in batches:
         rows = []
@@ -131,13 +132,14 @@ def sketch_batches(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch
         yield pa.RecordBatch.from_arrays(
             [
                 batch.column(0),
+                batch.column(2),
                 pa.array(first, pa.int64()),
                 pa.array(second, pa.int64()),
                 pa.array(sizes, pa.int64()),
                 pa.array(sketches, pa.binary()),
                 pa.array(paths, pa.list_(pa.int64())),
             ],
-            names=["doc_id", "key", "key2", "n_grams", "sketch", "paths"],
+            names=["doc_id", "print", "key", "key2", "n_grams", "sketch", "paths"],
         )
 
 
@@ -243,13 +245,16 @@ def candidate_links(classes: DataFrame) -> DataFrame:
 
 
 def gram_batches(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """The full sets of representatives; a row whose text is not that of the class is left out."""
+    """The full sets of representatives, once each where rows repeat one; a text that is not of the class is left out."""
     seen: dict[str, int] = {}
+    done: set[int] = set()
     for batch in batches:
         keys, data = [], []
         for key, text in zip(batch.column("key").to_pylist(), batch.column("text").to_pylist()):
-            grams = ngrams(text, seen)
+            grams = ngrams(text, seen) if key not in done else ()
             right = len(grams) > 0 and digest(grams)[0] == key
+            if right:
+                done.add(key)
             keys.append(right)
             data.append(grams.tobytes() if right else None)
         rest = [batch.column(name) for name in ("cluster", "key", "size", "n")]
@@ -318,25 +323,28 @@ def ngram_join(docs: DataFrame, *, doc_id: str = "doc_id", text: str = "text") -
     documents linked directly, ``component_id`` the smallest id that links reach, and ``kept`` tells
     whether that is the document itself. A text of fewer than five words is one gram. Documents
     without words, NULL texts included, link with nothing and are kept. Rows that repeat an
-    id are documents of their own. An empty table gives no rows; other columns are ignored.
+    id, and rows without id, are documents of their own; a missing id comes after all others, so that
+    ``class_id`` and ``component_id`` are NULL only where no document has an id, and all of those are kept.
+    An empty table gives no rows; other columns are ignored.
     """
-    rows = texts_of(docs, doc_id, text)
+    # Id and print name the text of a class, whatever ids repeat or are missing.
+    rows = texts_of(docs, doc_id, text).withColumn("print", F.unhex(F.md5(F.col("text").cast("binary"))))
     id_type = rows.schema["doc_id"].dataType.simpleString()
-    schema = f"doc_id {id_type}, key long, key2 long, n_grams long, sketch binary, paths array<long>"
+    schema = f"doc_id {id_type}, print binary, key long, key2 long, n_grams long, sketch binary, paths array<long>"
     known = stored(rows.mapInArrow(batch_task("ngram_join", "sketch_batches"), schema), "sketches")
     classes = known.filter("key is not null").groupBy("key", "key2")
     classes = stored(
         classes.agg(
-            F.min("doc_id").alias("class_id"),
+            F.min(F.struct(F.isnull("doc_id").alias("none"), "doc_id", "print")).alias("least"),
             F.count("*").alias("size"),
             F.first("n_grams").alias("n_grams"),
             F.first("sketch").alias("sketch"),
             F.first("paths").alias("paths"),
-        ),
+        ).withColumns({"class_id": F.col("least.doc_id"), "print": F.col("least.print")}).drop("least"),
         "classes",
     )
     clusters = components(candidate_links(classes)).select(F.col("id").alias("key"), F.col("root").alias("cluster"))
-    members = stored(clusters.join(classes.select("key", "class_id", "size", "n_grams"), "key"), "members")
+    members = stored(clusters.join(classes.select("key", "class_id", "print", "size", "n_grams"), "key"), "members")
     blocks = F.greatest(F.ceil(F.sum("n_grams") / BLOCK_GRAMS), F.ceil(F.count("*") / BLOCK_SETS))
     totals = members.groupBy("cluster").agg(blocks.alias("n"))
     members = stored(members.join(totals, "cluster"), "members")
@@ -345,7 +353,8 @@ def ngram_join(docs: DataFrame, *, doc_id: str = "doc_id", text: str = "text") -
     slot = F.pmod(F.xxhash64("doc_id"), F.lit(SLOTS)).alias("slot")
     slots = members.select(F.col("class_id").alias("doc_id")).select(slot).distinct()
     texts = rows.withColumn("slot", slot).join(F.broadcast(slots), "slot", "left_semi").drop("slot")
-    texts = texts.join(members.withColumnRenamed("class_id", "doc_id"), "doc_id")
+    members = members.withColumnRenamed("print", "__print")
+    texts = texts.join(members, F.col("doc_id").eqNullSafe(F.col("class_id")) & (F.col("print") == F.col("__print")))
     texts = texts.select("text", "cluster", "key", "size", "n")
     schema = "cluster long, key long, size long, n long, grams binary"
     sets = texts.mapInArrow(batch_task("ngram_join", "gram_batches"), schema)

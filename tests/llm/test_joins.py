@@ -118,6 +118,15 @@ def test_ngram_join_repeated_ids(spark):
     assert got == [(False, 1, 0), (False, 1, 2), (False, 1, 2), (True, 0, 2)]
 
 
+def test_ngram_join_near_copies_without_id(spark):
+    words = [f"w{i}" for i in range(60)]
+    near, other = [*words[:-1], "end"], [f"v{i}" for i in range(60)]
+    texts = [(1, words), (None, near), (None, near), (None, other), (None, [*other[:-1], "end"]), (None, ["alone"])]
+    docs = spark.createDataFrame([(i, " ".join(one)) for i, one in texts], "doc_id long, text string")
+    got = sorted((r.component_id or 0, r.doc_id or 0, r.n_links) for r in ngram_join.ngram_join(docs).collect())
+    assert got == [(0, 0, 0), (0, 0, 1), (0, 0, 1), (1, 0, 2), (1, 0, 2), (1, 1, 2)]
+
+
 @pytest.mark.parametrize("leaf", [1024, 16])
 def test_vector_forest(spark, monkeypatch, leaf):
     monkeypatch.setattr(vector_forest, "LEAF", leaf)
