@@ -315,6 +315,11 @@ def verify_batches(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch
             yield pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(columns, schema)], schema=schema)
 
 
+def _printed(docs: DataFrame, doc_id: str, text: str) -> DataFrame:
+    """``doc_id, text, print``: id and print name a text, whatever ids repeat or are missing."""
+    return texts_of(docs, doc_id, text).withColumn("print", F.unhex(F.md5(F.col("text").cast("binary"))))
+
+
 def ngram_join(docs: DataFrame, *, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
     """``doc_id, class_id, n_links, component_id, kept`` of every document.
 
@@ -327,8 +332,49 @@ def ngram_join(docs: DataFrame, *, doc_id: str = "doc_id", text: str = "text") -
     ``class_id`` and ``component_id`` are NULL only where no document has an id, and all of those are kept.
     An empty table gives no rows; other columns are ignored.
     """
-    # Id and print name the text of a class, whatever ids repeat or are missing.
-    rows = texts_of(docs, doc_id, text).withColumn("print", F.unhex(F.md5(F.col("text").cast("binary"))))
+    known, told = _told(_printed(docs, doc_id, text))
+    out = known.select("doc_id", "key").join(told, "key", "left")
+    out = out.select(
+        "doc_id",
+        F.coalesce("class_id", "doc_id").alias("class_id"),
+        F.coalesce("n_links", F.lit(0).cast("long")).alias("n_links"),
+        F.coalesce("component_id", "doc_id").alias("component_id"),
+    )
+    return out.withColumn("kept", F.col("component_id").eqNullSafe(F.col("doc_id")))
+
+
+def without_copies(docs: DataFrame, *, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
+    """The rows of ``docs`` but for copies and near copies: one row of each group stays, one of its smallest id.
+
+    Rows are told apart by id and text, so that those that share an id or have none count each for
+    itself; among rows equal in both, the least by all columns stays. Texts without words all stay.
+    """
+    known, told = _told(_printed(docs, doc_id, text))
+    name = F.struct(F.isnull("doc_id").alias("none"), "doc_id", "print").alias("name")
+    rows = known.filter("key is not null").select("key", name).join(told.select("key", "root"), "key")
+    names = stored(rows.groupBy("root", "name").agg(F.count("*").alias("n")), "names")
+    first = names.groupBy("root").agg(F.min("name").alias("first"), F.sum("n").alias("n_group"))
+    marks = names.join(first.filter("n_group > 1"), "root")
+    marks = marks.withColumn("stays", F.col("name") == F.col("first")).filter("not stays or n > 1")
+    marks = stored(marks.select(F.col("name.doc_id").alias("__id"), F.col("name.print").alias("__print"), "stays"), "copies")
+
+    whole = F.coalesce(F.col(f"`{text}`").cast("string"), F.lit(""))
+    marked = docs.withColumn("__own", F.unhex(F.md5(whole.cast("binary"))))
+    same = F.col(f"`{doc_id}`").eqNullSafe(F.col("__id")) & (F.col("__own") == F.col("__print"))
+    out = marked.join(marks, same, "left_anti").select(*docs.columns)
+    again = marks.filter("stays")
+    if not again.take(1):
+        return out
+    one = F.min(F.struct(*(F.col(f"`{c}`") for c in docs.columns))).alias("one")
+    repeated = marked.join(again, same, "left_semi").groupBy(F.col(f"`{doc_id}`").alias("__id"), "__own").agg(one)
+    return out.unionByName(repeated.select("one.*"))
+
+
+def _told(rows: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """Rows ``doc_id, print, key`` of all texts, and ``key, root, class_id, n_links, component_id`` of every class.
+
+    ``root`` names the component, also where no document of it has an id.
+    """
     id_type = rows.schema["doc_id"].dataType.simpleString()
     schema = f"doc_id {id_type}, print binary, key long, key2 long, n_grams long, sketch binary, paths array<long>"
     known = stored(rows.mapInArrow(batch_task("ngram_join", "sketch_batches"), schema), "sketches")
@@ -377,17 +423,11 @@ def ngram_join(docs: DataFrame, *, doc_id: str = "doc_id", text: str = "text") -
     told = stored(
         named.join(least, "root").select(
             "key",
+            "root",
             "class_id",
             (F.col("size") - 1 + F.coalesce("n_links", F.lit(0))).alias("n_links"),
             "component_id",
         ),
         "groups",
     )
-    out = known.select("doc_id", "key").join(told, "key", "left")
-    out = out.select(
-        "doc_id",
-        F.coalesce("class_id", "doc_id").alias("class_id"),
-        F.coalesce("n_links", F.lit(0).cast("long")).alias("n_links"),
-        F.coalesce("component_id", "doc_id").alias("component_id"),
-    )
-    return out.withColumn("kept", F.col("component_id").eqNullSafe(F.col("doc_id")))
+    return known, told

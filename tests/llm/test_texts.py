@@ -251,6 +251,17 @@ def test_pipeline_tells_the_mixed_stream(spark, frame):
     ]
 
 
+def test_one_row_of_each_group_stays(spark, frame):
+    words = [f"w{i}" for i in range(60)]
+    text, near, own = " ".join(words), " ".join([*words[:-1], "end"]), "a text of its own"
+    third = " ".join(f"v{i}" for i in range(60))
+    rows = [(1, text), (2, near), (2, own), (3, third), (3, third), (None, near), (None, "no id"), (None, "no id"), (4, ""), (4, "")]
+    docs = frame([(i, t, "en", "s", k) for k, (i, t) in enumerate(rows)], "doc_id long, text string, lang string, source string, n_chars long")
+    out = dict(corpus_pipeline.STAGES)["near_copies"](spark, docs, SF_DIR)
+    assert out.columns == docs.columns
+    assert sorted((r.n_chars, r.text) for r in out.collect()) == [(k, rows[k][1]) for k in (0, 2, 3, 6, 8, 9)]
+
+
 def test_stages_on_odd_rows(spark, frame):
     docs = frame([(i, text, None, None, 0, "extra") for i, text in ODD], "doc_id long, text string, lang string, source string, n_chars long, key string")
     for name, stage in corpus_pipeline.STAGES:
