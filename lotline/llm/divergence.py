@@ -4,7 +4,9 @@ Two histograms of each document, of character classes and of common words, are h
 against those of the languages by the Jensen-Shannon distance. The references are sums
 over all documents of a language that are long enough, so no list of norms is needed.
 A document fails when its distance to the nearest language is too large; documents
-below a minimum length are not judged by a histogram they cannot fill.
+below a minimum length are not judged by a histogram they cannot fill. Languages without
+a word list have a reference of classes only, which their own documents are held against
+besides; a histogram for which the language of a document has no reference does not judge it.
 """
 
 from __future__ import annotations
@@ -31,6 +33,7 @@ SHOWN = {form: i for i, word in enumerate(WORDS) for form in (word, word.decode(
 MIN_WORDS, MAX_REPEATED = 20, 30  # words at least; percent of words in repeated windows at most
 MIN_CHARS_JUDGED, MIN_WORDS_JUDGED = 200, 150
 MAX_CLASS_DISTANCE, MAX_WORD_DISTANCE = 0.28, 0.33
+MIN_REFERENCE_DOCS = 20  # long documents of a language without word list that has a reference
 
 COUNTS = ("n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words")
 N_BINS = textstats.CLASSES + len(WORDS) + 1
@@ -91,14 +94,34 @@ def distances(bins: np.ndarray, references: np.ndarray) -> np.ndarray:
     return np.where((totals[:, 0] > 0) & np.isfinite(nearest), nearest, 0.0)
 
 
-def judge_batches(batches: Iterator[pa.RecordBatch], references: list[list[float]]) -> Iterator[pa.RecordBatch]:
-    reference = np.array(references, dtype=np.float64).reshape(-1, N_BINS)
+def nearest(
+    bins: np.ndarray, langs: list[str | None], references: list[tuple[str, list[float]]]
+) -> tuple[np.ndarray, np.ndarray]:
+    """Distances of rows to the nearest reference of classes and of words; 0 where a language has none."""
+    named = [lang for lang, _ in references]
+    reference = np.array([sums for _, sums in references], dtype=np.float64).reshape(-1, N_BINS)
+    listed = np.array([lang in COMMON_WORDS for lang in named], bool)
     cut = textstats.CLASSES
+    by_class, by_word = np.zeros(len(bins)), np.zeros(len(bins))
+    group = [lang if lang not in COMMON_WORDS else "" for lang in langs]  # all listed languages are judged alike
+    for lang in set(group):
+        rows = np.flatnonzero([one == lang for one in group])
+        if lang is None or lang == "" or lang in named:
+            held = listed | np.array([lang is None or one == lang for one in named], bool)
+            by_class[rows] = distances(bins[rows, :cut], reference[held, :cut])
+        if lang is None or lang == "":
+            by_word[rows] = distances(bins[rows, cut:], reference[listed, cut:])
+    return by_class, by_word
+
+
+def judge_batches(
+    batches: Iterator[pa.RecordBatch], references: list[tuple[str, list[float]]]
+) -> Iterator[pa.RecordBatch]:
     for batch in batches:
         bins = np.asarray(batch.column("bins").flatten()).astype(np.float64).reshape(-1, N_BINS)
         counts = [batch.column(name) for name in COUNTS]
         n_words, word_chars, n_repeat = (np.asarray(counts[i]) for i in (0, 1, 4))
-        by_class, by_word = distances(bins[:, :cut], reference[:, :cut]), distances(bins[:, cut:], reference[:, cut:])
+        by_class, by_word = nearest(bins, batch.column("lang").to_pylist(), references)
         failed = (n_words < MIN_WORDS) | (100 * n_repeat > MAX_REPEATED * n_words)
         strange = (word_chars >= MIN_CHARS_JUDGED) & (by_class > MAX_CLASS_DISTANCE)
         strange |= (n_words >= MIN_WORDS_JUDGED) & (by_word > MAX_WORD_DISTANCE)
@@ -119,11 +142,13 @@ def quality_rules(docs: DataFrame, *, doc_id: str = "doc_id", text: str = "text"
     """Counts, distances and verdict of every document.
 
     Words are runs without ASCII white space. A NULL text counts as empty, and an empty
-    one fails by its length. Documents without language or of one that has no word list
-    help no reference and are judged like all others by the nearest. An empty table gives
+    one fails by its length. Documents of ``COMMON_WORDS`` are judged by the nearest of those
+    languages, documents without language by the nearest of all. A language that has no word list
+    gets a reference of classes from ``MIN_REFERENCE_DOCS`` long documents on; its documents are judged
+    by that one too, never by words, and with fewer by the base rules only. An empty table gives
     no rows; without any reference only the base rules judge. Rows are taken one by one.
     """
-    rows = texts_of(docs, doc_id, text, F.col(f"`{lang}`").cast("string").alias("lang"))
+    rows = texts_of(docs, doc_id, text, F.nullif(F.col(f"`{lang}`").cast("string"), F.lit("")).alias("lang"))
     id_type = rows.schema["doc_id"].dataType.simpleString()
     counts = ", ".join(f"{name} long" for name in COUNTS)
     profiles = stored(
@@ -134,11 +159,12 @@ def quality_rules(docs: DataFrame, *, doc_id: str = "doc_id", text: str = "text"
     )
     long_enough = (F.col("n_words") >= MIN_WORDS_JUDGED) & (F.col("word_chars") >= MIN_CHARS_JUDGED)
     sums = (
-        profiles.filter(long_enough & F.col("lang").isin(*COMMON_WORDS))
+        profiles.filter(long_enough & F.col("lang").isNotNull())
         .groupBy("lang")
-        .agg(*(F.sum(F.col("bins")[i]).alias(f"b{i}") for i in range(N_BINS)))
+        .agg(F.count("*").alias("n"), *(F.sum(F.col("bins")[i]).alias(f"b{i}") for i in range(N_BINS)))
+        .filter(F.col("lang").isin(*COMMON_WORDS) | (F.col("n") >= MIN_REFERENCE_DOCS))
     )
-    references = [list(row[1:]) for row in sorted(sums.collect())]  # one row per listed language
+    references = [(row[0], list(row[2:])) for row in sorted(sums.collect())]  # one row per language
     return profiles.mapInArrow(
         batch_task("divergence", "judge_batches", references),
         f"doc_id {id_type}, {counts}, base_failed boolean, kept boolean, class_distance double, word_distance double",

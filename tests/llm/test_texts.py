@@ -153,6 +153,23 @@ def test_quality_rules_on_odd_rows(frame):
     assert divergence.quality_rules(odd_docs(frame).limit(0)).count() == 0
 
 
+def test_other_languages_are_not_held_against_the_listed(frame):
+    rng = random.Random(8)
+    forms = {
+        "en": [*divergence.COMMON_WORDS["en"].split(), "house", "river", "morning", "letter"],
+        "ru": "дом река утро письмо город человек время слово дело жизнь день рука работа место вопрос лицо друг".split(),
+        "el": "σπίτι ποτάμι πρωί γράμμα πόλη άνθρωπος χρόνος λέξη ζωή ημέρα χέρι δουλειά τόπος πρόσωπο φίλος".split(),
+    }
+    langs = ["en"] * 30 + ["ru"] * 30 + ["el"] * 3
+    rows = [(i, " ".join(rng.choice(forms[lang]) for _ in range(200)) + ".", lang) for i, lang in enumerate(langs)]
+    junk = " ".join(str(rng.randrange(10**9)) + "#$%" for _ in range(100))
+    rows += [(100, junk, "en"), (101, junk, "ru"), (102, junk, None)]
+    got = {r.doc_id: r for r in divergence.quality_rules(frame(rows, "doc_id long, text string, lang string")).collect()}
+    assert all(got[i].kept for i in range(len(langs)))
+    assert 0 < got[30].class_distance < divergence.MAX_CLASS_DISTANCE and got[30].word_distance == 0
+    assert not any(got[i].kept or got[i].base_failed for i in (100, 101, 102))
+
+
 def test_divergence_is_the_jensen_shannon_distance():
     p, q = np.array([3.0, 1.0, 0.0]), np.array([1.0, 1.0, 2.0])
     a, b = p / p.sum(), q / q.sum()
