@@ -12,6 +12,7 @@ from lotline.llm import (
     divergence,
     mixing,
     ngram_join,
+    part_codes,
     quality,
     secret_scan,
     token_files,
@@ -20,7 +21,7 @@ from lotline.llm import (
     vector_forest,
 )
 from lotline.llm.common import read
-from lotline.llm.sql import mixing_sql, secret_scan_sql, url_filter_sql
+from lotline.llm.sql import mixing_sql, part_codes_sql, secret_scan_sql, url_filter_sql
 from lotline.sources.snapshots import scratch_dir
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -101,8 +102,14 @@ def op10_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_files.read_token_index(spark, path)
 
 
+@query
+def op11_part_codes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return part_codes.part_codes(read(spark, sf_dir, "embeddings"))
+
+
 SQL |= {
     "op3_url_filter": url_filter_sql(),
     "op5_secret_scan": secret_scan_sql(),
     "op9_source_mixing": mixing_sql(MIX_WEIGHTS),
+    "op11_part_codes": part_codes_sql(),
 }

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from lotline.llm import mixing, url_filter
+from lotline.llm import mixing, part_codes, url_filter
 
 
 def secret_scan_sql() -> str:
@@ -126,3 +126,41 @@ def url_filter_sql() -> str:
     odds as (select row, round((x - middle) * slope, 6) log_odds from scores, calibrated where act is null)
     select page_id, host, path, rule, coalesce(act, case when log_odds >= 0 then 'allow' else 'block' end) verdict, log_odds
     from judged left join odds using (row)"""
+
+
+def part_codes_sql() -> str:
+    """Codebooks round by round, with plain squared differences of all parts and entries."""
+    parts, entries, rounds = part_codes.PARTS, part_codes.ENTRIES, part_codes.ROUNDS
+    steps = []
+    for i in range(rounds + 1):
+        steps.append(
+            f"""d{i} as materialized (
+        select row, p, min(struct_pack(d := d, e := e)) best from (
+            select c.row, c.p, b.e, sum((c.x - b.x) * (c.x - b.x)) d from comps c join b{i} b using (p, j) group by all)
+        group by all)"""
+        )
+        if i < rounds:
+            steps.append(
+                f"""b{i + 1} as materialized (
+        select p, e, j, coalesce(m.x, b.x) x from b{i} b left join (
+            select p, best.e e, j, cast((sum(x) - (sum(x) % count(*) + count(*)) % count(*)) // count(*) as bigint) x
+            from d{i} join comps using (row, p) group by all) m using (p, e, j))"""
+            )
+    return f"""
+    with v as materialized (
+        select row_number() over (order by vec_id nulls last, embedding) row, vec_id, label,
+               list_transform(embedding, x -> cast(floor(1024 * cast(x as double)) as bigint)) c
+        from embeddings
+        where embedding is not null and len(list_filter(embedding, x -> x is null or not isfinite(x))) = 0),
+    size as (select greatest(1, ceil(max(len(c)) / {parts})) m from v),
+    comps as materialized (
+        select row, cast((i - 1) // m as int) p, cast((i - 1) % m as int) j, coalesce(c[i], 0) x
+        from (select row, c, m, unnest(range(1, cast({parts} * m as bigint) + 1)) i from v, size)),
+    b0 as materialized (select p, cast(row - 1 as int) e, j, x from comps where row <= {entries}),
+    {", ".join(steps)},
+    told as (
+        select row, string_agg(printf('%02x', best.e), '' order by p) code, cast(sum(best.d) as bigint) error
+        from d{rounds} group by row),
+    books as (select sha256(coalesce(string_agg(cast(x as varchar), ',' order by p, e, j), '')) h from b{rounds})
+    select vec_id, code, error, cast(sum(error) over (partition by label) as bigint) label_error, h codebooks_sha256
+    from v join told using (row), books"""
