@@ -149,10 +149,10 @@ def part_codes_sql() -> str:
     return f"""
     with v as materialized (
         select row_number() over (order by vec_id nulls last, embedding) row, vec_id, label,
-               list_transform(embedding, x -> cast(floor(1024 * cast(x as double)) as bigint)) c
+               [cast(floor(1024 * cast(x as double)) as bigint) for x in embedding] c
         from embeddings
-        where embedding is not null and len(list_filter(embedding, x -> x is null or not isfinite(x))) = 0),
-    size as (select greatest(1, ceil(max(len(c)) / {parts})) m from v),
+        where embedding is not null and len([x for x in embedding if x is null or not isfinite(x)]) = 0),
+    size as (select greatest(1, cast(ceil(max(len(c)) / {parts}) as bigint)) m from v),
     comps as materialized (
         select row, cast((i - 1) // m as int) p, cast((i - 1) % m as int) j, coalesce(c[i], 0) x
         from (select row, c, m, unnest(range(1, cast({parts} * m as bigint) + 1)) i from v, size)),
