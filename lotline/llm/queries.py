@@ -13,6 +13,7 @@ from lotline.llm import (
     mixing,
     ngram_join,
     part_codes,
+    periodic,
     quality,
     secret_scan,
     token_files,
@@ -107,6 +108,12 @@ def op11_part_codes(spark: SparkSession, sf_dir: str) -> DataFrame:
     return part_codes.part_codes(read(spark, sf_dir, "embeddings"))
 
 
+@query
+def op12_periodic_runs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = periodic.with_planted_runs(read(spark, sf_dir, "documents"))
+    return periodic.digests(periodic.periodic_runs(docs))
+
+
 SQL |= {
     "op3_url_filter": url_filter_sql(),
     "op5_secret_scan": secret_scan_sql(),
