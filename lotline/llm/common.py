@@ -13,6 +13,8 @@ ROOT = os.path.dirname(os.path.dirname(os.path.dirname(os.path.abspath(__file__)
 
 # Python tasks get batches of this many rows, so that long texts stay within a task's memory.
 BATCH_ROWS = 1000
+# Text that a task works on at once; one text more may pass it.
+CHUNK_CHARS = 4 << 20
 
 
 def stored(df: DataFrame, purpose: str) -> DataFrame:
@@ -71,5 +73,17 @@ def texts_of(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", *more:
     return docs.select(F.col(f"`{doc_id}`").alias("doc_id"), whole, *more)
 
 
+def text_chunks(texts: list, size: int = CHUNK_CHARS) -> Iterator[list]:
+    """Neighbouring texts (or bytes) up to ``size`` characters together; whole texts always."""
+    start, held = 0, 0
+    for end, text in enumerate(texts, 1):
+        held += len(text)
+        if held >= size:
+            yield texts[start:end]
+            start, held = end, 0
+    if start < len(texts):
+        yield texts[start:]
+
+
 def read(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")

@@ -20,11 +20,9 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, functions as F
 
-from lotline.llm.common import batch_task, texts_of
+from lotline.llm.common import batch_task, text_chunks, texts_of
 
 LEAST_WORDS, LEAST_PERIODS = 6, 4
-# Text taken at once (one text more may pass it).
-CHUNK_BYTES = 4 << 20
 # Words compared at first when a seed is extended; doubled while they match.
 REACH = 16
 
@@ -158,24 +156,12 @@ def collapsed(words: list[bytes], runs: np.ndarray) -> bytes:
     return b" ".join([words[i] for i in np.flatnonzero(np.cumsum(change[:-1]) == 0).tolist()])
 
 
-def _chunks(texts: list[bytes]) -> Iterator[list[bytes]]:
-    held, size = [], 0
-    for text in texts:
-        held.append(text)
-        size += len(text)
-        if size >= CHUNK_BYTES:
-            yield held
-            held, size = [], 0
-    if held:
-        yield held
-
-
 def run_batches(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """``doc_id, runs, collapsed`` of ``doc_id, text``."""
     entry = pa.struct([("start", pa.int64()), ("length", pa.int64()), ("period", pa.int64())])
     for batch in batches:
         at = 0
-        for texts in _chunks(batch.column(1).cast(pa.binary()).to_pylist()):
+        for texts in text_chunks(batch.column(1).cast(pa.binary()).to_pylist()):
             # Bytes split at the six characters of ASCII white space.
             split = [text.split() for text in texts]
             counts = np.array([len(words) for words in split], dtype=np.int64)

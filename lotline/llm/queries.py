@@ -10,6 +10,7 @@ from pyspark.sql import DataFrame, SparkSession, functions as F
 from lotline.llm import (
     bpe,
     divergence,
+    language,
     mixing,
     ngram_join,
     part_codes,
@@ -114,6 +115,11 @@ def op12_periodic_runs(spark: SparkSession, sf_dir: str) -> DataFrame:
     return periodic.digests(periodic.periodic_runs(docs))
 
 
+@query
+def op13_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return language.language_of(read(spark, sf_dir, "documents"))
+
+
 SQL |= {
     "op3_url_filter": url_filter_sql(),
     "op5_secret_scan": secret_scan_sql(),
