@@ -27,8 +27,8 @@ PARTS, ENTRIES, ROUNDS = 4, 256, 4
 SCALE_BITS = 10  # components are told in 1024ths
 
 # Coefficients added between two eliminations, and pairs of rows and entries compared at once.
-BLOCK = 4
-PAIRS = 1 << 20
+BLOCK = 8
+PAIRS = 1 << 16
 # Sums leave a task in digits of this many bits, so that adding them up cannot overflow.
 DIGIT = 32
 # A label with more than this share of the rows is joined by broadcast; there are fewer than 1 / HOT_SHARE.
