@@ -22,7 +22,7 @@ from itertools import chain
 import numpy as np
 import pyarrow as pa
 import regex
-from pyspark.sql import DataFrame, Window, functions as F
+from pyspark.sql import DataFrame, functions as F
 
 from lotline.llm.common import CHUNK_CHARS, batch_task, stored, text_chunks, texts_of
 
@@ -198,9 +198,21 @@ def fold_of(doc_id) -> F.Column:
 
 
 def _most_frequent(counts: DataFrame, item: str, most: int) -> pa.Table:
-    """The ``most`` items of each language with the greatest counts, by item."""
-    rank = F.row_number().over(Window.partitionBy("lang").orderBy(F.col("n").desc(), item))
-    found = counts.withColumn("rank", rank).filter(F.col("rank") <= most).drop("rank")
+    """At most ``most`` items of each language, by item: those with the greatest counts, equal counts all or none.
+
+    The least count of each language is told from the number of items per count, so nothing is sorted.
+    """
+    least: dict[str, int] = {}
+    held: Counter = Counter()
+    # Different counts are few: n of them need n * (n + 1) / 2 words of the documents drawn.
+    for row in counts.groupBy("lang", "n").count().orderBy(F.col("n").desc(), "lang").collect():
+        held[row.lang] += row["count"]
+        if held[row.lang] <= most:
+            least[row.lang] = row.n
+    if not least:
+        return counts.limit(0).toArrow()
+    bounds = counts.sparkSession.createDataFrame(list(least.items()), "lang string, least long")
+    found = counts.join(F.broadcast(bounds), "lang").filter("n >= least").drop("least")
     return found.toArrow().sort_by([(item, "ascending"), ("lang", "ascending")])
 
 
