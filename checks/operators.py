@@ -348,8 +348,8 @@ def _(v):
               (select ds_produto from product p where p.cd_produto = s.cd_produto) ds_produto from label_single s""",
 )
 def _(v):
-    names = joins.require_unique(v.product.select("cd_produto", "ds_produto"), ["cd_produto"])
-    return v.label_single.join(names, "cd_produto", "left").select("nu_etiqueta", "cd_produto", "ds_produto")
+    named = joins.lookup_one(v.label_single, v.product.select("cd_produto", "ds_produto"), ["cd_produto"])
+    return named.select("nu_etiqueta", "cd_produto", "ds_produto")
 
 
 @check(

@@ -12,31 +12,66 @@ from collections.abc import Mapping, Sequence
 from functools import reduce
 from operator import or_
 
-from pyspark.sql import DataFrame, functions as F
+from pyspark.sql import Column, DataFrame, functions as F
 
 # A key above this share of the rows is hot; there are fewer than 1/share such keys.
 HOT_SHARE = 0.01
 
-# Hash slots of the keys of a window: the most rows that a cut broadcasts, whatever the keys.
-SLOTS = 1 << 20
+# Items that the summary behind ``hot_keys`` tracks per possible hot key: its error is a quarter of the share at most.
+TRACKED = 16
+MOST_TRACKED = 1_000_000
+
+# Bits of the set that a window keeps of its keys: 16 MB, in words of 64 bits, whatever the number of keys.
+BITS = 1 << 27
+
+
+def _key_hash(df: DataFrame, keys: Sequence[str]) -> Column:
+    """Hash of the keys, NULL where one is NULL; whole numbers of any width hash alike."""
+    whole = {"tinyint", "smallint", "int"}
+    types = dict(df.select(*keys).dtypes)
+    plain = [F.col(key).cast("bigint") if types[key] in whole else F.col(key) for key in keys]
+    missing = reduce(or_, (F.col(key).isNull() for key in keys))
+    return F.when(~missing, F.xxhash64(*plain))
 
 
 class Window:
     """Rows of a short period or selection that a report joins to whole tables.
 
-    The hash slots of their keys, whose number is bounded, are broadcast to cut those
-    tables in their scan stage, ahead of any shuffle. A slot may let other keys
-    through, so the exact join follows; the more keys, the less is cut.
+    A set of bits, one of ``BITS`` set per key, is taken from all key sets in one pass over the
+    rows, and broadcast to cut those tables in their scan stage, ahead of any shuffle. It is never larger than
+    its 16 MB per key set, and as small as the keys are few. A bit may let other keys through (7 of
+    100 at ten million keys), so the exact join follows.
     """
 
-    def __init__(self, rows: DataFrame):
+    def __init__(self, rows: DataFrame, *key_sets: Sequence[str]):
         self.rows = rows
+        self.key_sets = [list(keys) for keys in key_sets]
+
+    def _words(self) -> DataFrame:
+        """``_word, _bits``: the words that hold a bit; the key sets follow one another."""
+        bits = [
+            F.pmod(_key_hash(self.rows, keys), F.lit(BITS)) + F.lit(i * BITS) for i, keys in enumerate(self.key_sets)
+        ]
+        found = self.rows.select((bits[0] if len(bits) == 1 else F.explode(F.array(*bits))).alias("_bit"))
+        word = F.shiftright("_bit", 6).alias("_word")
+        return found.na.drop().groupBy(word).agg(F.expr("bit_or(shiftleft(1L, cast(_bit & 63 as int)))").alias("_bits"))
+
+    def _marked(self, facts: DataFrame, keys: Sequence[str], how: str) -> DataFrame:
+        bit = F.pmod(_key_hash(facts, keys), F.lit(BITS)) + F.lit(self.key_sets.index(list(keys)) * BITS)
+        placed = facts.withColumn("_bit", bit).withColumn("_at", F.shiftright("_bit", 6))
+        words = F.broadcast(self._words())
+        return placed.join(words, F.col("_at") == F.col("_word"), how)
 
     def cut(self, facts: DataFrame, keys: Sequence[str]) -> DataFrame:
-        """``facts`` without most of the rows whose keys are not in the window."""
-        slot = F.pmod(F.xxhash64(*keys), F.lit(SLOTS)).alias("_slot")
-        wanted = F.broadcast(self.rows.select(*keys).na.drop().select(slot).distinct())
-        return facts.withColumn("_slot", slot).join(wanted, "_slot", "left_semi").drop("_slot")
+        """``facts`` without most of the rows whose keys are not in the window, and without those that miss a key."""
+        marked = self._marked(facts, keys, "inner")
+        return marked.filter("getbit(_bits, cast(_bit & 63 as int)) = 1").select(*facts.columns)
+
+    def split(self, facts: DataFrame, keys: Sequence[str]) -> tuple[DataFrame, DataFrame]:
+        """Rows of ``facts`` whose keys may be in the window, and those whose keys are not."""
+        marked = self._marked(facts, keys, "left")
+        hit = F.expr("coalesce(getbit(_bits, cast(_bit & 63 as int)), 0)")
+        return marked.filter(hit == 1).select(*facts.columns), marked.filter(hit == 0).select(*facts.columns)
 
 
 def first_per_key(df: DataFrame, keys: Sequence[str], order: Sequence[str], keep: Sequence[str]) -> DataFrame:
@@ -66,6 +101,21 @@ def require_unique(dim: DataFrame, keys: Sequence[str]) -> DataFrame:
     return rows.select(*keys, checked.alias("_v")).select(*(f"_v.{name}" if name in rest else name for name in dim.columns))
 
 
+def lookup_one(fact: DataFrame, dim: DataFrame, keys: Sequence[str]) -> DataFrame:
+    """``fact`` with the columns of the one row of ``dim`` with its keys, NULL where there is none.
+
+    The query fails when a key of ``fact`` repeats in ``dim``, as a scalar lookup would; others may repeat. ``dim`` is cut to
+    the keys in use first, so a short ``fact`` never shuffles the whole of it.
+    """
+    rest = [name for name in dim.columns if name not in keys]
+    used = Window(fact, keys).cut(dim, keys)
+    found = used.groupBy(*keys).agg(F.count("*").alias("_n"), F.min(F.struct(*(F.col(f"`{name}`") for name in rest))).alias("_v"))
+    told = F.concat(F.lit(f"lookup key {tuple(keys)} is not unique: "), F.to_json(F.struct(*keys)))
+    checked = F.when(F.col("_n") > 1, F.raise_error(told)).otherwise(F.col("_v"))
+    joined = fact.join(found, list(keys), "left").withColumn("_v", checked)
+    return joined.select(*fact.columns, *(F.col("_v")[name].alias(name) for name in rest))
+
+
 def lookup_merge(fact: DataFrame, dim: DataFrame, keys: Mapping[str, str]) -> DataFrame:
     """Left join on ``{fact column: lookup column}``; all lookup columns are kept.
 
@@ -79,11 +129,18 @@ def lookup_merge(fact: DataFrame, dim: DataFrame, keys: Mapping[str, str]) -> Da
     return fact.join(side, match, "left").drop(*marked.values())
 
 
-def hot_keys(df: DataFrame, keys: Sequence[str], share: float = HOT_SHARE) -> DataFrame:
-    """Keys that hold more than ``share`` of the rows: at most ``1 / share`` rows."""
-    counts = df.groupBy(*keys).agg(F.count("*").alias("_n"))
-    total = counts.agg(F.sum("_n"))
-    return counts.filter(F.col("_n") > F.lit(share) * total.scalar()).select(*keys)
+def hot_keys(df: DataFrame, keys: Sequence[str], share: float = HOT_SHARE) -> Column:
+    """Hashes of the keys that hold more than ``share`` of the rows with a key, as one array.
+
+    One pass over the keys: every task sums up the items it sees most in a sketch of bounded size, and the sketches are
+    merged. Its counts are never too low, so no hot key is missed; a key just below ``share`` may be told too.
+    """
+    most = -int(-1 // share)
+    tracked = min(MOST_TRACKED, TRACKED * most)
+    hashes = df.select(_key_hash(df, keys).alias("_key")).na.drop()
+    top = hashes.agg(F.expr(f"approx_top_k(_key, {min(most, tracked)}, {tracked})").alias("top"), F.count("*").alias("n"))
+    often = F.filter("top", lambda item: item["count"] > F.lit(share) * F.col("n"))
+    return top.select(F.transform(often, lambda item: item["item"])).scalar()
 
 
 def salted_join(
@@ -99,19 +156,17 @@ def salted_join(
     Rows of a hot key, or without key, get a salt from their content and input
     partition, which a repeated task finds again and which spreads equal rows too;
     only the matching rows of ``right`` are copied once per salt. With ``salts`` below
-    2 it is a plain join. The hot keys are broadcast; ``share`` bounds their number.
+    2 it is a plain join. ``left`` is read twice, for its hot keys (``1 / share`` at most) and for the join.
     """
     if how not in ("inner", "left"):
         raise ValueError("salted_join supports inner and left joins")
     if salts < 2:
         return left.join(right, list(keys), how)
-    hot = F.broadcast(hot_keys(left, keys, share).withColumn("_hot", F.lit(True)))
+    hot = hot_keys(left, keys, share)
     spread = F.pmod(F.xxhash64(*left.columns, F.spark_partition_id()), F.lit(salts)).cast("int")
-    keyless = reduce(or_, (F.col(key).isNull() for key in keys))
-    salted_left = left.join(hot, list(keys), "left").withColumn(
-        "_salt", F.when(F.col("_hot") | keyless, spread).otherwise(0)
-    )
-    copies = F.when(F.col("_hot"), F.sequence(F.lit(0), F.lit(salts - 1))).otherwise(F.array(F.lit(0)))
-    salted_right = right.join(hot, list(keys), "left").withColumn("_salt", F.explode(copies))
-    joined = salted_left.drop("_hot").join(salted_right.drop("_hot"), [*keys, "_salt"], how)
+    lone = F.coalesce(F.array_contains(hot, _key_hash(left, keys)), F.lit(True))
+    copied = F.coalesce(F.array_contains(hot, _key_hash(right, keys)), F.lit(False))
+    copies = F.when(copied, F.sequence(F.lit(0), F.lit(salts - 1))).otherwise(F.array(F.lit(0)))
+    salted_left = left.withColumn("_salt", F.when(lone, spread).otherwise(0))
+    joined = salted_left.join(right.withColumn("_salt", F.explode(copies)), [*keys, "_salt"], how)
     return joined.drop("_salt")

@@ -190,7 +190,7 @@ def goods(t: BacklogTables, origin: int = ORIGIN_BRANCH) -> DataFrame:
 
 def listed_orders(t: BacklogTables, origin: int = ORIGIN_BRANCH, released_only: bool = True) -> Window:
     """Orders the backlog is about; they also tell which rows of other tables matter."""
-    return Window(t.order.filter(eligible(origin) & listed(released_only)))
+    return Window(t.order.filter(eligible(origin) & listed(released_only)), ORDER_KEYS)
 
 
 def backlog_lines(

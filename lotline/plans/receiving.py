@@ -7,7 +7,7 @@ from collections.abc import Sequence
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from lotline.functions import clock, codes
-from lotline.operators.joins import Window, require_unique
+from lotline.operators.joins import Window, lookup_one
 from lotline.sources.sheets import read_csv_fill
 from lotline.sources.snapshots import write_snapshot
 
@@ -62,8 +62,8 @@ def putaway_pending(
     """
     labels = received_labels(label_grouped, label_single, company=company, excluded_areas=excluded_areas)
     checkers = employee.select(F.col("cd_funcionario").alias("cd_func_conferencia"), "nm_funcionario")
-    names = require_unique(product.select("cd_produto", "ds_produto"), ["cd_produto"])
-    rows = labels.join(checkers, "cd_func_conferencia").join(names, "cd_produto", "left")
+    named = lookup_one(labels, product.select("cd_produto", "ds_produto"), ["cd_produto"])
+    rows = named.join(checkers, "cd_func_conferencia")
     if ordered:
         rows = rows.orderBy("dt_conferencia", "etiqueta", "cd_produto", "cd_agenda", "tp_etiqueta")
     return rows.select(
@@ -98,7 +98,7 @@ def open_appointments(
     keys = ["cd_empresa", "cd_agenda"]
     lines = receipt.filter((F.col("cd_empresa") == company) & F.col("cd_situacao").isin(*OPEN_RECEIPTS))
     listed = divergent.filter(F.col("cd_empresa") == company).select(*keys)
-    window = Window(listed)
+    window = Window(listed, keys)
     lines = window.cut(lines, keys).select(*keys, "cd_produto_master", "qt_produto", "qt_recebido", "qt_sobra")
     visits = appointment.filter(F.col("cd_empresa") == company).select(*keys, "id_agenda_externa", "dt_agendamento")
     rows = listed.join(lines, keys).join(window.cut(visits, keys), keys, "left")

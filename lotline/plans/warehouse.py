@@ -48,7 +48,7 @@ def programmed_lots(
     ).select("nu_pedido_origem", "cd_carga", "dt_addrow", "cd_situacao")
 
     lines = order_line.filter((F.col("cd_empresa") == company) & (F.col("cd_situacao") != CANCELLED))
-    lines = Window(headers).cut(lines, ["nu_pedido_origem"])
+    lines = Window(headers, ["nu_pedido_origem"]).cut(lines, ["nu_pedido_origem"])
     lines = lines.join(_piece_volumes(product), "cd_produto").select(
         "nu_pedido_origem",
         (F.col("cd_situacao") != CLOSED).alias("open"),
@@ -189,7 +189,7 @@ def shift_production(
 ) -> DataFrame:
     """Picked quantity and volume by business date, lot, shift and hour."""
     recent_picks = pick.filter(recent_business_days(F.col("dt_separacao"), as_of, window_days))
-    headers = Window(recent_picks).cut(order_header, ["nu_pedido"])
+    headers = Window(recent_picks, ["nu_pedido"]).cut(order_header, ["nu_pedido"])
     rows = production_rows(recent_picks, headers, product, company=company, weight_by_qty=weight_by_qty)
     at = F.col("dt_separacao")
     return (
@@ -311,7 +311,7 @@ def pick_productivity(
     recent_picks = pick.filter(
         recent_business_days(at, as_of, window_days) & ~F.col("cd_endereco").startswith(UNCOUNTED_ADDRESS)
     )
-    window = Window(recent_picks)
+    window = Window(recent_picks, ["nu_tarefa"], ["nu_pedido"])
     done = picks_of_tasks(recent_picks, window.cut(task, ["nu_tarefa"]), company=company, salts=salts)
     done = done.withColumn("dt_separacao", clock.to_second(at))
     origin = order_header.filter(F.col("cd_empresa") == company).select("nu_pedido", "nu_pedido_origem")

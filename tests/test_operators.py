@@ -57,7 +57,7 @@ def test_salted_join_equals_plain_join(spark, how):
     salted = joins.salted_join(left, right, ["k"], how, salts=6)
     assert salted.columns == plain.columns
     assert sorted(rows(salted), key=str) == sorted(rows(plain), key=str)
-    assert [r[0] for r in rows(joins.hot_keys(left, ["k"], 0.2))] == [7]
+    assert spark.range(1).select(joins.hot_keys(left, ["k"], 0.2)).first()[0] == [left.select(F.xxhash64(F.lit(7).cast("long"))).first()[0]]
     placed = joins.salted_join(left, right, ["k"], how, salts=6, share=0.2)
     assert placed.count() == plain.count()
 
@@ -83,24 +83,73 @@ def test_salted_join_rejects_other_kinds(spark):
         joins.salted_join(spark.range(1), spark.range(1), ["id"], "full", salts=2)
 
 
-def test_window_cuts_facts_by_slots(spark):
+def scans(df, name):
+    """Scans of the table stored as ``name`` in the executed plan."""
+    df.collect()
+    plan = df._jdf.queryExecution().executedPlan().toString()
+    final = plan.split("== Initial Plan ==")[0]
+    return sum("Scan parquet" in line and name in line for line in final.split("\n"))
+
+
+def test_salted_join_reads_its_left_side_twice(spark, tmp_path):
+    spark.range(4000).select((F.col("id") % 9).alias("k"), "id").write.parquet(f"{tmp_path}/left")
+    left = spark.read.parquet(f"{tmp_path}/left")
+    joined = joins.salted_join(left, spark.range(9).withColumnRenamed("id", "k"), ["k"], salts=8, share=0.05)
+    assert joined.count() == 4000 and scans(joined, "left") == 2
+
+
+def test_window_cuts_facts_by_bits(spark):
     facts = spark.range(1000).select((F.col("id") % 100).alias("k"), "id")
-    keys = spark.createDataFrame([(3,), (3,), (None,), (5,)], "k long")
-    cut = joins.Window(keys).cut(facts, ["k"])
+    keys = spark.createDataFrame([(3,), (3,), (None,), (5,)], "k int")  # a narrower type than that of the facts
+    window = joins.Window(keys, ["k"])
+    cut = window.cut(facts, ["k"])
     assert {r[0] for r in rows(cut)} == {3, 5} and cut.count() == 20 and cut.columns == ["k", "id"]
-    plan = cut._jdf.queryExecution().executedPlan().toString()
-    assert "BroadcastHashJoin" in plan and "LeftSemi" in plan
+    assert "BroadcastHashJoin" in cut._jdf.queryExecution().executedPlan().toString()
+    hit, rest = window.split(facts.unionByName(spark.createDataFrame([(None, 7)], "k long, id long")), ["k"])
+    assert hit.count() == 20 and rest.count() == 981 and rest.filter("k is null").count() == 1
+    assert window.cut(facts.limit(0), ["k"]).count() == 0 and joins.Window(keys.limit(0), ["k"]).cut(facts, ["k"]).count() == 0
+
+
+def test_window_reads_its_rows_once_for_all_keys(spark, tmp_path):
+    spark.range(5000).selectExpr("id a", "id % 70 b").write.parquet(f"{tmp_path}/picked")
+    chosen = spark.read.parquet(f"{tmp_path}/picked").filter("a < 50")
+    window = joins.Window(chosen, ["a"], ["b"], ["a", "b"])
+    facts = spark.range(3000).selectExpr("id a", "id % 70 b")
+    cuts = [window.cut(facts, keys).agg(F.count("*").alias("n")) for keys in (["a"], ["b"], ["a", "b"])]
+    both = cuts[0].unionByName(cuts[1]).unionByName(cuts[2])
+    assert [r.n for r in both.collect()] == [50, sum(i % 70 < 50 for i in range(3000)), 50]
+    assert scans(both, "picked") == 1
+
+
+def test_window_cuts_at_a_hundred_times_the_keys(spark):
+    # sf0.1 has 91,875 orders in the selection.
+    window = joins.Window(spark.range(9_187_500).selectExpr("id * 3 as k"), ["k"])
+    facts = spark.range(1_500_000).selectExpr("id * 31 + 1 as k")
+    others = facts.filter("k % 3 <> 0 or k >= 27562500")
+    assert window.cut(others, ["k"]).count() < 0.1 * others.count()
+    inside = facts.filter("k % 3 = 0 and k < 27562500")
+    assert window.cut(inside, ["k"]).count() == inside.count()
 
 
 def test_window_has_one_plan_at_any_size(spark):
     def shape(n):
-        rows_ = joins.Window(spark.range(n)).cut(spark.range(10 * n), ["id"])
+        rows_ = joins.Window(spark.range(n), ["id"]).cut(spark.range(10 * n), ["id"])
         return [line.split("(")[0].strip(" :+-*") for line in rows_._jdf.queryExecution().optimizedPlan().toString().split("\n")]
 
     few, many = shape(10), shape(10_000_000)
     assert [x.split("#")[0] for x in few][:3] == [x.split("#")[0] for x in many][:3]
 
 
+def test_lookup_one_judges_the_keys_in_use(spark):
+    fact = spark.createDataFrame([(1, 10), (2, 20), (3, None), (4, 99)], "id int, k int")
+    dim = spark.createDataFrame([(10, "a"), (20, "b"), (77, "x"), (77, "y"), (None, "z")], "k long, name string")
+    got = joins.lookup_one(fact, dim, ["k"])
+    assert got.columns == ["id", "k", "name"]
+    assert sorted(rows(got)) == [(1, 10, "a"), (2, 20, "b"), (3, None, None), (4, 99, None)]
+    with pytest.raises(Exception, match="not unique"):
+        joins.lookup_one(fact, dim.unionByName(dim), ["k"]).collect()
+
+
 def test_total_row_tells_null_group_from_total(spark):
     df = spark.createDataFrame([("b", 1), (None, 2), ("a", 3)], "k string, n int")
     assert rows(aggregates.total_row(df, "k", ["n"])) == [(None, 2), ("a", 3), ("b", 1), ("Total", 6)]
