@@ -152,8 +152,7 @@ LOT_JOIN = "from erp_order o left join erp_lot t on t.nlote = o.numlote and t.co
 
 
 def with_lot(v: Views) -> DataFrame:
-    lots = v.erp_lot.select(F.col("nlote").alias("numlote"), F.col("codfil").alias("filorig"), "flseparacao")
-    return v.erp_order.join(lots, ["numlote", "filorig"], "left")
+    return backlog.with_lot_state(backlog.with_lot_flags(v.erp_order, v.erp_lot))
 
 
 @check("classify_case", f"select numpedven, {STATUS_SQL} status {LOT_JOIN}")

@@ -93,6 +93,7 @@ ORDER_COLUMNS = (
     "modalidade",
     "codcli",
     "dtlibfat_mod",
+    "lot_flags",
 )
 GOODS_COLUMNS = ("item", "descricao", "cub_unit", "linha", "familia")
 
@@ -151,6 +152,26 @@ def release_time(orders: DataFrame, site_time: DataFrame) -> DataFrame:
     return joined.withColumn("dtlibfat_mod", clock.to_second(chosen)).drop("_site")
 
 
+def with_lot_flags(orders: DataFrame, lot: DataFrame, salts: int = 0) -> DataFrame:
+    """Orders with ``lot_flags``, one ``flseparacao`` per row of their lot, NULL where there is none.
+
+    The lots meet the orders, which are fewer than their lines. Orders without lot (NULL, or a
+    number such as 0 that no lot has), a large part of them, are told by the bit set of the lots and go past the join.
+    """
+    keys = ["numlote", "filorig"]
+    lots = lot.select(F.col("nlote").alias("numlote"), F.col("codfil").alias("filorig"), "flseparacao")
+    some, none = Window(lots, keys).split(orders, keys)
+    flags = lots.groupBy(*keys).agg(F.sort_array(F.collect_list(F.struct("flseparacao"))).alias("lot_flags"))
+    placed = salted_join(some, flags, keys, "left", salts=salts).select(*orders.columns, "lot_flags")
+    return placed.unionByName(none, allowMissingColumns=True)
+
+
+def with_lot_state(rows: DataFrame) -> DataFrame:
+    """One row per lot flag, as a left join to the lots has, with ``flseparacao`` for ``lot_flags``."""
+    flagged = rows.select("*", F.explode_outer("lot_flags").alias("_flag")).drop("lot_flags")
+    return flagged.withColumn("flseparacao", F.col("_flag.flseparacao")).drop("_flag")
+
+
 def order_items(item: DataFrame, kit_item: DataFrame) -> DataFrame:
     """Kit components and plain items under one set of names, told apart by ``kit``."""
     columns = [*ORDER_KEYS, "codembal", "qtcomp", "precounit"]
@@ -203,7 +224,7 @@ def backlog_lines(
     before the shuffle and spreads hot orders; columns of one side travel as a struct,
     which keeps the generated code of that step short.
     """
-    orders = release_time(chosen.rows, t.site_time)
+    orders = release_time(with_lot_flags(chosen.rows, t.lot, salts), t.site_time)
     orders = orders.join(t.mode.select("codmodal", F.col("descricao").alias("modalidade")), "codmodal", "left")
     orders = orders.withColumn("tipo_pedido", codes.decode_values(F.col("tipoped"), ORDER_KINDS))
     orders = orders.select(*ORDER_KEYS, F.struct(*ORDER_COLUMNS).alias("ordered"))
@@ -287,12 +308,10 @@ def order_backlog(
     salts: int = 0,
 ) -> DataFrame:
     """Open order lines with status, route, supply situation, volume and value."""
-    lots = t.lot.select(F.col("nlote").alias("numlote"), F.col("codfil").alias("filorig"), "flseparacao")
     routes = route_of_area(t.area, t.area_route, t.route)
     chosen = listed_orders(t, origin, released_only)
     lines = (
-        backlog_lines(t, chosen, origin=origin, salts=salts)
-        .join(lots, ["numlote", "filorig"], "left")
+        with_lot_state(backlog_lines(t, chosen, origin=origin, salts=salts))
         .join(routes, "praca", "left")
         .join(first_reservations(t.reservation), ["codreserva", "coditprod"], "left")
     )

@@ -10,6 +10,7 @@ from checks.views import Views
 from lotline.plans import backlog, backlog_views, closing, delivery, receiving, warehouse
 from pyspark.sql import functions as F
 from tests.conftest import SF_DIR
+from tests.test_operators import scans
 
 D = Decimal
 
@@ -421,3 +422,30 @@ def test_totals_cover_all_carriers(spark):
     carriers = delivery.due_by_carrier(deliveries, n=1000)
     sums = carriers.agg(*(F.sum(c) for c in ("a_vencer", "vence_hoje", "vencido", "total"))).first()
     assert tuple(totals) == tuple(sums)
+
+
+def test_orders_without_lot_go_past_the_join_with_lots(spark):
+    orders = spark.createDataFrame(
+        [(1, 7, 2650), (2, 0, 2650), (3, None, 2650), (4, 8, 2650), (5, 7, 9), (6, 50, 2650)],
+        "numpedven int, numlote int, filorig int",
+    )
+    lots = spark.createDataFrame(
+        [(7, 2650, "N"), (7, 2650, "N"), (8, 2650, None), (50, 2650, "B")], "nlote long, codfil long, flseparacao string"
+    )
+    plain = orders.join(lots.withColumnsRenamed({"nlote": "numlote", "codfil": "filorig"}), ["numlote", "filorig"], "left")
+    for salts in (0, 4):
+        flagged = backlog.with_lot_flags(orders, lots, salts)
+        told = backlog.with_lot_state(flagged).select("numpedven", "flseparacao")
+        assert sorted(rows(told), key=str) == sorted(rows(plain.select("numpedven", "flseparacao")), key=str)
+    # A lot 0 that exists is a lot like others.
+    zero = lots.unionByName(spark.createDataFrame([(0, 2650, "C")], lots.schema))
+    assert rows(backlog.with_lot_state(backlog.with_lot_flags(orders, zero)).filter("numlote = 0").select("flseparacao")) == [("C",)]
+
+
+def test_items_read_twice(spark, tmp_path_factory):
+    place = tmp_path_factory.mktemp("t")  # the plan shows the start of a path only
+    t = reports.tables(Views(spark, SF_DIR))
+    t.item.write.parquet(f"{place}/items")
+    stored = backlog.BacklogTables(**{**t.__dict__, "item": spark.read.parquet(f"{place}/items")})
+    lines = backlog.backlog_lines(stored, backlog.listed_orders(stored), salts=8)
+    assert scans(lines, "items") == 2
