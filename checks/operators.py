@@ -10,10 +10,11 @@ from checks.reports import M3, SHIFT_CASE
 from checks.views import Views
 from lotline.functions import amounts, clock, codes, display
 from lotline.operators import aggregates, filters, joins, ordering
+from lotline.operators.joins import Window
 from lotline.plans import backlog, backlog_views, closing, delivery, receiving, warehouse
 from lotline.sources import sheets, tables
 from lotline.sources.snapshots import read_snapshot, scratch_dir, write_snapshot
-from lotline.streaming.refresh import refresh_on_arrival
+from lotline.streaming.refresh import maintain_on_arrival, maintained, of_keys
 from lotline.streaming.shifts import store_hours, stored_shift_production
 
 # ---- sources and sinks
@@ -958,17 +959,24 @@ def landed_picks(v: Views, files_per_batch: int = 2) -> tuple[str, DataFrame]:
 
 @check("stream_snapshot_refresh", reports.shift_sql(f"cast({M3} as decimal(18,0))"))
 def _(v):
-    landed, arrivals = landed_picks(v)
+    landed, arrivals = landed_picks(v, files_per_batch=1)
     target = scratch_dir(v.spark, "published")
 
-    def rebuild(spark):
-        return warehouse.shift_production(
-            spark.read.parquet(landed), v.order_header, v.product, as_of=reports.SHIFT_AS_OF
-        )
+    def touched(batch):
+        return batch.join(v.order_header, ["cd_empresa", "nu_pedido"]).select(v.order_header.cd_carga)
 
-    query = refresh_on_arrival(arrivals, rebuild, target, scratch_dir(v.spark, "progress"), once=True)
+    def rebuild(spark, changed):
+        headers = of_keys(v.order_header, changed, {"cd_carga": "cd_carga"})
+        picks = spark.read.parquet(landed)
+        if changed is not None:
+            picks = Window(headers, ["nu_pedido"]).cut(picks, ["nu_pedido"])
+        return warehouse.shift_production(picks, headers, v.product, as_of=reports.SHIFT_AS_OF)
+
+    query = maintain_on_arrival(
+        arrivals, touched, rebuild, target, scratch_dir(v.spark, "progress"), slots=16, once=True
+    )
     query.awaitTermination()
-    return read_snapshot(v.spark, target)
+    return maintained(v.spark, target)
 
 
 @check("stream_shift_production", reports.shift_sql(f"cast({M3} as decimal(18,0))"))

@@ -145,6 +145,24 @@ def lot_status(
     )
 
 
+def aged_lots(
+    order_header: DataFrame,
+    pick: DataFrame,
+    *,
+    since: clock.AsOf,
+    as_of: clock.AsOf,
+    window_days: int = 5,
+    company: int = COMPANY,
+) -> DataFrame:
+    """``lote``: lots with orders or picks that ``lot_status`` shows as of ``since`` and no longer as of ``as_of``."""
+
+    def aged(table: DataFrame) -> DataFrame:
+        left = recent(F.col("dt_addrow"), since, window_days) & ~recent(F.col("dt_addrow"), as_of, window_days)
+        return table.filter((F.col("cd_empresa") == company) & left).select(F.col("cd_carga").alias("lote"))
+
+    return aged(order_header).unionByName(aged(pick)).distinct()
+
+
 def production_rows(
     pick: DataFrame,
     order_header: DataFrame,

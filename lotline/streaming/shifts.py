@@ -5,21 +5,25 @@ business date, shift and hour follow from the start of the hour. Every batch sto
 sums of its own picks, and the report adds them up: sums of rounded quantities add
 exactly, so picks may land late and in any order, and there is no state to keep.
 
-The store is a folder with a directory ``lote_id=<batch>`` per batch and one ``upto=<batch>`` that
-holds the sums of all batches up to that one, each split by business date. A directory
-appears by one rename, so readers never see half of one.
+The store keeps a part per batch and business date (``sources.parts``). A report reads the parts of its dates in
+one scan; a date with many parts is folded into one, alone.
 """
 
 from __future__ import annotations
 
-import uuid
+import datetime as dt
 
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 from pyspark.sql.streaming import StreamingQuery
 
 from lotline.functions import amounts, clock, codes
 from lotline.operators.filters import recent_business_days
+from lotline.operators.joins import Window
 from lotline.plans.warehouse import COMPANY, production_rows
+from lotline.sources.parts import Parts, append_batch, fold_slot, parts_of, read_parts
+
+# Parts of a business date that are folded into one.
+FOLD_PARTS = 64
 
 HOURS_SCHEMA = "inicio timestamp, cd_carga {lot}, qt decimal(38,6), m3 decimal(38,15), dia date"
 
@@ -43,20 +47,29 @@ def hourly_production(
     return sums.withColumn("dia", clock.business_date(F.col("inicio")))
 
 
-def _folder(spark: SparkSession, path: str):
-    place = spark._jvm.org.apache.hadoop.fs.Path(path)
-    return place.getFileSystem(spark._jsc.hadoopConfiguration()), place
+def batch_hours(
+    batch: DataFrame,
+    order_header: DataFrame,
+    product: DataFrame,
+    *,
+    company: int = COMPANY,
+    weight_by_qty: bool = False,
+) -> DataFrame:
+    """``hourly_production`` of a batch; the orders are cut in their scan to those of the batch."""
+    headers = Window(batch, ["nu_pedido"]).cut(order_header, ["nu_pedido"])
+    return hourly_production(batch, headers, product, company=company, weight_by_qty=weight_by_qty)
+
 
+def _sum_up(hours: DataFrame) -> DataFrame:
+    return hours.groupBy("inicio", "cd_carga", "dia").agg(*_sums()).select(*hours.columns)
 
-def _publish(hours: DataFrame, path: str, name: str) -> None:
-    """Write ``hours`` aside and show them as ``name`` by one rename; what is there already stays."""
-    spark = hours.sparkSession
-    files, target = _folder(spark, f"{path}/{name}")
-    if files.exists(target):
-        return
-    aside = f"{path}/_{uuid.uuid4().hex}"
-    hours.hint("rebalance", "dia").write.partitionBy("dia").parquet(aside)
-    files.rename(spark._jvm.org.apache.hadoop.fs.Path(aside), target)
+
+def _fold(spark: SparkSession, path: str, state: Parts, least: int) -> int:
+    """Fold every business date with ``least`` parts or more; returns their number."""
+    days = [day for day, folders in state.slots().items() if len(folders) >= least]
+    for day in days:
+        state = fold_slot(spark, path, state, day, "dia", _sum_up)
+    return len(days)
 
 
 def store_hours(
@@ -73,64 +86,34 @@ def store_hours(
     """Store the hourly sums of each batch of the stream ``picks``.
 
     ``dt_separacao`` must be a TIMESTAMP. A repeated batch holds the same picks and is not
-    stored again. Each batch reads ``order_header`` anew: pass the orders that can still be picked.
+    stored again, as told by ``checkpoint``. Each batch reads ``order_header`` anew, cut in its scan to the orders of the
+    batch. A business date is folded when it has ``FOLD_PARTS`` parts.
     """
 
     def store(batch: DataFrame, batch_id: int) -> None:
-        hours = hourly_production(batch, order_header, product, company=company, weight_by_qty=weight_by_qty)
-        _publish(hours, path, f"lote_id={batch_id}")
+        hours = batch_hours(batch, order_header, product, company=company, weight_by_qty=weight_by_qty)
+        state = append_batch(hours, path, "dia", checkpoint, batch_id)
+        _fold(batch.sparkSession, path, state, FOLD_PARTS)
 
     writer = picks.writeStream.foreachBatch(store).option("checkpointLocation", checkpoint)
     writer = writer.trigger(availableNow=True) if once else writer.trigger(processingTime="1 minute")
     return writer.start()
 
 
-def _stored(spark: SparkSession, path: str) -> tuple[int, list[int]]:
-    """Last batch of the newest fold (-1 before any) and the batches after it."""
-    files, place = _folder(spark, path)
-    names = [status.getPath().getName() for status in files.listStatus(place)]
-    folded = max([-1, *(int(name[len("upto=") :]) for name in names if name.startswith("upto="))])
-    batches = (int(name[len("lote_id=") :]) for name in names if name.startswith("lote_id="))
-    return folded, sorted(batch for batch in batches if batch > folded)
-
-
-def _read(spark: SparkSession, path: str, folded: int, batches: list[int], lot: str) -> DataFrame:
-    names = [f"upto={folded}"] * (folded >= 0) + [f"lote_id={batch}" for batch in batches]
-    hours = spark.createDataFrame([], HOURS_SCHEMA.format(lot=lot))
-    for name in names:
-        hours = hours.unionByName(spark.read.schema(hours.schema).parquet(f"{path}/{name}"))
-    return hours
-
-
-def compact_hours(spark: SparkSession, path: str, *, lot: str = "bigint") -> int:
-    """Fold all stored batches into one directory and remove those it replaces; returns the last one folded.
-
-    Readers take the newest fold and the batches after it, so each sees either the
-    batches or their fold. What the fold before replaced is removed, what this one replaces stays for readers
-    that have begun.
-    """
-    folded, batches = _stored(spark, path)
-    if not batches:
-        return folded
-    hours = _read(spark, path, folded, batches, lot)
-    sums = hours.groupBy("inicio", "cd_carga", "dia").agg(*_sums())
-    _publish(sums, path, f"upto={batches[-1]}")
-    files, place = _folder(spark, path)
-    for status in files.listStatus(place):
-        name = status.getPath().getName()
-        number = name.partition("=")[2]
-        if number.isdigit() and (int(number) < folded or name == f"lote_id={folded}"):
-            files.delete(status.getPath(), True)
-    return batches[-1]
+def compact_hours(spark: SparkSession, path: str) -> int:
+    """Fold every business date with two parts or more; returns their number. Batches may land meanwhile."""
+    return _fold(spark, path, parts_of(spark, path), 2)
 
 
 def stored_shift_production(
     spark: SparkSession, path: str, *, as_of: clock.AsOf, window_days: int = 2, lot: str = "bigint"
 ) -> DataFrame:
     """Shift production from the stored sums; only the business dates shown are read. ``lot`` is the type of the lot."""
-    hours = _read(spark, path, *_stored(spark, path), lot)
-    first = F.date_sub(F.to_date(F.lit(str(as_of))), window_days + 1)
-    hours = hours.filter(F.col("dia") >= first).filter(recent_business_days(F.col("inicio"), as_of, window_days))
+    first = clock.as_moment(as_of).date() - dt.timedelta(days=window_days + 1)
+    hours = read_parts(spark, path, lambda day: day >= first.isoformat())
+    if hours is None:
+        hours = spark.createDataFrame([], HOURS_SCHEMA.format(lot=lot))
+    hours = hours.filter(recent_business_days(F.col("inicio"), as_of, window_days))
     sums = hours.groupBy("inicio", "cd_carga").agg(*_sums())
     start = F.col("inicio")
     return sums.select(

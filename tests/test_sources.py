@@ -1,6 +1,8 @@
 """Sources, sinks and streams on new directories."""
 
+import datetime as dt
 import os
+from decimal import Decimal as D
 
 import pytest
 from pyspark.sql import functions as F
@@ -8,10 +10,18 @@ from pyspark.sql import functions as F
 from checks import reports
 from checks.views import Views
 from lotline.plans import receiving, warehouse
-from lotline.sources import sheets, tables
+from lotline.sources import parts, sheets, tables
+from lotline.sources.parts import append_batch, fold_slot, parts_of, read_parts
 from lotline.sources.snapshots import current_snapshot, read_snapshot, scratch_dir, write_snapshot
-from lotline.streaming.refresh import refresh_on_arrival
-from lotline.streaming.shifts import compact_hours, hourly_production, store_hours, stored_shift_production
+from lotline.streaming import shifts
+from lotline.streaming.refresh import maintain_on_arrival, maintained, of_keys, refresh_on_arrival
+from lotline.streaming.shifts import (
+    batch_hours,
+    compact_hours,
+    hourly_production,
+    store_hours,
+    stored_shift_production,
+)
 from tests.conftest import SF_DIR
 
 
@@ -129,9 +139,11 @@ def test_stream_equals_batch_whatever_the_order_of_landing(spark):
         run()
     expected = rows(reports.shifts(v))
     assert rows(stored_shift_production(spark, stored, as_of=reports.SHIFT_AS_OF)) == expected
-    assert compact_hours(spark, stored) == 2
+    days = parts_of(spark, stored).slots()
+    assert compact_hours(spark, stored) == sum(len(folders) > 1 for folders in days.values()) > 0
+    assert {day: len(folders) for day, folders in parts_of(spark, stored).slots().items()} == dict.fromkeys(days, 1)
     assert rows(stored_shift_production(spark, stored, as_of=reports.SHIFT_AS_OF)) == expected
-    assert compact_hours(spark, stored) == 2
+    assert compact_hours(spark, stored) == 0
 
 
 def test_late_rows_are_counted(spark):
@@ -143,8 +155,8 @@ def test_late_rows_are_counted(spark):
     def run():
         picks = spark.readStream.schema(schema).parquet(source)
         store_hours(picks, v.order_header, v.product, stored, progress, once=True).awaitTermination()
-        last = compact_hours(spark, stored)
-        return spark.read.parquet(f"{stored}/upto={last}").agg(F.sum("qt")).first()[0]
+        compact_hours(spark, stored)
+        return read_parts(spark, stored).agg(F.sum("qt")).first()[0]
 
     late = hourly_production(v.pick_event.filter("nu_pedido < 10"), v.order_header, v.product).agg(F.sum("qt")).first()[0]
     before = run()
@@ -171,6 +183,132 @@ def test_refresh_publishes_each_arrival(spark):
     assert run() == 400
 
 
+def test_many_batches_are_one_scan_and_fold_by_day(spark):
+    path = scratch_dir(spark, "hours")
+    hours = spark.range(2).selectExpr(
+        "timestamp '2024-01-05 08:00:00' + id * interval '1' day inicio", "id cd_carga", "1.5d qt", "id m3"
+    ).selectExpr("inicio", "cd_carga", "cast(qt as decimal(38,6)) qt", "cast(m3 as decimal(38,15)) m3", "to_date(inicio) dia")
+    hours = spark.createDataFrame(hours.collect(), hours.schema).coalesce(1)
+    for batch in range(40):
+        append_batch(hours.filter(f"cd_carga = {batch % 2}"), path, "dia", "s", batch)
+    append_batch(hours, path, "dia", "s", 39)  # repeated
+    report = stored_shift_production(spark, path, as_of="2024-01-06 12:00:00")
+    assert sorted((r.cd_carga, r.qt_separado) for r in report.collect()) == [(0, 30), (1, 30)]
+    plan = report._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.count("parquet") == 1
+    before = parts_of(spark, path)
+    assert [len(folders) for folders in before.slots().values()] == [20, 20]
+    after = fold_slot(spark, path, before, "2024-01-05", "dia", shifts._sum_up)
+    assert [len(after.slots()[day]) for day in ("2024-01-05", "2024-01-06")] == [1, 20]
+    assert after.slots()["2024-01-06"] == before.slots()["2024-01-06"]
+    assert fold_slot(spark, path, before, "2024-01-05", "dia", shifts._sum_up) == after  # an older state folds nothing
+    assert rows(stored_shift_production(spark, path, as_of="2024-01-06 12:00:00")) == rows(report)
+
+
+def test_failed_rename_fails_the_batch_which_is_repeated(spark, monkeypatch):
+    v = Views(spark, SF_DIR)
+    source, stored, progress = (scratch_dir(spark, x) for x in ("in", "hours", "progress"))
+    landed(v, source, 0, 10**9)
+    schema, rename, calls = spark.read.parquet(source).schema, parts._rename, []
+
+    def run():
+        picks = spark.readStream.schema(schema).parquet(source)
+        store_hours(picks, v.order_header, v.product, stored, progress, once=True).awaitTermination()
+
+    def broken(*args):
+        calls.append(args)
+        raise OSError("no rename today")
+
+    monkeypatch.setattr(parts, "_rename", broken)
+    with pytest.raises(Exception, match="no rename today"):
+        run()
+    assert calls and parts_of(spark, stored) == parts.Parts()
+    monkeypatch.setattr(parts, "_rename", rename)
+    run()
+    run()
+    assert rows(stored_shift_production(spark, stored, as_of=reports.SHIFT_AS_OF)) == rows(reports.shifts(v))
+
+
+def test_a_taken_number_is_not_overwritten(spark, monkeypatch):
+    path = scratch_dir(spark, "parts")
+    one = spark.range(1).selectExpr("id", "'a' slot")
+    first = append_batch(one, path, "slot", "x", 0)
+    assert not parts._publish(spark, path, first)
+    stale, seen = parts.Parts(), []
+
+    def late(spark_, path_):  # another writer was faster once
+        seen.append(1)
+        return stale if len(seen) < 3 else real(spark_, path_)
+
+    real = parts.parts_of
+    monkeypatch.setattr(parts, "parts_of", late)
+    assert len(append_batch(one, path, "slot", "y", 0).live) == 2
+    assert read_parts(spark, path).count() == 2
+
+
+def test_orders_of_a_batch_are_cut_in_their_scan(spark):
+    v = Views(spark, SF_DIR)
+    plan = batch_hours(v.pick_event, v.order_header, v.product)._jdf.queryExecution().executedPlan().toString()
+    lines = plan.split("\n")
+    at = next(i for i, line in enumerate(lines) if "BroadcastHashJoin [_at#" in line)
+    scan = next(i for i, line in enumerate(lines[at:], at) if "FileScan" in line)
+    assert "o_orderkey" in lines[scan] and not any("Exchange" in line for line in lines[at:scan])
+
+
+def test_a_batch_of_one_lot_reads_and_writes_that_lot(spark):
+    source, base, target, progress = (scratch_dir(spark, x) for x in ("in", "orders", "out", "progress"))
+    start = dt.datetime(2024, 1, 1)
+    orders = [(12650, n, n, n % 40, start + dt.timedelta(hours=6 * (n % 40)), 10, "EPP") for n in range(200)]
+    names = "cd_empresa int, nu_pedido long, nu_pedido_origem long, cd_carga long, dt_addrow timestamp_ntz, cd_situacao int, tp_pedido string"
+    spark.createDataFrame(orders, names).write.parquet(base)
+    header = spark.read.parquet(base)
+    line = header.selectExpr(
+        "cd_empresa", "nu_pedido_origem", "1 cd_produto", "10 cd_situacao", "cast(5 as decimal(18,6)) qt_separar",
+        "cast(0 as decimal(18,6)) qt_cancelada",
+    )
+    product = spark.range(1).selectExpr(
+        "1 cd_produto", *(f"cast(100 as decimal(18,6)) {c}" for c in ("vl_altura", "vl_largura", "vl_profundidade"))
+    )
+    schema = "cd_empresa int, cd_produto int, cd_carga long, dt_addrow timestamp_ntz, qt_separado decimal(18,6), qt_conferido decimal(18,6)"
+    clock_ = {"as_of": start + dt.timedelta(days=5), "since": start + dt.timedelta(days=5)}
+    read = []
+
+    def land(lots, hours):
+        picks = [(12650, 1, lot, start + dt.timedelta(hours=hours), D(2), D(1)) for lot in lots]
+        spark.createDataFrame(picks, schema).coalesce(1).write.mode("append").parquet(source)
+
+    def rebuild(session, changed):
+        picks = of_keys(session.read.schema(schema).parquet(source), changed, {"cd_carga": "lote"})
+        headers = of_keys(header, changed, {"cd_carga": "lote"})
+        read.append((headers.select("cd_carga").distinct().count(), picks.count()))
+        return warehouse.lot_status(headers, line, product, picks, as_of=clock_["as_of"])
+
+    def touched(batch):
+        aged = warehouse.aged_lots(header, spark.read.schema(schema).parquet(source), **clock_)
+        return batch.select(F.col("cd_carga").alias("lote")).unionByName(aged)
+
+    def run():
+        arrivals = spark.readStream.schema(schema).parquet(source)
+        maintain_on_arrival(arrivals, touched, rebuild, target, progress, slots=1000, once=True).awaitTermination()
+        whole = rebuild(spark, None)
+        read.pop()
+        got = maintained(spark, target)
+        assert got.columns == whole.columns and sorted(rows(got), key=str) == sorted(rows(whole), key=str)
+        return dict(parts_of(spark, target).live)
+
+    land(range(40), 48)
+    before = run()
+    land([7], 54)
+    after = run()
+    changed = {slot for slot in before if before[slot] != after.get(slot)}
+    assert read[1] == (1, 2) and len(before) > 30 and len(changed) == 1 and set(before) == set(after)
+    # Time goes on: lots that leave the window go, although nothing arrived for them.
+    clock_["as_of"] = start + dt.timedelta(days=6, hours=1)
+    land([8], 55)
+    left = run()
+    assert 0 < len(left) < len(after) and read[2][0] < 10
+
+
 def test_shift_window_reaches_the_scan(spark):
     v = Views(spark, SF_DIR)
     plan = warehouse.shift_production(v.pick_event, v.order_header, v.product, as_of=reports.SHIFT_AS_OF)
