@@ -8,6 +8,7 @@ from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from lotline.functions import clock, codes
 from lotline.operators.joins import Window, lookup_one
+from lotline.sources.records import has_large_file
 from lotline.sources.sheets import read_csv_fill
 from lotline.sources.snapshots import write_snapshot
 
@@ -120,6 +121,13 @@ def open_appointments(
     )
 
 
-def gate_snapshot(spark: SparkSession, source: str, target: str, schema: str | None = None) -> int:
-    """Replicate the gate log with its header row and blanks filled; returns the row count."""
-    return write_snapshot(read_csv_fill(spark, source, schema), target, fmt="csv", header=True)
+def gate_snapshot(
+    spark: SparkSession, source: str, target: str, schema: str | None = None, *, split: bool | None = None
+) -> int:
+    """Replicate the gate log with its header row and blanks filled; returns the row count.
+
+    Its cells may hold line breaks. ``split`` has many tasks read a file, which gives the same rows; unless told,
+    it is done when a file is larger than one task reads.
+    """
+    split = has_large_file(spark, source) if split is None else split
+    return write_snapshot(read_csv_fill(spark, source, schema, split=split), target, fmt="csv", header=True)

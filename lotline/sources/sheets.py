@@ -4,43 +4,61 @@ from __future__ import annotations
 
 from collections.abc import Mapping, Sequence
 
-from pyspark.sql import DataFrame, DataFrameReader, SparkSession, functions as F
+from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from lotline.functions.display import text_export
+from lotline.sources.records import read_records
 
 # One dialect for all cells: quotes inside a quoted cell are doubled.
 DIALECT = {"quote": '"', "escape": '"', "ignoreLeadingWhiteSpace": False, "ignoreTrailingWhiteSpace": False}
 
 
-def _cells(spark: SparkSession, multi_line: bool) -> DataFrameReader:
-    """Reader of cells with doubled quotes. Cells may hold line breaks, for which a file is
-    read in one piece; without ``multi_line`` large files are split and a torn row fails."""
-    reader = spark.read.options(**DIALECT).option("multiLine", multi_line)
-    return reader if multi_line else reader.option("mode", "FAILFAST")
-
-
-def read_positional(spark: SparkSession, path: str, names: Sequence[str], *, multi_line: bool = True) -> DataFrame:
+def _cells(
+    spark: SparkSession,
+    path: str,
+    *,
+    header: bool,
+    schema: str | None = None,
+    infer: bool = False,
+    multi_line: bool = True,
+    split: bool = False,
+) -> DataFrame:
+    """Cells with doubled quotes. Cells may hold line breaks, for which a file is read in one
+    piece; with ``split`` many tasks find its records (``sources.records``). Without ``multi_line`` large files are
+    split too and a torn row fails."""
+    if split and multi_line:
+        return read_records(spark, path, DIALECT, header=header, schema=schema, infer=infer)
+    reader = spark.read.options(**DIALECT).option("multiLine", multi_line).option("header", header)
+    if not multi_line:
+        reader = reader.option("mode", "FAILFAST")
+    return reader.csv(path, schema=schema, inferSchema=infer, enforceSchema=True)
+
+
+def read_positional(
+    spark: SparkSession, path: str, names: Sequence[str], *, multi_line: bool = True, split: bool = False
+) -> DataFrame:
     """Cells without a header row, as text under the given names; a blank is ``''``."""
     schema = ", ".join(f"`{name}` string" for name in names)
-    cells = _cells(spark, multi_line).csv(path, schema=schema, header=False, enforceSchema=True)
+    cells = _cells(spark, path, header=False, schema=schema, multi_line=multi_line, split=split)
     return text_export(cells, null_text="")
 
 
-def read_headed(spark: SparkSession, path: str, n_cols: int | None = None, *, multi_line: bool = True) -> DataFrame:
+def read_headed(
+    spark: SparkSession, path: str, n_cols: int | None = None, *, multi_line: bool = True, split: bool = False
+) -> DataFrame:
     """Cells as text under the names of the header row, first ``n_cols`` columns; a blank is ``''``."""
-    cells = _cells(spark, multi_line).csv(path, header=True)
+    cells = _cells(spark, path, header=True, multi_line=multi_line, split=split)
     return text_export(cells.select(*(f"`{name}`" for name in cells.columns[:n_cols])), null_text="")
 
 
 def read_csv_fill(
-    spark: SparkSession, path: str, schema: str | None = None, *, multi_line: bool = True
+    spark: SparkSession, path: str, schema: str | None = None, *, multi_line: bool = True, split: bool = False
 ) -> DataFrame:
     """Headed CSV as text with blanks as ``''``.
 
-    Types come from ``schema``, or are inferred by one more pass over the file.
+    Types come from ``schema``, or are inferred by one more pass over the file. ``split`` reads a large file by many tasks.
     """
-    reader = _cells(spark, multi_line).option("header", True)
-    typed = reader.csv(path, schema=schema) if schema else reader.csv(path, inferSchema=True)
+    typed = _cells(spark, path, header=True, schema=schema, infer=not schema, multi_line=multi_line, split=split)
     return text_export(typed, null_text="")
 
 

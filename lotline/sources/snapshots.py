@@ -13,6 +13,7 @@ import uuid
 from pyspark.sql import DataFrame, Observation, SparkSession, functions as F
 
 from lotline.functions.display import text_export
+from lotline.sources.records import read_records
 from lotline.sources.sheets import DIALECT
 
 POINTER = "CURRENT"
@@ -113,12 +114,21 @@ def current_snapshot(spark: SparkSession, path: str) -> str:
 
 
 def read_snapshot(
-    spark: SparkSession, path: str, schema: str | None = None, fmt: str = "parquet", header: bool = False
+    spark: SparkSession,
+    path: str,
+    schema: str | None = None,
+    fmt: str = "parquet",
+    header: bool = False,
+    split: bool = False,
 ) -> DataFrame:
-    """The published snapshot."""
+    """The published snapshot. A CSV file is read in one piece, as its cells may hold line breaks, or by
+    many tasks with ``split``."""
+    place = current_snapshot(spark, path)
+    if fmt == "csv" and split:
+        return read_records(spark, place, DIALECT | {"nullValue": NULL_CELL}, header=header, schema=schema)
     reader = spark.read.format(fmt)
     if schema:
         reader = reader.schema(schema)
     if fmt == "csv":
         reader = reader.options(**DIALECT).options(nullValue=NULL_CELL, multiLine=True, header=header)
-    return reader.load(current_snapshot(spark, path))
+    return reader.load(place)

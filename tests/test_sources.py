@@ -12,6 +12,7 @@ from checks.views import Views
 from lotline.plans import receiving, warehouse
 from lotline.sources import parts, sheets, tables
 from lotline.sources.parts import append_batch, fold_slot, parts_of, read_parts
+from lotline.sources.records import csv_records
 from lotline.sources.snapshots import current_snapshot, read_snapshot, scratch_dir, write_snapshot
 from lotline.streaming import shifts
 from lotline.streaming.refresh import maintain_on_arrival, maintained, of_keys, refresh_on_arrival
@@ -343,3 +344,46 @@ def test_repeated_product_fails_the_report(spark):
     plan = receiving.putaway_pending(v.label_grouped, v.label_single, twice, v.employee, as_of="2001-12-01", company=1590)
     with pytest.raises(Exception, match="not unique"):
         plan.collect()
+
+
+def test_records_with_breaks_are_read_by_many_tasks(spark):
+    path = scratch_dir(spark, "gate")
+    cells = ['"in ""quotes"""', '"two\nlines, here"', "plain", "", '"\n\n"', '"a\r\nb"', '"' + "long\n" * 700 + '"', "7"]
+    table = [[cells[(i * 7 + j * (1 + i % 5)) % len(cells) if i % 3 == 0 else 2] for j in range(3)] for i in range(1200)]
+    for name, eol, part in (("one", "\n", table), ("two", "\r\n", table[:50])):
+        text = eol.join(["a,b c,d", *(f"{i}," + ",".join(row[1:]) for i, row in enumerate(part))]) + eol
+        spark.createDataFrame([(text[:-1],)], "value string").coalesce(1).write.text(f"{path}/{name}")
+    before = spark.conf.get("spark.sql.files.maxPartitionBytes")
+    spark.conf.set("spark.sql.files.maxPartitionBytes", "8000")
+    try:
+        lines = spark.read.text(f"{path}/one")
+        assert lines.rdd.getNumPartitions() > 8
+        # The border of a byte range lies within quotes somewhere.
+        records = csv_records(spark, f"{path}/one")
+        assert records.count() == 1201
+        for place in ("one", "two"):
+            for read in (sheets.read_csv_fill, sheets.read_headed):
+                split, whole = read(spark, f"{path}/{place}", split=True), read(spark, f"{path}/{place}")
+                assert split.columns == whole.columns == ["a", "b c", "d"] and rows(split) == rows(whole)
+        kind = "a int, b string, d string"
+        typed = sheets.read_csv_fill(spark, f"{path}/one", kind, split=True)
+        assert rows(typed) == rows(sheets.read_csv_fill(spark, f"{path}/one", kind))
+        names = ["x", "y", "z"]
+        assert rows(sheets.read_positional(spark, f"{path}/one", names, split=True)) == rows(
+            sheets.read_positional(spark, f"{path}/one", names)
+        )
+        target = scratch_dir(spark, "gate-out")
+        assert receiving.gate_snapshot(spark, f"{path}/one", target) == 1200
+        assert rows(read_snapshot(spark, target, fmt="csv", header=True, split=True)) == rows(
+            read_snapshot(spark, target, fmt="csv", header=True)
+        )
+    finally:
+        spark.conf.set("spark.sql.files.maxPartitionBytes", before)
+
+
+def test_records_of_headers_alone_and_of_open_quotes(spark):
+    path = scratch_dir(spark, "gate")
+    spark.createDataFrame([("a,b",)], "value string").coalesce(1).write.text(f"{path}/head")
+    assert rows(sheets.read_headed(spark, f"{path}/head", split=True)) == []
+    spark.createDataFrame([('a,b\n1,"x\ny',)], "value string").coalesce(1).write.text(f"{path}/open")
+    assert [r.text for r in csv_records(spark, f"{path}/open").orderBy("number").collect()] == ["a,b", '1,"x\ny']
