@@ -47,31 +47,37 @@ class Window:
         self.rows = rows
         self.key_sets = [list(keys) for keys in key_sets]
 
-    def _words(self) -> DataFrame:
-        """``_word, _bits``: the words that hold a bit; the key sets follow one another."""
+    def _words(self, mark: str) -> DataFrame:
+        """The words that hold a bit, with their number; the key sets follow one another."""
         bits = [
             F.pmod(_key_hash(self.rows, keys), F.lit(BITS)) + F.lit(i * BITS) for i, keys in enumerate(self.key_sets)
         ]
         found = self.rows.select((bits[0] if len(bits) == 1 else F.explode(F.array(*bits))).alias("_bit"))
-        word = F.shiftright("_bit", 6).alias("_word")
-        return found.na.drop().groupBy(word).agg(F.expr("bit_or(shiftleft(1L, cast(_bit & 63 as int)))").alias("_bits"))
-
-    def _marked(self, facts: DataFrame, keys: Sequence[str], how: str) -> DataFrame:
+        set_bits = F.expr("bit_or(shiftleft(1L, cast(_bit & 63 as int)))").alias(f"{mark}bits")
+        return found.na.drop().groupBy(F.shiftright("_bit", 6).alias(f"{mark}word")).agg(set_bits)
+
+    def _marked(self, facts: DataFrame, keys: Sequence[str], how: str) -> tuple[DataFrame, Column]:
+        """``facts`` with the word of their bit, and the bit, NULL where there is no such word."""
+        mark = "_"
+        while any(name.startswith(mark) for name in facts.columns):
+            mark += "_"
         bit = F.pmod(_key_hash(facts, keys), F.lit(BITS)) + F.lit(self.key_sets.index(list(keys)) * BITS)
-        placed = facts.withColumn("_bit", bit).withColumn("_at", F.shiftright("_bit", 6))
-        words = F.broadcast(self._words())
-        return placed.join(words, F.col("_at") == F.col("_word"), how)
+        placed = facts.withColumn(f"{mark}bit", bit).withColumn(f"{mark}at", F.shiftright(f"{mark}bit", 6))
+        words = F.broadcast(self._words(mark))
+        joined = placed.join(words, F.col(f"{mark}at") == F.col(f"{mark}word"), how)
+        return joined, F.expr(f"getbit({mark}bits, cast({mark}bit & 63 as int))")
 
     def cut(self, facts: DataFrame, keys: Sequence[str]) -> DataFrame:
         """``facts`` without most of the rows whose keys are not in the window, and without those that miss a key."""
-        marked = self._marked(facts, keys, "inner")
-        return marked.filter("getbit(_bits, cast(_bit & 63 as int)) = 1").select(*facts.columns)
+        marked, bit = self._marked(facts, keys, "inner")
+        return marked.filter(bit == 1).select(*(f"`{name}`" for name in facts.columns))
 
     def split(self, facts: DataFrame, keys: Sequence[str]) -> tuple[DataFrame, DataFrame]:
-        """Rows of ``facts`` whose keys may be in the window, and those whose keys are not."""
-        marked = self._marked(facts, keys, "left")
-        hit = F.expr("coalesce(getbit(_bits, cast(_bit & 63 as int)), 0)")
-        return marked.filter(hit == 1).select(*facts.columns), marked.filter(hit == 0).select(*facts.columns)
+        """Rows of ``facts`` whose keys may be in the window, and those whose keys are not or are missing."""
+        marked, bit = self._marked(facts, keys, "left")
+        names = [f"`{name}`" for name in facts.columns]
+        bit = F.coalesce(bit, F.lit(0))
+        return marked.filter(bit == 1).select(*names), marked.filter(bit == 0).select(*names)
 
 
 def first_per_key(df: DataFrame, keys: Sequence[str], order: Sequence[str], keep: Sequence[str]) -> DataFrame:
