@@ -24,6 +24,7 @@ from pyspark.sql import DataFrame, functions as F
 
 from lotline.llm.common import batch_task, stored, texts_of
 from lotline.llm.graph import components, group_bounds, local_roots, sorted_groups
+from lotline.operators.joins import Window
 
 NGRAM = 5
 SIMILARITY = 0.8
@@ -36,7 +37,6 @@ BUCKET = 2048  # sets that are compared outright; a group of near copies below i
 DEPTH = 3  # steps of a path; larger buckets at its end are compared in blocks
 BLOCK_GRAMS = 1 << 20  # n-grams of a cluster that are verified in one task
 BLOCK_SETS = 512  # and sets
-SLOTS = 1 << 19  # hash slots of ids that are broadcast, at most
 COLUMNS = 4096  # n-grams per product of matrices
 
 RUNS = math.ceil(math.log(1 - RECALL) / (SIMILARITY * PLACES * math.log(1 - PATHS / PLACES)))
@@ -358,10 +358,12 @@ def without_copies(docs: DataFrame, *, doc_id: str = "doc_id", text: str = "text
     marks = marks.withColumn("stays", F.col("name") == F.col("first")).filter("not stays or n > 1")
     marks = stored(marks.select(F.col("name.doc_id").alias("__id"), F.col("name.print").alias("__print"), "stays"), "copies")
 
+    # Most texts are in no group: they leave in the scan, by the bit set of the prints, and are never shuffled.
     whole = F.coalesce(F.col(f"`{text}`").cast("string"), F.lit(""))
     marked = docs.withColumn("__own", F.unhex(F.md5(whole.cast("binary"))))
+    marked, others = Window(marks.select(F.col("__print").alias("__own")), ["__own"]).split(marked, ["__own"])
     same = F.col(f"`{doc_id}`").eqNullSafe(F.col("__id")) & (F.col("__own") == F.col("__print"))
-    out = marked.join(marks, same, "left_anti").select(*docs.columns)
+    out = marked.join(marks, same, "left_anti").unionByName(others).select(*docs.columns)
     again = marks.filter("stays")
     if not again.take(1):
         return out
@@ -395,10 +397,8 @@ def _told(rows: DataFrame) -> tuple[DataFrame, DataFrame]:
     totals = members.groupBy("cluster").agg(blocks.alias("n"))
     members = stored(members.join(totals, "cluster"), "members")
 
-    # Few texts are in a cluster: most others leave in the scan, by slots of ids whose number is bounded.
-    slot = F.pmod(F.xxhash64("doc_id"), F.lit(SLOTS)).alias("slot")
-    slots = members.select(F.col("class_id").alias("doc_id")).select(slot).distinct()
-    texts = rows.withColumn("slot", slot).join(F.broadcast(slots), "slot", "left_semi").drop("slot")
+    # Few texts are in a cluster: most others leave in the scan, by the bit set of the prints.
+    texts = Window(members, ["print"]).cut(rows, ["print"])
     members = members.withColumnRenamed("print", "__print")
     texts = texts.join(members, F.col("doc_id").eqNullSafe(F.col("class_id")) & (F.col("print") == F.col("__print")))
     texts = texts.select("text", "cluster", "key", "size", "n")

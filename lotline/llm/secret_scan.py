@@ -19,6 +19,7 @@ from dataclasses import dataclass
 from pyspark.sql import Column, DataFrame, SparkSession, Window, functions as F
 
 from lotline.llm.common import stored
+from lotline.operators.joins import Window as KeyWindow
 
 LEDGER_SCHEMA = {
     "findings": "blob string, rules string, kind string, rank int, start long, end long",
@@ -121,8 +122,12 @@ def update_ledger(versions: DataFrame, ledger: str, rules: tuple[Rule, ...] = RU
     unseen = versions.select("blob", "text")
     seen = _ledger(spark, ledger, "scanned", version)
     if seen is not None:
-        unseen = unseen.join(seen.select("blob"), "blob", "left_anti")
-    blobs = unseen.groupBy("blob").agg(F.first("text").alias("text"))
+        maybe, fresh = KeyWindow(seen, ["blob"]).split(unseen, ["blob"])
+        unseen = maybe.join(seen.select("blob"), "blob", "left_anti").unionByName(fresh)
+    # Addresses tell which blobs repeat; the texts of others are scanned where they are read.
+    repeated = stored(unseen.groupBy("blob").count().filter("count > 1").select("blob"), "repeated")
+    maybe, single = KeyWindow(repeated, ["blob"]).split(unseen, ["blob"])
+    blobs = maybe.groupBy("blob").agg(F.first("text").alias("text")).unionByName(single)
     scan_blobs(blobs, rules).write.mode("append").parquet(f"{ledger}/findings")
     names = unseen.select("blob", F.lit(version).alias("rules")).distinct()
     names.write.mode("append").parquet(f"{ledger}/scanned")
@@ -179,7 +184,9 @@ def redact_documents(docs: DataFrame, ledger: str, rules: tuple[Rule, ...] = RUL
     findings = update_ledger(docs.select(blob_of(whole).alias("blob"), whole.alias("text")), ledger, rules)
     spans = F.sort_array(F.collect_list(F.struct("start", "end"))).alias("__spans")
     found = stored(findings.groupBy(F.col("blob").alias(name)).agg(spans), "spans")
-    joined = docs.withColumn(name, blob_of(whole)).join(found, name, "left")
+    # Few texts have a finding: the others pass in the scan.
+    some, none = KeyWindow(found, [name]).split(docs.withColumn(name, blob_of(whole)), [name])
+    joined = some.join(found, name, "left")
     source = F.col(f"`{text}`")
 
     def step(done: Column, span: Column) -> Column:
@@ -194,4 +201,5 @@ def redact_documents(docs: DataFrame, ledger: str, rules: tuple[Rule, ...] = RUL
     masked = F.aggregate(
         "__spans", start, step, lambda done: F.concat(done["out"], F.substr(source, (done["to"] + 1).cast("int")))
     )
-    return joined.withColumn(text, F.when(F.col("__spans").isNull(), source).otherwise(masked)).select(*docs.columns)
+    changed = joined.withColumn(text, F.when(F.col("__spans").isNull(), source).otherwise(masked)).select(*docs.columns)
+    return changed.unionByName(none.select(*docs.columns))
