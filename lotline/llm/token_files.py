@@ -45,6 +45,23 @@ CLOSING = ",.!"
 _tokenizers: dict[str, WordIds] = {}
 
 
+def _byte_letters() -> dict[int, str]:
+    """Letter that stands for each byte in the vocabulary: printable Latin-1 for itself, the rest from 256 on."""
+    shown = [*range(33, 127), *range(161, 173), *range(174, 256)]
+    hidden = (byte for byte in range(256) if byte not in shown)
+    return {byte: chr(256 + i) for i, byte in enumerate(hidden)}
+
+
+BYTE_LETTERS = _byte_letters()
+# Letters before this one are small after Python's ``lower`` exactly as after the tokenizer's, but for one.
+LATIN_END, DOTTED_I = "\u0180", "\u0130"
+
+
+def _is_latin(word: str) -> bool:
+    """Letters only, all before ``LATIN_END``: nothing is composed, split or left out of them."""
+    return word.isalpha() and max(word) < LATIN_END and DOTTED_I not in word
+
+
 def _ascii_lower(text: str) -> str:
     return text.lower() if text.isascii() else text.encode("utf-8").lower().decode("utf-8")
 
@@ -73,8 +90,8 @@ class WordIds:
     def _learn(self, words: list[str]) -> None:
         """Encode words many at a time, with a mark between them that has an id of its own.
 
-        Letters before one closing mark are a word of their own to the tokenizer. Small
-        ASCII letters alone pass its normaliser and splitter unchanged and go to its merges at once.
+        Letters before one closing mark are a word of their own to the tokenizer. Latin
+        letters alone are one piece to its splitter; their bytes go to its merges at once.
         """
         closed = [word for word in words if word[-1] in self.closing and word[:-1].isalpha()]
         bare = {word[:-1] for word in closed}.difference(self.known)
@@ -82,7 +99,11 @@ class WordIds:
         simple = [word for word in words if word.isascii() and word.isalpha()]
         split = self.tokenizer.model.tokenize
         self.known.update((word, array("I", [token.id for token in split(word)]).tobytes()) for word in simple)
-        self._encode_words(list(words.difference(simple)))
+        latin = [word for word in words.difference(simple) if _is_latin(word)]
+        for word in latin:
+            letters = word.lower().encode("utf-8").decode("latin-1").translate(BYTE_LETTERS)
+            self.known[word] = array("I", [token.id for token in split(letters)]).tobytes()
+        self._encode_words(list(words.difference(simple, latin)))
         find, closing = self.known.__getitem__, self.closing
         self.known.update((word, find(word[:-1]) + closing[word[-1]]) for word in closed)
 
