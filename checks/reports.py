@@ -56,6 +56,14 @@ def enriched(v: Views):
     return backlog.enrich_backlog(orders_listed(v), v.mode_map, v.branch_map, v.city_map)
 
 
+def page(v: Views, name: str):
+    if "page_sums" in v.results:
+        sums = v.read_stored("page_sums")
+    else:
+        sums = backlog_views.page_sums(enriched(v))
+    return backlog_views.page_of(sums, name)
+
+
 def profile(v: Views):
     return warehouse.location_profile(
         v.location, v.storage_class, v.storage_area, v.location_type, v.location_station, v.station
@@ -461,6 +469,23 @@ def shown_sums(rows: str, key: str, measures: dict[str, tuple[str, int]], total:
 PV = {"pecas": ("qtcomp", 0), "cubagem": ("cubtotal", 1)}
 
 
+@check(
+    "page_sums",
+    f"""
+    with r as (select * replace (case when modal_master = 'CD Entrega' then numpedven end as numpedven) from x_enriched),
+    s as (select grouping(modal_master) grouping_mode, grouping(familia) b, grouping(filial) c, grouping(cidade) d, status, familia, modal_master,
+                 filial, cidade, numpedven, {n6('sum(qtcomp)')} qtcomp, {n6('sum(cubtotal)')} cubtotal
+          from r group by grouping sets ((status), (familia), (modal_master, status), (filial, modal_master),
+                                         (modal_master, cidade, numpedven)))
+    select case when b = 0 then 'family' when c = 0 then 'branch' when d = 0 then 'city'
+                when grouping_mode = 0 then 'mode' else 'status' end page,
+           status, familia, modal_master, filial, cidade, numpedven, qtcomp, cubtotal
+    from s""",
+)
+def _(v):
+    return backlog_views.page_sums(enriched(v))
+
+
 @check(
     "backlog_by_status",
     shown_sums(
@@ -469,7 +494,7 @@ PV = {"pecas": ("qtcomp", 0), "cubagem": ("cubtotal", 1)}
     ),
 )
 def _(v):
-    return backlog_views.backlog_by_status(enriched(v), display=True)
+    return backlog_views.backlog_by_status(page(v, "status"), display=True)
 
 
 @check(
@@ -480,7 +505,7 @@ def _(v):
     ),
 )
 def _(v):
-    return backlog_views.top_families(enriched(v), display=True)
+    return backlog_views.top_families(page(v, "family"), display=True)
 
 
 @check(
@@ -496,7 +521,7 @@ def _(v):
     ),
 )
 def _(v):
-    return backlog_views.modes_in_process(enriched(v), display=True)
+    return backlog_views.modes_in_process(page(v, "mode"), display=True)
 
 
 @check(
@@ -508,7 +533,7 @@ def _(v):
     select tipo, valor, if(tipo = 'Capacidade', '1061', {ptbr('valor', 1)}) valor_texto from r""",
 )
 def _(v):
-    return backlog_views.days_in_backlog(enriched(v), display=True)
+    return backlog_views.days_in_backlog(page(v, "status"), display=True)
 
 
 def branch_sql(value: str, places: int) -> str:
@@ -523,12 +548,12 @@ def branch_sql(value: str, places: int) -> str:
 
 @check("branch_mode_pieces", branch_sql("qtcomp", 0))
 def _(v):
-    return backlog_views.branch_mode_pieces(enriched(v), backlog_views.mode_names(v.mode_map), display=True)
+    return backlog_views.branch_mode_pieces(page(v, "branch"), backlog_views.mode_names(v.mode_map), display=True)
 
 
 @check("branch_mode_volume", branch_sql("cubtotal", 1))
 def _(v):
-    return backlog_views.branch_mode_volume(enriched(v), MODES, display=True)
+    return backlog_views.branch_mode_volume(page(v, "branch"), MODES, display=True)
 
 
 @check(
@@ -539,7 +564,7 @@ def _(v):
     from x_enriched where modal_master = 'CD Entrega' and cidade is not null group by cidade""",
 )
 def _(v):
-    return backlog_views.delivery_cities(enriched(v), display=True)
+    return backlog_views.delivery_cities(page(v, "city"), display=True)
 
 
 SHARED["x_sales"] = """

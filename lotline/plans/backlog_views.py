@@ -1,7 +1,7 @@
 """Summaries of the enriched backlog.
 
-All read the result of ``enrich_backlog`` (or its stored snapshot); sums stay
-numeric, ``display=True`` adds the text columns.
+All read the result of ``enrich_backlog`` (or its stored snapshot), or their part of ``page_sums``, which
+reads it once for all of them; sums stay numeric, ``display=True`` adds the text columns.
 """
 
 from __future__ import annotations
@@ -19,11 +19,46 @@ from lotline.plans.backlog import IN_PICKING, RELEASED
 CAPACITY = 1061
 SHOWN = 10
 DELIVERY_MODE = "CD Entrega"
+# Columns that a branch table may have.
+MOST_MODES = 500
 
 PIECES, VOLUME = "pecas", "cubagem"
 STYLES = {PIECES: "NORMAL", VOLUME: "CUBAGEM"}
 
 
+# Columns that the rows of each page are summed by.
+PAGES = {
+    "status": ["status"],
+    "family": ["familia"],
+    "mode": ["modal_master", "status"],
+    "branch": ["filial", "modal_master"],
+    "city": ["modal_master", "cidade", "numpedven"],
+}
+
+
+def page_sums(enriched: DataFrame, mode: str = DELIVERY_MODE) -> DataFrame:
+    """Pieces and volume of every page in one long table, from one scan of the enriched backlog.
+
+    ``page`` tells the page of a row; columns that it is not summed by are NULL. Orders are told apart for the
+    cities of ``mode`` only. Store it, and give each report the rows of ``page_of``.
+    """
+    columns = list(dict.fromkeys(name for names in PAGES.values() for name in names))
+    order = F.when(F.col("modal_master") == mode, F.col("numpedven")).alias("numpedven")
+    rows = enriched.select(*(order if name == "numpedven" else name for name in columns), "qtcomp", "cubtotal")
+    sums = rows.groupingSets([tuple(names) for names in PAGES.values()], *columns).agg(
+        F.grouping_id(*columns).alias("_set"), F.sum("qtcomp").alias("qtcomp"), F.sum("cubtotal").alias("cubtotal")
+    )
+    # The grouping id has a bit for each column that is not summed by.
+    known = {page: sum((name not in names) << i for i, name in enumerate(reversed(columns))) for page, names in PAGES.items()}
+    page = F.coalesce(*(F.when(F.col("_set") == number, page) for page, number in known.items()))
+    return sums.select(page.alias("page"), *columns, "qtcomp", "cubtotal")
+
+
+def page_of(sums: DataFrame, page: str) -> DataFrame:
+    """The rows of ``page_sums`` that a page is made of."""
+    return sums.filter(F.col("page") == page).drop("page")
+
+
 def _shown(df: DataFrame, styles: dict[str, str], display: bool) -> DataFrame:
     return with_display(df, styles) if display else df
 
@@ -67,9 +102,12 @@ def days_in_backlog(enriched: DataFrame, capacity: int = CAPACITY, display: bool
 
 
 def mode_names(modes: DataFrame) -> list[str]:
-    """Names of the mode lookup, in order; the columns of the branch tables."""
-    names = modes.select("modal_master").na.drop().distinct().orderBy("modal_master")
-    return [row[0] for row in names.collect()]
+    """Names of the mode lookup, in order; the columns of the branch tables, ``MOST_MODES`` at most."""
+    names = modes.select("modal_master").na.drop().distinct().orderBy("modal_master").limit(MOST_MODES + 1)
+    found = [row[0] for row in names.collect()]
+    if len(found) > MOST_MODES:
+        raise ValueError(f"more than {MOST_MODES} modes: too many columns of a branch table")
+    return found
 
 
 def _branch_by_mode(enriched: DataFrame, value: str, modes: Sequence[str], style: str, display: bool) -> DataFrame:

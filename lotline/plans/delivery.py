@@ -10,6 +10,7 @@ from lotline.functions.codes import delivery_label
 from lotline.operators.aggregates import flag_count, pivot_sum
 from lotline.operators.filters import differs_or_missing
 from lotline.operators.ordering import head_then_sort, top_categories, top_rows
+from lotline.sources.snapshots import scratch_copy
 
 # States, regions left out, and sizes of the tables.
 PENDING = "PENDENTE"
@@ -63,10 +64,13 @@ def due_today(delivery: DataFrame) -> DataFrame:
 def due_today_matrix(delivery: DataFrame, statuses: Sequence[str] | None = None) -> DataFrame:
     """Deliveries due today: first carriers by name against the most frequent labels.
 
-    The labels are found by one more pass unless ``statuses`` names them. Rows are
+    The deliveries are read once: their counts by carrier and label, a small table, are stored in the scratch
+    folder, and labels and columns are taken from it. With ``statuses`` nothing is stored. Rows are
     ordered by the deliveries on their way, when that label is shown.
     """
     counts = due_today(delivery)
+    if statuses is None:
+        counts = scratch_copy(counts, "due-today")
     shown = statuses if statuses is not None else top_categories(counts, "rotulo", "n", MATRIX_STATUSES)
     matrix = pivot_sum(counts, CARRIER, "rotulo", "n", list(shown))
     return head_then_sort(matrix, CARRIER, MATRIX_CARRIERS, MATRIX_ORDER)

@@ -39,6 +39,16 @@ def scratch_dir(spark: SparkSession, purpose: str) -> str:
     return f"{base.rstrip('/')}/{purpose}-{uuid.uuid4().hex}"
 
 
+def scratch_copy(df: DataFrame, purpose: str) -> DataFrame:
+    """``df`` written to the shared scratch folder and read back; removed when the session ends."""
+    spark = df.sparkSession
+    path = scratch_dir(spark, purpose)
+    df.write.parquet(path)
+    place = spark._jvm.org.apache.hadoop.fs.Path(path)
+    place.getFileSystem(spark._jsc.hadoopConfiguration()).deleteOnExit(place)
+    return spark.read.schema(df.schema).parquet(path)
+
+
 def _files(spark: SparkSession, path: str):
     """Hadoop file context for ``path`` and its path constructor."""
     jvm = spark._jvm

@@ -449,3 +449,40 @@ def test_items_read_twice(spark, tmp_path_factory):
     stored = backlog.BacklogTables(**{**t.__dict__, "item": spark.read.parquet(f"{place}/items")})
     lines = backlog.backlog_lines(stored, backlog.listed_orders(stored), salts=8)
     assert scans(lines, "items") == 2
+
+
+def test_pages_from_their_sums_equal_pages_from_rows(spark, page, tmp_path_factory):
+    modes = ["CD Entrega", "Rota"]
+    views = {
+        "status": [backlog_views.backlog_by_status, backlog_views.days_in_backlog],
+        "family": [backlog_views.top_families],
+        "mode": [backlog_views.modes_in_process],
+        "branch": [lambda r: backlog_views.branch_mode_pieces(r, modes), lambda r: backlog_views.branch_mode_volume(r, modes)],
+        "city": [backlog_views.delivery_cities],
+    }
+    sums = backlog_views.page_sums(page)
+    assert rows(sums.select("page").distinct().orderBy("page")) == [(name,) for name in sorted(views)]
+    for name, builders in views.items():
+        for build in builders:
+            assert rows(build(backlog_views.page_of(sums, name))) == rows(build(page))
+    place = tmp_path_factory.mktemp("t")
+    page.write.parquet(f"{place}/rows")
+    assert scans(backlog_views.page_sums(spark.read.parquet(f"{place}/rows")), "rows") == 1
+    assert backlog_views.page_sums(page.limit(0)).count() == 0
+
+
+def test_matrix_reads_the_deliveries_once(spark, tmp_path_factory):
+    place = tmp_path_factory.mktemp("t")
+    v = Views(spark, SF_DIR)
+    v.delivery.write.parquet(f"{place}/due")
+    stored = spark.read.parquet(f"{place}/due")
+    assert scans(delivery.due_today(stored), "due") == 1
+    matrix = delivery.due_today_matrix(stored)  # has read them
+    assert scans(matrix, "due") == 0 and rows(matrix) == rows(delivery.due_today_matrix(v.delivery))
+
+
+def test_too_many_modes_are_no_columns(spark):
+    names = spark.range(501).select(F.col("id").cast("string").alias("modal_master"))
+    with pytest.raises(ValueError, match="more than 500"):
+        backlog_views.mode_names(names)
+    assert len(backlog_views.mode_names(names.limit(500))) == 500
