@@ -99,11 +99,11 @@ class WordIds:
         simple = [word for word in words if word.isascii() and word.isalpha()]
         split = self.tokenizer.model.tokenize
         self.known.update((word, array("I", [token.id for token in split(word)]).tobytes()) for word in simple)
-        latin = [word for word in words.difference(simple) if _is_latin(word)]
-        for word in latin:
-            letters = word.lower().encode("utf-8").decode("latin-1").translate(BYTE_LETTERS)
-            self.known[word] = array("I", [token.id for token in split(letters)]).tobytes()
-        self._encode_words(list(words.difference(simple, latin)))
+        rest = words.difference(simple)
+        latin = [word for word in rest if _is_latin(word)]
+        letters = (word.lower().encode("utf-8").decode("latin-1").translate(BYTE_LETTERS) for word in latin)
+        self.known.update((word, array("I", [t.id for t in split(one)]).tobytes()) for word, one in zip(latin, letters))
+        self._encode_words(list(rest.difference(latin)))
         find, closing = self.known.__getitem__, self.closing
         self.known.update((word, find(word[:-1]) + closing[word[-1]]) for word in closed)
 
@@ -126,7 +126,8 @@ class WordIds:
         wanted = set().union(*words)
         missing = wanted.difference(self.known)
         if len(self.known) + len(missing) > CACHED_WORDS:
-            self.known, missing = {}, wanted
+            # Words of the texts at hand stay, and with them the frequent ones.
+            self.known = {word: self.known[word] for word in wanted.difference(missing)}
         self._learn(list(missing))
         find = self.known.__getitem__
         out = [
