@@ -30,14 +30,6 @@ def stored(df: DataFrame, purpose: str) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
-def checkpointed(df: DataFrame) -> DataFrame:
-    """``df`` cut from its lineage by a checkpoint in the shared folder."""
-    context = df.sparkSession.sparkContext
-    if context.getCheckpointDir() is None:
-        context.setCheckpointDir(scratch_dir(df.sparkSession, "checkpoint"))
-    return df.checkpoint()
-
-
 def batch_task(module: str, name: str, *args) -> Callable[[Iterator], Iterator]:
     """``name(batches, *args)`` of ``lotline.llm.<module>`` as a task for ``mapInArrow`` or ``mapInPandas``.
 
@@ -46,11 +38,6 @@ def batch_task(module: str, name: str, *args) -> Callable[[Iterator], Iterator]:
     return _located(ROOT, module, name, args, lambda call: lambda batches: call(batches))
 
 
-def group_task(module: str, name: str, *args) -> Callable:
-    """``name(pdf, *args)`` of ``lotline.llm.<module>`` as a task for ``applyInPandas``."""
-    return _located(ROOT, module, name, args, lambda call: lambda pdf: call(pdf))
-
-
 def _located(root: str, module: str, name: str, args: tuple, shape: Callable) -> Callable:
     def call(data):
         import importlib
