@@ -23,7 +23,7 @@ from lotline.llm import (
     vector_forest,
 )
 from lotline.llm.common import read
-from lotline.llm.sql import mixing_sql, part_codes_sql, secret_scan_sql, url_filter_sql
+from lotline.llm.sql import mixing_sql, part_codes_sql, secret_scan_sql, url_filter_sql, vector_links_sql
 from lotline.sources.snapshots import scratch_dir
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -123,6 +123,7 @@ def op13_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
 SQL |= {
     "op3_url_filter": url_filter_sql(),
     "op5_secret_scan": secret_scan_sql(),
+    "op6_vector_forest": vector_links_sql(),
     "op9_source_mixing": mixing_sql(MIX_WEIGHTS),
     "op11_part_codes": part_codes_sql(),
 }

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from lotline.llm import mixing, part_codes, url_filter
+from lotline.llm import mixing, part_codes, url_filter, vector_forest
 
 
 def secret_scan_sql() -> str:
@@ -164,3 +164,23 @@ def part_codes_sql() -> str:
     books as (select sha256(coalesce(string_agg(cast(x as varchar), ',' order by p, e, j), '')) h from b{rounds})
     select vec_id, code, error, cast(sum(error) over (partition by label) as bigint) label_error, h codebooks_sha256
     from v join told using (row), books"""
+
+
+def vector_links_sql() -> str:
+    """Links by comparing all pairs of a label, components by their closure."""
+    return f"""
+    with recursive v as materialized (
+        select row_number() over () as row, vec_id, label, cast(embedding as double[]) e from embeddings),
+    usable as materialized (
+        select * from v
+        where label is not null and e is not null and len([x for x in e if x is null or not isfinite(x)]) = 0
+              and len([x for x in e if x <> 0]) > 0),
+    links as materialized (
+        select a.row a, b.row b from usable a join usable b on a.label = b.label and len(a.e) = len(b.e) and a.row <> b.row
+        where list_cosine_similarity(a.e, b.e) >= {vector_forest.COSINE}),
+    reached(a, b) as (select a, b from links union select r.a, l.b from reached r join links l on l.a = r.b),
+    firsts as (select a, min(vec_id) first_id from reached join v on v.row = b group by a),
+    counts as (select a, count(*) n from links group by a)
+    select vec_id, coalesce(n, 0) n_links, coalesce(least(vec_id, first_id), vec_id) component_id,
+           vec_id is not distinct from coalesce(least(vec_id, first_id), vec_id) kept
+    from v left join counts on counts.a = row left join firsts on firsts.a = row"""
