@@ -1,9 +1,11 @@
 """Toxicity by a factorization machine over hashed terms.
 
-Each text is the set of its hashed words. Terms whose presence differs clearly between
-toxic and other training texts stay active; over those the machine learns a weight per
-term and a short vector per term whose products weigh pairs of terms. The sums of the
-gradient are taken by partition and added in a tree.
+Each text is the set of its hashed words. The machine learns a weight per term and a
+short vector per term whose products weigh pairs of terms. Terms that tell alone enter by
+a likelihood ratio. Terms that tell only beside others enter by the pairs: over all terms,
+block power iteration finds the directions in which pairs of terms agree most with the
+errors that are left, on one half of the training texts, and a term enters when the other
+half confirms it. The sums of all passes are taken by partition and added in a tree.
 """
 
 from __future__ import annotations
@@ -12,6 +14,7 @@ import math
 import re
 import zlib
 from collections.abc import Iterator
+from statistics import NormalDist
 
 import numpy as np
 import pyarrow as pa
@@ -32,6 +35,10 @@ FACTORS = 4
 STEPS, RATE = 30, 0.1
 DECAY = 5e-5  # of all weights and vectors
 
+ROUNDS = 3  # searches for terms that tell in pairs, each followed by a fit
+SEARCH_STEPS, SEARCH_WIDTH = 10, 2 * FACTORS  # power iterations, vectors of a search (pairs come with either sign)
+CHANCE = 0.01  # that a search lets any term enter by chance
+
 WORD = re.compile(r"\w+")
 CACHED = 400_000
 
@@ -64,10 +71,8 @@ def active_batches(batches: Iterator[pa.RecordBatch], active: list[int]) -> Iter
     table = np.array(active, dtype=np.int64)
     for batch in batches:
         ids, row = _flat(batch.column("terms"))
-        at = np.minimum(np.searchsorted(table, ids), len(table) - 1)
-        hit = table[at] == ids
-        ends = np.concatenate([[0], np.cumsum(np.bincount(row[hit], minlength=batch.num_rows))]).astype(np.int32)
-        places = pa.ListArray.from_arrays(pa.array(ends), pa.array(at[hit].astype(np.int32)))
+        at, hit = _places(ids, table)
+        places = _lists(at[hit], row[hit], batch.num_rows)
         yield pa.RecordBatch.from_arrays([batch.column("y"), places], names=["y", "active"])
 
 
@@ -109,6 +114,17 @@ def _flat(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     return np.asarray(column.flatten()), np.repeat(np.arange(len(lengths)), lengths)
 
 
+def _places(ids: np.ndarray, table: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Places of ``ids`` in a sorted table, and which of them are there."""
+    at = np.minimum(np.searchsorted(table, ids), len(table) - 1)
+    return at, table[at] == ids
+
+
+def _lists(values: np.ndarray, row: np.ndarray, n: int) -> pa.ListArray:
+    ends = np.concatenate([[0], np.cumsum(np.bincount(row, minlength=n))]).astype(np.int32)
+    return pa.ListArray.from_arrays(pa.array(ends), pa.array(values.astype(np.int32)))
+
+
 def _sigmoid(x: np.ndarray) -> np.ndarray:
     return 1 / (1 + np.exp(-np.clip(x, -30, 30)))
 
@@ -131,12 +147,125 @@ def gradient_sums(batches: Iterator[pa.RecordBatch], values: bytes) -> Iterator[
     yield pa.RecordBatch.from_arrays([pa.array([np.append(out, texts).tobytes()], pa.binary())], names=["sums"])
 
 
+def residual_batches(
+    batches: Iterator[pa.RecordBatch], kept: np.ndarray, active: list[int], values: bytes
+) -> Iterator[pa.RecordBatch]:
+    """Error of the machine on each training text, its half (by its terms), and the places of its ``kept`` terms."""
+    machine = Machine(np.frombuffer(values))
+    table = np.array(active, dtype=np.int64)
+    for batch in batches:
+        ids, row = _flat(batch.column("terms"))
+        raw = np.full(batch.num_rows, machine.constant)
+        if active:
+            at, hit = _places(ids, table)
+            raw = machine.raw(at[hit], row[hit], batch.num_rows)[0]
+        mixed = np.bincount(row, (ids.astype(np.uint64) * np.uint64(0x9E3779B1) >> np.uint64(7)) % 8191, batch.num_rows)
+        at, hit = _places(ids, kept)
+        yield pa.RecordBatch.from_arrays(
+            [
+                pa.array(np.asarray(batch.column("y")) - _sigmoid(raw)),
+                pa.array(mixed.astype(np.int64) % 2 == 0),
+                _lists(at[hit], row[hit], batch.num_rows),
+            ],
+            names=["error", "learns", "places"],
+        )
+
+
+def pair_sums(
+    batches: Iterator[pa.RecordBatch], vectors: bytes, centre: bytes, middle: float, squares: bool
+) -> Iterator[pa.RecordBatch]:
+    """One row per partition: for every term, sums over the texts that hold it, and over all texts in the last place.
+
+    A text weighs its error, less the mean error ``middle``, by its number of terms. Summed are
+    weight, weight times projection of the text on each vector, and on demand the squares of these products.
+    """
+    shift = np.frombuffer(centre)
+    vectors = np.frombuffer(vectors).reshape(-1, len(shift))
+    n_terms, width = vectors.shape
+    out = np.zeros((1 + (1 + squares) * width, n_terms + 1))
+    for batch in batches:
+        n = batch.num_rows
+        ids, row = _flat(batch.column("places"))
+        sizes = np.bincount(row, minlength=n)
+        weight = (np.asarray(batch.column("error")) - middle) / np.maximum(sizes, 1)
+        products = [weight]
+        for k in range(width):
+            products.append(weight * (np.bincount(row, vectors[ids, k], n) - shift[k]))
+        if squares:
+            products += [one**2 for one in products[1:]]
+        for i, product in enumerate(products):
+            out[i, :-1] += np.bincount(ids, product[row], n_terms)
+            out[i, -1] += product.sum()
+    yield pa.RecordBatch.from_arrays([pa.array([out.tobytes()], pa.binary())], names=["sums"])
+
+
+def _added(parts: DataFrame) -> np.ndarray:
+    return parts.rdd.map(lambda row: np.frombuffer(row.sums)).treeReduce(lambda a, b: a + b, depth=3)
+
+
+class PairSearch:
+    """Agreement of pairs of terms with the errors of a machine, as a matrix that is only ever multiplied.
+
+    Its entry for two terms is the sum over texts of weight times presence of both, presence less its
+    mean and scaled by the root of its deviation, so that neither words of every text nor rare ones
+    drown the others. The entry of a term with itself is left out.
+    """
+
+    def __init__(self, errors: DataFrame, means: np.ndarray):
+        self.errors, self.means = errors, means
+        self.scale = np.maximum(means * (1 - means), 1e-12) ** -0.25
+        self.middle = errors.agg(F.avg("error")).first()[0]
+
+    def times(self, vectors: np.ndarray) -> np.ndarray:
+        """The matrix of the texts that teach times ``vectors``."""
+        return self._product(vectors, True)[0]
+
+    def confirmed(self, vectors: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """The matrix of the other texts times ``vectors``, and the deviation of that if errors had signs by chance."""
+        product, (held, total) = self._product(vectors, False)
+        means, width = self.means[:, None], vectors.shape[1]
+        square = (1 - 2 * means) * held[:, width + 1 :] + means**2 * total[width + 1 :]
+        return product, np.sqrt(np.maximum(square, 1e-30)) * self.scale[:, None]
+
+    def _product(self, vectors: np.ndarray, learns: bool):
+        width, means = vectors.shape[1], self.means[:, None]
+        scaled = np.ascontiguousarray(vectors * self.scale[:, None])
+        args = scaled.tobytes(), (self.means @ scaled).tobytes(), self.middle, not learns
+        half = self.errors.filter(F.col("learns") == learns)
+        sums = _added(half.mapInArrow(batch_task("toxicity", "pair_sums", *args), "sums binary"))
+        sums = sums.reshape(-1, len(means) + 1).T
+        held, total = sums[:-1], sums[-1]
+        own = (1 - 2 * means) * held[:, :1] + means**2 * total[0]
+        product = held[:, 1 : width + 1] - means * total[1 : width + 1] - own * scaled
+        return product * self.scale[:, None], (held, total)
+
+    def entering(self) -> tuple[np.ndarray, np.ndarray]:
+        """Places of the terms that both halves hold for telling in pairs, and the vectors they start from."""
+        n_terms = len(self.means)
+        width = min(SEARCH_WIDTH, n_terms)
+        basis = np.linalg.qr(np.random.default_rng(5).normal(size=(n_terms, width)))[0]
+        for _ in range(SEARCH_STEPS):
+            basis = np.linalg.qr(self.times(basis))[0]
+        inner = basis.T @ self.times(basis)
+        sizes, turn = np.linalg.eigh((inner + inner.T) / 2)
+        best = [k for k in np.argsort(-sizes)[:FACTORS] if sizes[k] > 0]
+        if not best:
+            return np.zeros(0, np.int64), np.zeros((0, FACTORS))
+        found = basis @ turn[:, best]
+        product, deviation = self.confirmed(found)
+        bar = NormalDist().inv_cdf(1 - CHANCE / (n_terms * len(best)))
+        sure = np.sign(found) * product > bar * deviation
+        places = np.flatnonzero(sure.any(axis=1))
+        start = np.zeros((len(places), FACTORS))
+        start[:, : len(best)] = np.where(sure, found / np.abs(found).max(axis=0), 0)[places] / 2
+        return places, start
+
+
 def fit(train: DataFrame, start: np.ndarray) -> np.ndarray:
     """Weights after ``STEPS`` steps of Adam over all rows of ``train`` (``y``, ``active``)."""
     values, mean, square = start, np.zeros_like(start), np.zeros_like(start)
     for step in range(1, STEPS + 1):
-        parts = train.mapInArrow(batch_task("toxicity", "gradient_sums", values.tobytes()), "sums binary")
-        sums = parts.rdd.map(lambda row: np.frombuffer(row.sums)).treeReduce(lambda a, b: a + b, depth=2)
+        sums = _added(train.mapInArrow(batch_task("toxicity", "gradient_sums", values.tobytes()), "sums binary"))
         slope = sums[:-1] / sums[-1]
         slope[1:] += DECAY * values[1:]
         mean, square = 0.9 * mean + 0.1 * slope, 0.99 * square + 0.01 * slope**2
@@ -165,6 +294,50 @@ def score_batches(batches: Iterator[pa.RecordBatch], active: list[int], values:
         yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(score)], names=["doc_id", "score"])
 
 
+def learn(
+    words: DataFrame, counts: list[tuple[int, float, int]], n: int, pos: float
+) -> tuple[list[int], np.ndarray]:
+    """Active terms and the weights of their machine.
+
+    ``words`` has ``y, terms`` of ``n`` texts, ``pos`` of them toxic; ``counts`` tells, for each
+    term in ascending order, the toxic texts and all texts that hold it.
+    """
+    draw = np.random.default_rng(11)
+    prior = math.log((pos + 0.5) / (n - pos + 0.5))
+    start: dict[int, np.ndarray] = {}  # weight and vector of each active term
+    if not 0 < pos < n or not counts:
+        return [], np.array([prior])
+    share = pos / n
+    for term, p, m in counts:
+        unusual = abs(p / m - share) > 2 * math.sqrt(share * (1 - share) / m)
+        if unusual and evidence(p, m - p, pos, n - pos) >= MIN_EVIDENCE:
+            odds = math.log((p + 0.5) / (m - p + 0.5)) - math.log((pos + 1) / (n - pos + 1))
+            start[term] = np.append(min(max(odds, -6), 6), draw.normal(0, 0.05, FACTORS))
+    kept = np.array([term for term, _, _ in counts], dtype=np.int64)
+    means = np.array([m for _, _, m in counts]) / n
+
+    for search in range(ROUNDS + 1):
+        active = sorted(start)
+        begin = np.array([start[term] for term in active]).reshape(-1, 1 + FACTORS)
+        values = np.concatenate([[prior], begin[:, 0], begin[:, 1:].ravel()])
+        if active:
+            task = batch_task("toxicity", "active_batches", active)
+            values = fit(stored(words.mapInArrow(task, "y double, active array<int>"), "active"), values)
+        if search == ROUNDS:
+            break
+        task = batch_task("toxicity", "residual_batches", kept, active, values.tobytes())
+        errors = stored(words.mapInArrow(task, "error double, learns boolean, places array<int>"), "errors")
+        places, vectors = PairSearch(errors, means).entering()
+        entered = False
+        for term, vector in zip(kept[places].tolist(), vectors):
+            if term not in start or search == 0:
+                entered = True
+                start[term] = start.get(term, np.zeros(1 + FACTORS)) + np.append(0, vector)
+        if not entered:
+            break
+    return active, values
+
+
 def fold_of(doc_id) -> F.Column:
     return F.crc32(doc_id.cast("string").cast("binary")) % FOLDS
 
@@ -182,7 +355,8 @@ def toxicity_scores(
 
     At most ``max_rows`` labelled rows teach, which bounds what is broadcast and the time of a
     step; all documents are scored. A NULL text counts as empty; an empty text has no
-    terms and gets the score of the constant. NULL labels and NULL ids teach nothing, repeated rows count as
+    terms and gets the score of the constant. Words in fewer than ``MIN_DOCS`` training texts
+    teach nothing. NULL labels and NULL ids teach nothing, repeated rows count as
     often as they occur (a NULL id is not held out). With no usable label every score is 0.5. An empty table
     gives no rows; other columns are ignored.
     """
@@ -205,26 +379,9 @@ def toxicity_scores(
         .groupBy("term")
         .agg(F.sum("y").alias("pos"), F.count("*").alias("n"))
         .filter(F.col("n") >= MIN_DOCS)
+        .collect()  # BUCKETS rows at most
     )
-    telling = []
-    if 0 < pos < n:  # buckets that occur with one label only are compared with the share of the label
-        share = pos / n
-        unusual = F.abs(F.col("pos") / F.col("n") - share) > 2 * F.sqrt(F.lit(share * (1 - share)) / F.col("n"))
-        telling = [
-            (int(term), p, m - p)
-            for term, p, m in counts.filter(unusual).collect()  # BUCKETS rows at most
-            if evidence(p, m - p, pos, n - pos) >= MIN_EVIDENCE
-        ]
-    telling.sort()
-    active = [term for term, _, _ in telling]
-    odds = [math.log((p + 0.5) / (q + 0.5)) - math.log((pos + 1) / (n - pos + 1)) for _, p, q in telling]
-    prior = math.log((pos + 0.5) / (n - pos + 0.5))
-    vectors = np.random.default_rng(11).normal(0, 0.05, len(active) * FACTORS)
-    start = np.concatenate([[prior], np.clip(odds, -6, 6), vectors])
-    values = start
-    if active:
-        task = batch_task("toxicity", "active_batches", active)
-        values = fit(stored(words.mapInArrow(task, "y double, active array<int>"), "active"), start)
+    active, values = learn(words, sorted((int(term), p, m) for term, p, m in counts), n, pos)
     scored = rows.mapInArrow(
         batch_task("toxicity", "score_batches", active, values.tobytes()), f"doc_id {id_type}, score double"
     )
