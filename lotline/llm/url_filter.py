@@ -11,6 +11,7 @@ orders are joined to one another, and each distinct url sums the ratios of its g
 
 from __future__ import annotations
 
+import math
 import string
 from dataclasses import dataclass
 
@@ -22,6 +23,8 @@ ORDER = 4  # characters of the longest context
 PRIOR = 2.0  # weight of the shorter context in counts
 ALPHABET = 256.0  # a character never seen has this share
 START, END = "\x02", "\x03"
+URLS_PER_TASK = 10_000  # distinct urls that a task cuts into grams
+FREQUENT = 10_000  # a gram is frequent from one in this many occurrences on, so at most this many are
 
 
 @dataclass(frozen=True)
@@ -73,10 +76,13 @@ def _first_rule(host: Column, path: Column, rules: tuple[Rule, ...], value) -> C
 def _grams(url: Column) -> Column:
     """The last ``ORDER`` + 1 characters at each character of a url and at its end."""
     padded = F.concat(F.array_repeat(F.lit(START), ORDER), F.split(url, ""), F.array(F.lit(END)))
-    chars = F.filter(padded, lambda c: c != "")
-    return F.transform(
-        F.sequence(F.lit(1), F.size(chars) - ORDER), lambda i: F.array_join(F.slice(chars, i, F.lit(ORDER + 1)), "")
-    )
+
+    def cut(chars: Column) -> Column:
+        starts = F.sequence(F.lit(1), F.size(chars) - ORDER)
+        return F.transform(starts, lambda i: F.array_join(F.slice(chars, i, F.lit(ORDER + 1)), ""))
+
+    # Bound to a name of its own, the list of characters is made once and not for every gram.
+    return F.flatten(F.transform(F.array(F.filter(padded, lambda c: c != "")), cut))
 
 
 def _model(grams: DataFrame) -> DataFrame:
@@ -130,27 +136,32 @@ def judge(pages: DataFrame, rules: tuple[Rule, ...] = RULES, *, page_id: str = "
     held_back = F.substring(F.md5(F.col("url").cast("binary")), 1, 1) < "3"
     key = [F.xxhash64("url").alias("k1"), F.xxhash64("url", F.lit(1)).alias("k2")]
     urls = rows.groupBy("url", "said").agg(F.count("*").alias("n"))
-    urls = urls.select(
-        *key,
-        "said",
-        "n",
-        (F.col("said").isNotNull() & held_back).alias("tells"),
-        _grams(F.col("url")).alias("grams"),
-    )
-    urls = stored(urls, "urls")
+    tells = (F.col("said").isNotNull() & held_back).alias("tells")
+    urls = stored(urls.select(*key, "url", "said", "n", tells), "urls")
+    # Urls are few bytes beside their grams: tasks are dealt by rows, not by size.
+    tasks = max(math.ceil(urls.count() / URLS_PER_TASK), 1)
+    urls = urls.repartition(tasks, "k1", "k2")
     teaches = F.col("said").isNotNull() & ~F.col("tells")
     exploded = urls.select(
-        F.explode("grams").alias("gram"),
+        F.explode(_grams(F.col("url"))).alias("gram"),
         *(
             F.when(teaches & (F.col("said") == said), F.col("n")).otherwise(0).alias(side)
             for said, side in (("allow", "accepted"), ("block", "rejected"))
         ),
     )
-    grams = stored(exploded.groupBy("gram").agg(F.sum("accepted").alias("accepted"), F.sum("rejected").alias("rejected")), "grams")
-    ratios = stored(_model(grams), "ratios")
-
-    judged = urls.filter(F.col("said").isNull() | F.col("tells")).select("k1", "k2", F.explode("grams").alias("gram"))
-    sums = judged.join(ratios, "gram").groupBy("k1", "k2").agg(F.avg("ratio").alias("ratio"))
+    sides = (F.sum(side).alias(side) for side in ("accepted", "rejected"))
+    grams = stored(exploded.groupBy("gram").agg(*sides, F.count("*").alias("seen")), "grams")
+    ratios = stored(_model(grams).join(grams.select("gram", "seen"), "gram"), "ratios")
+
+    # Every url holds the grams of its start: the frequent ones are sent to all tasks, the others joined.
+    least = (ratios.agg(F.sum("seen")).first()[0] or 0) / FREQUENT
+    often = F.broadcast(ratios.filter(F.col("seen") >= least).select("gram", "ratio"))
+    seldom = ratios.filter(F.col("seen") < least).select("gram", "ratio")
+    judged = urls.filter(F.col("said").isNull() | F.col("tells"))
+    judged = judged.select("k1", "k2", F.explode(_grams(F.col("url"))).alias("gram")).join(often, "gram", "left")
+    rest = judged.filter("ratio is null").drop("ratio").join(seldom, "gram")
+    found = judged.filter("ratio is not null").unionByName(rest)
+    sums = found.groupBy("k1", "k2").agg(F.avg("ratio").alias("ratio"))
     scores = stored(
         urls.select("k1", "k2", "said", "n").join(sums, ["k1", "k2"]).select("k1", "k2", "said", "n", "ratio"), "scores"
     )

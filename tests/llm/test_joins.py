@@ -273,3 +273,21 @@ def test_url_models_tell_the_sides_apart(spark):
     pages = spark.createDataFrame(list(enumerate([*good, *bad, *new])), "page_id long, url string")
     got = {r.page_id: r.verdict for r in url_filter.judge(pages).collect()}
     assert (got[300], got[301]) == ("block", "allow")
+
+
+def test_url_odds_do_not_depend_on_how_grams_are_met(spark, monkeypatch):
+    rng = random.Random(6)
+    urls = [f"https://s{rng.randrange(40)}.{rng.choice(['com/fr', 'com/de', 'net'])}/{rng.randrange(50)}" for _ in range(120)]
+    pages = spark.createDataFrame(list(enumerate(urls + ["http://hot.net/a"] * 500)), "page_id long, url string")
+
+    def odds():
+        return {r.page_id: (r.verdict, r.log_odds) for r in url_filter.judge(pages).collect()}
+
+    expected = odds()
+    assert len(expected) == 620
+    for frequent, per_task in ((1, 10_000), (50, 7)):
+        monkeypatch.setattr(url_filter, "FREQUENT", frequent)
+        monkeypatch.setattr(url_filter, "URLS_PER_TASK", per_task)
+        got = odds()
+        assert {i: v for i, (v, _) in got.items()} == {i: v for i, (v, _) in expected.items()}
+        assert all(x == pytest.approx(expected[i][1], abs=2e-6) for i, (_, x) in got.items() if x is not None)
