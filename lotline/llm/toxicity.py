@@ -2,10 +2,11 @@
 
 Each text is the set of its hashed words. The machine learns a weight per term and a
 short vector per term whose products weigh pairs of terms. Terms that tell alone enter by
-a likelihood ratio. Terms that tell only beside others enter by the pairs: over all terms,
-block power iteration finds the directions in which pairs of terms agree most with the
-errors that are left, on one half of the training texts, and a term enters when the other
-half confirms it. The sums of all passes are taken by partition and added in a tree.
+a likelihood ratio. Terms that tell only beside others enter by the pairs: block power
+iteration over all terms that can be confirmed finds the directions in which pairs of terms
+agree most with the errors that are left, on one half of the training texts, and a term
+enters when the other half confirms it. The sums of all passes are taken by partition and
+added in a tree.
 """
 
 from __future__ import annotations
@@ -200,7 +201,7 @@ def pair_sums(
 
 
 def _added(parts: DataFrame) -> np.ndarray:
-    return parts.rdd.map(lambda row: np.frombuffer(row.sums)).treeReduce(lambda a, b: a + b, depth=3)
+    return parts.rdd.map(lambda row: np.frombuffer(row.sums)).treeReduce(lambda a, b: a + b, depth=2)
 
 
 class PairSearch:
@@ -211,8 +212,8 @@ class PairSearch:
     drown the others. The entry of a term with itself is left out.
     """
 
-    def __init__(self, errors: DataFrame, means: np.ndarray):
-        self.errors, self.means = errors, means
+    def __init__(self, errors: DataFrame, means: np.ndarray, bar: float = 5.0):
+        self.errors, self.means, self.bar = errors, means, bar
         self.scale = np.maximum(means * (1 - means), 1e-12) ** -0.25
         self.middle = errors.agg(F.avg("error")).first()[0]
 
@@ -253,8 +254,7 @@ class PairSearch:
             return np.zeros(0, np.int64), np.zeros((0, FACTORS))
         found = basis @ turn[:, best]
         product, deviation = self.confirmed(found)
-        bar = NormalDist().inv_cdf(1 - CHANCE / (n_terms * len(best)))
-        sure = np.sign(found) * product > bar * deviation
+        sure = np.sign(found) * product > self.bar * deviation
         places = np.flatnonzero(sure.any(axis=1))
         start = np.zeros((len(places), FACTORS))
         start[:, : len(best)] = np.where(sure, found / np.abs(found).max(axis=0), 0)[places] / 2
@@ -313,8 +313,13 @@ def learn(
         if unusual and evidence(p, m - p, pos, n - pos) >= MIN_EVIDENCE:
             odds = math.log((p + 0.5) / (m - p + 0.5)) - math.log((pos + 1) / (n - pos + 1))
             start[term] = np.append(min(max(odds, -6), 6), draw.normal(0, 0.05, FACTORS))
-    kept = np.array([term for term, _, _ in counts], dtype=np.int64)
-    means = np.array([m for _, _, m in counts]) / n
+    # A sum of m products is at most the root of m times the root of the sum of their squares (texts without
+    # a term add next to nothing when it is rare): a term in fewer texts than the square of the bar cannot
+    # pass it, and takes no part in the search.
+    bar = NormalDist().inv_cdf(1 - CHANCE / (len(counts) * FACTORS))
+    searched = [(term, m) for term, _, m in counts if m >= bar**2]
+    kept = np.array([term for term, _ in searched], dtype=np.int64)
+    means = np.array([m for _, m in searched]) / n
 
     for search in range(ROUNDS + 1):
         active = sorted(start)
@@ -323,11 +328,11 @@ def learn(
         if active:
             task = batch_task("toxicity", "active_batches", active)
             values = fit(stored(words.mapInArrow(task, "y double, active array<int>"), "active"), values)
-        if search == ROUNDS:
+        if search == ROUNDS or not searched:
             break
         task = batch_task("toxicity", "residual_batches", kept, active, values.tobytes())
         errors = stored(words.mapInArrow(task, "error double, learns boolean, places array<int>"), "errors")
-        places, vectors = PairSearch(errors, means).entering()
+        places, vectors = PairSearch(errors, means, bar).entering()
         entered = False
         for term, vector in zip(kept[places].tolist(), vectors):
             if term not in start or search == 0:
