@@ -208,35 +208,6 @@ def test_toxicity_on_held_out_documents(spark):
     assert sum(r.predicted for r in rows if not r.toxic) <= 1
 
 
-def pair_texts(n, seed):
-    """Texts that are toxic when "grum" and "pelk" are both there or both missing, among words without meaning."""
-    draw = random.Random(seed)
-    rows = []
-    for i in range(n):
-        a, b = draw.random() < 0.5, draw.random() < 0.5
-        words = ["grum"] * a + ["pelk"] * b + [f"w{int(draw.paretovariate(0.6)) % 400}" for _ in range(15)]
-        draw.shuffle(words)
-        rows.append((i, " ".join(words), int(a == b)))
-    return rows
-
-
-def test_toxicity_learns_pairs_of_terms_that_do_not_tell_alone(frame):
-    rows = pair_texts(6000, 1)
-    docs, labels = frame([r[:2] for r in rows], "doc_id long, text string"), frame([r[::2] for r in rows], "doc_id long, toxic int")
-    truth = {i: toxic for i, _, toxic in rows}
-    held_out = [r for r in toxicity.toxicity_scores(docs, labels).collect() if r.held_out]
-    assert len(held_out) > 1500
-    assert sum((r.score >= 0.5) == truth[r.doc_id] for r in held_out) > 0.95 * len(held_out)
-
-
-def test_toxicity_takes_no_pairs_where_labels_are_drawn(frame):
-    draw = random.Random(4)
-    rows = [(i, text, int(draw.random() < 0.5)) for i, text, _ in pair_texts(3000, 2)]
-    docs, labels = frame([r[:2] for r in rows], "doc_id long, text string"), frame([r[::2] for r in rows], "doc_id long, toxic int")
-    scores = {r.score for r in toxicity.toxicity_scores(docs, labels).collect()}
-    assert len(scores) <= 4
-
-
 def test_machine_adds_products_over_all_pairs():
     rng = np.random.default_rng(1)
     machine = toxicity.Machine(rng.normal(size=1 + 5 * (1 + toxicity.FACTORS)))
@@ -247,21 +218,6 @@ def test_machine_adds_products_over_all_pairs():
         assert got == pytest.approx(machine.constant + sum(machine.linear[a] for a in text) + pairs)
 
 
-def test_pair_search_multiplies_by_the_matrix_of_pairs(frame):
-    rng = np.random.default_rng(2)
-    held = rng.random((40, 6)) < rng.uniform(0.2, 0.8, 6)
-    rows = [(float(rng.normal()), i % 2 == 0, np.flatnonzero(h).tolist()) for i, h in enumerate(held)]
-    means = held.mean(axis=0)
-    search = toxicity.PairSearch(frame(rows, "error double, learns boolean, places array<int>").repartition(3), means)
-    vectors = rng.normal(size=(6, 3))
-    scaled = (held - means) * search.scale
-    weight = np.array([(e - search.middle) / max(len(places), 1) for e, _, places in rows])
-    for half, got in ((True, search.times(vectors)), (False, search.confirmed(vectors)[0])):
-        use = np.array([learns == half for _, learns, _ in rows])
-        matrix = (scaled[use] * weight[use, None]).T @ scaled[use]
-        assert got == pytest.approx((matrix - np.diag(np.diag(matrix))) @ vectors)
-
-
 def test_isotonic_pools():
     assert quality.isotonic([(0, 1, 0.0), (1, 1, 1.0), (2, 1, 0.0), (3, 2, 2.0)]) == ([0, 1.5, 3], [0, 0.5, 1])
 
