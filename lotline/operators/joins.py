@@ -21,6 +21,9 @@ HOT_SHARE = 0.01
 TRACKED = 16
 MOST_TRACKED = 1_000_000
 
+# Tasks that ``spread`` deals rows out to, per task of other shuffles.
+SPREAD = 4
+
 # Bits of the set that a window keeps of its keys: 16 MB, in words of 64 bits, whatever the number of keys.
 BITS = 1 << 27
 
@@ -34,6 +37,14 @@ def _key_hash(df: DataFrame, keys: Sequence[str]) -> Column:
     return F.when(~missing, F.xxhash64(*plain))
 
 
+def spread(df: DataFrame, keys: Sequence[str], times: int = SPREAD) -> DataFrame:
+    """``df`` dealt out by ``keys`` to ``times`` as many tasks as other shuffles, which are not merged at run time.
+
+    For steps that hold tables of their rows in memory; joins and groups by these keys need no further shuffle.
+    """
+    return df.repartition(times * int(df.sparkSession.conf.get("spark.sql.shuffle.partitions")), *keys)
+
+
 class Window:
     """Rows of a short period or selection that a report joins to whole tables.
 

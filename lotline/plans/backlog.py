@@ -9,7 +9,7 @@ from pyspark.sql import Column, DataFrame, functions as F
 
 from lotline.functions import amounts, clock, codes
 from lotline.operators.filters import differs_or_missing
-from lotline.operators.joins import Window, first_per_key, lookup_merge, require_unique, salted_join
+from lotline.operators.joins import Window, first_per_key, lookup_merge, require_unique, salted_join, spread
 
 # Codes of eligible orders.
 ORIGIN_BRANCH = 2650
@@ -69,6 +69,8 @@ BACKLOG_COLUMNS = (
 )
 
 ORDER_KEYS = ["codfil", "tipoped", "numpedven"]
+# Those of the order keys that the report shows as they are; the kind is shown by its label.
+LINE_KEYS = ["codfil", "numpedven"]
 
 # Columns of an order and of its goods that tell two lines apart.
 ORDER_COLUMNS = (
@@ -144,11 +146,17 @@ def listed(released_only: bool = True) -> Column:
 
 
 def release_time(orders: DataFrame, site_time: DataFrame) -> DataFrame:
-    """Add ``dtlibfat_mod``: first site movement for site orders, own time for others."""
-    first = site_time.groupBy("numpedven").agg(F.min("dthora_int").alias("_site"))
+    """Add ``dtlibfat_mod``: first site movement for site orders, own time for others.
+
+    Movements get the branch of the site, so that they meet site orders only, and by ``LINE_KEYS``,
+    by which the orders stay dealt out for their lines. One without time tells nothing and gets none.
+    """
+    branch = F.when(F.col("dthora_int").isNotNull(), SITE_BRANCH)
+    moved = spread(site_time.select("numpedven", "dthora_int", branch.alias("codfil")), LINE_KEYS)
+    first = moved.groupBy(*LINE_KEYS).agg(F.min("dthora_int").alias("_site"))
     from_site = F.col("codfil") == SITE_BRANCH
     chosen = F.when(from_site, F.col("_site")).otherwise(F.col("hrpedido"))
-    joined = orders.join(first, "numpedven", "left")
+    joined = spread(orders, LINE_KEYS).join(first, LINE_KEYS, "left")
     return joined.withColumn("dtlibfat_mod", clock.to_second(chosen)).drop("_site")
 
 
@@ -210,8 +218,8 @@ def goods(t: BacklogTables, origin: int = ORIGIN_BRANCH) -> DataFrame:
 
 
 def listed_orders(t: BacklogTables, origin: int = ORIGIN_BRANCH, released_only: bool = True) -> Window:
-    """Orders the backlog is about; they also tell which rows of other tables matter."""
-    return Window(t.order.filter(eligible(origin) & listed(released_only)), ORDER_KEYS)
+    """Orders the backlog is about; they also tell which items and reservations matter."""
+    return Window(t.order.filter(eligible(origin) & listed(released_only)), ORDER_KEYS, ["codreserva"])
 
 
 def backlog_lines(
@@ -219,19 +227,25 @@ def backlog_lines(
 ) -> DataFrame:
     """Distinct lines of the chosen orders; kits and plain items are distinct apart.
 
-    Items of other orders are dropped first, and both kinds share one join to the
-    orders. The rows are made distinct on all their columns, which combines copies
-    before the shuffle and spreads hot orders; columns of one side travel as a struct,
-    which keeps the generated code of that step short.
+    Items of other orders are dropped first, and both kinds meet the goods while they are
+    narrow, then the orders in one join. That join deals the lines out by ``LINE_KEYS``, with the
+    few kinds of an order number told apart within: equal lines agree in these keys, so they
+    are made distinct where they are, without a shuffle of the whole lines. Columns of one
+    side travel as a struct, which keeps the generated code of that step short.
     """
     orders = release_time(with_lot_flags(chosen.rows, t.lot, salts), t.site_time)
     orders = orders.join(t.mode.select("codmodal", F.col("descricao").alias("modalidade")), "codmodal", "left")
     orders = orders.withColumn("tipo_pedido", codes.decode_values(F.col("tipoped"), ORDER_KINDS))
-    orders = orders.select(*ORDER_KEYS, F.struct(*ORDER_COLUMNS).alias("ordered"))
+    orders = orders.select(*LINE_KEYS, F.col("tipoped").alias("kind"), F.struct(*ORDER_COLUMNS).alias("ordered"))
     stock = goods(t, origin).select("coditprod", "codembal", F.struct(*GOODS_COLUMNS).alias("good"))
     items = chosen.cut(order_items(t.item, t.kit_item), ORDER_KEYS)
-    lines = salted_join(items, orders, ORDER_KEYS, salts=salts).join(stock, ["coditprod", "codembal"])
-    lines = lines.select("ordered", "good", "kit", "coditprod", "qtcomp", "precounit").distinct()
+    stocked = items.join(stock, ["coditprod", "codembal"])
+    if salts < 2:
+        stocked = spread(stocked, LINE_KEYS)
+    lines = salted_join(stocked, orders, LINE_KEYS, salts=salts)
+    # As a range the equality stays out of the keys that deal out the rows.
+    lines = lines.filter(F.col("tipoped").between(F.col("kind"), F.col("kind")))
+    lines = lines.select(*LINE_KEYS, "ordered", "good", "kit", "coditprod", "qtcomp", "precounit").distinct()
     return lines.select("ordered.*", "good.*", "coditprod", "qtcomp", "precounit")
 
 
@@ -310,10 +324,11 @@ def order_backlog(
     """Open order lines with status, route, supply situation, volume and value."""
     routes = route_of_area(t.area, t.area_route, t.route)
     chosen = listed_orders(t, origin, released_only)
+    reservations = chosen.cut(t.reservation, ["codreserva"])
     lines = (
         with_lot_state(backlog_lines(t, chosen, origin=origin, salts=salts))
         .join(routes, "praca", "left")
-        .join(first_reservations(t.reservation), ["codreserva", "coditprod"], "left")
+        .join(first_reservations(reservations), ["codreserva", "coditprod"], "left")
     )
     latest = clock.latest_of(F.col("dtlibfat_mod"), F.col("dtpedido"), F.col("dtentrega"))
     derived = lines.withColumns(

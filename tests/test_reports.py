@@ -260,6 +260,44 @@ def test_backlog_branches_are_distinct_apart(spark):
     assert sorted(rows(once), key=str) == sorted(rows(twice), key=str)
 
 
+def test_equal_lines_of_two_kinds_are_one(spark):
+    """Kinds without label look alike: their lines are equal, but an item meets orders of its own kind only."""
+    t = reports.tables(Views(spark, SF_DIR))
+    kinds = {"tipoped": F.lit(7)}
+    other = {name: getattr(t, name).filter("tipoped = 1").withColumns(kinds) for name in ("order", "item", "kit_item")}
+    once = sorted(rows(backlog.backlog_lines(t, backlog.listed_orders(t))), key=str)
+    for added in (other, {"order": other["order"]}, {"item": other["item"], "kit_item": other["kit_item"]}):
+        more = {name: getattr(t, name).unionByName(df) for name, df in added.items()}
+        x = backlog.BacklogTables(**{**t.__dict__, **more})
+        assert sorted(rows(backlog.backlog_lines(x, backlog.listed_orders(x))), key=str) == once
+
+
+def test_whole_lines_are_not_shuffled_to_be_distinct(spark):
+    t = reports.tables(Views(spark, SF_DIR))
+    settings = {"spark.sql.adaptive.enabled": "false", "spark.sql.autoBroadcastJoinThreshold": "-1"}
+    before = {name: spark.conf.get(name) for name in settings}
+    for name, value in settings.items():
+        spark.conf.set(name, value)
+    try:
+        plan = backlog.backlog_lines(t, backlog.listed_orders(t))._jdf.queryExecution().executedPlan().toString()
+    finally:
+        for name, value in before.items():
+            spark.conf.set(name, value)
+    dealt = [line for line in plan.split("\n") if "Exchange hashpartitioning" in line]
+    assert dealt and not any("ordered#" in line for line in dealt)
+
+
+def test_site_movements_meet_site_orders_only(spark):
+    orders = spark.createDataFrame(
+        [(200, 1, "2024-01-01 08:00:00"), (300, 1, "2024-01-02 08:00:00"), (200, 2, "2024-01-03 08:00:00"), (200, None, None)],
+        "codfil int, numpedven long, hrpedido string",
+    ).withColumn("hrpedido", F.col("hrpedido").cast("timestamp"))
+    moves = spark.createDataFrame([(1, "2024-02-02 08:00:00"), (1, "2024-02-01 08:00:00"), (2, None), (None, "2024-02-01 08:00:00")], "numpedven long, at string")
+    told = backlog.release_time(orders, moves.select("numpedven", F.col("at").cast("timestamp").alias("dthora_int")))
+    got = {(r.codfil, r.numpedven): str(r.dtlibfat_mod) for r in told.collect()}
+    assert got == {(200, 1): "2024-02-01 08:00:00", (300, 1): "2024-01-02 08:00:00", (200, 2): "None", (200, None): "None"}
+
+
 def test_backlog_is_the_same_salted_and_cut(spark):
     v = Views(spark, SF_DIR)
     plain = sorted(rows(reports.orders_listed(v)), key=str)
