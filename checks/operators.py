@@ -551,9 +551,7 @@ def _(v):
     f"""select coditprod, count(distinct numpedven) pedidos, {n6('sum(qtcomp)')} pecas from erp_item group by 1""",
 )
 def _(v):
-    return v.erp_item.groupBy("coditprod").agg(
-        F.countDistinct("numpedven").alias("pedidos"), F.sum("qtcomp").alias("pecas")
-    )
+    return aggregates.distinct_counts(v.erp_item, "coditprod", "numpedven", "pedidos", {"pecas": "qtcomp"})
 
 
 @check("nunique_global", "select count(distinct numlote) lotes from erp_order where sitcarga = 2")

@@ -6,6 +6,8 @@ from collections.abc import Mapping, Sequence
 
 from pyspark.sql import Column, DataFrame, functions as F
 
+from lotline.operators.joins import spread
+
 TOTAL = "Total"
 
 
@@ -14,6 +16,19 @@ def group_sums(df: DataFrame, key: str, measures: Mapping[str, str]) -> DataFram
     return df.groupBy(key).agg(*(F.sum(col).alias(name) for name, col in measures.items()))
 
 
+def distinct_counts(df: DataFrame, key: str, counted: str, name: str, measures: Mapping[str, str]) -> DataFrame:
+    """Number of different values of ``counted`` (NULL is none) and sums, by ``key``.
+
+    Each pair of both is summed up first. A count of distinct values would hold three tables of pairs in one
+    task, beside the rows of a join before it; here the pairs are ``spread``, so that a task holds the tables
+    of its few pairs only.
+    """
+    rows = df.select(key, counted, *dict.fromkeys(col for col in measures.values() if col not in (key, counted)))
+    pairs = spread(rows, [key, counted]).groupBy(key, counted)
+    pairs = pairs.agg(*(F.sum(col).alias(f"_{m}") for m, col in measures.items()))
+    return pairs.groupBy(key).agg(F.count(counted).alias(name), *(F.sum(f"_{m}").alias(m) for m in measures))
+
+
 def conditional_sum(condition: Column, value: Column) -> Column:
     """Sum of ``value`` where the condition holds, 0 elsewhere."""
     return F.sum(F.when(condition, value).otherwise(0))

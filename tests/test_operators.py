@@ -3,7 +3,11 @@
 import pytest
 from pyspark.sql import functions as F
 
+import checks.operators  # noqa: F401
+from checks.registry import BUILDERS
+from checks.views import Views
 from lotline.operators import aggregates, filters, joins, ordering
+from tests.conftest import SF_DIR
 
 
 def rows(df):
@@ -196,3 +200,14 @@ def test_recent_rows_reach_the_scan(spark):
     df = spark.read.parquet("/root/testdata/sf0.001/orders.parquet")
     plan = filters.recent_rows(df, "o_orderdate", "2001-01-01", 5)._jdf.queryExecution().executedPlan().toString()
     assert "GreaterThanOrEqual(o_orderdate,2000-12-27T00:00)" in plan
+
+
+def test_distinct_counts_hold_few_pairs_in_a_task(spark):
+    pairs = [("a", 1, 2), ("a", 1, 3), ("a", None, 5), ("b", None, None), (None, 4, 1), (None, 5, 1), ("a", 2, 1)]
+    df = spark.createDataFrame(pairs, "k string, v int, q int")
+    found = aggregates.distinct_counts(df, "k", "v", "n", {"total": "q"})
+    assert sorted(rows(found), key=str) == sorted([("a", 2, 11), ("b", 0, None), (None, 2, 2)], key=str)
+    assert rows(aggregates.distinct_counts(df.limit(0), "k", "v", "n", {"total": "q"})) == []
+    tasks = 4 * int(spark.conf.get("spark.sql.shuffle.partitions"))
+    query = BUILDERS["nunique_by_group"](Views(spark, SF_DIR))
+    assert f", {tasks}), REPARTITION_BY_NUM" in query._jdf.queryExecution().executedPlan().toString()
