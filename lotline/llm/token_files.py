@@ -13,8 +13,8 @@ document, in ids from the start of the block), ``words`` the packed ids.
 from __future__ import annotations
 
 import os
+import struct
 import zlib
-from array import array
 from collections.abc import Iterator
 
 import numpy as np
@@ -42,6 +42,8 @@ MARK = "\x00"
 JOINED_WORDS = 30
 CLOSING = ",.!"
 
+_PACKED = struct.Struct("<I")
+
 _tokenizers: dict[str, WordIds] = {}
 
 
@@ -93,19 +95,27 @@ class WordIds:
         Letters before one closing mark are a word of their own to the tokenizer. Latin
         letters alone are one piece to its splitter; their bytes go to its merges at once.
         """
-        closed = [word for word in words if word[-1] in self.closing and word[:-1].isalpha()]
-        bare = {word[:-1] for word in closed}.difference(self.known)
-        words = bare.union(words).difference(closed)
-        simple = [word for word in words if word.isascii() and word.isalpha()]
-        split = self.tokenizer.model.tokenize
-        self.known.update((word, array("I", [token.id for token in split(word)]).tobytes()) for word in simple)
-        rest = words.difference(simple)
-        latin = [word for word in rest if _is_latin(word)]
-        letters = (word.lower().encode("utf-8").decode("latin-1").translate(BYTE_LETTERS) for word in latin)
-        self.known.update((word, array("I", [t.id for t in split(one)]).tobytes()) for word, one in zip(latin, letters))
-        self._encode_words(list(rest.difference(latin)))
-        find, closing = self.known.__getitem__, self.closing
-        self.known.update((word, find(word[:-1]) + closing[word[-1]]) for word in closed)
+        closing, known = self.closing, self.known
+        closed, open_words = [], []
+        for word in words:
+            (closed if word[-1] in closing and word[:-1].isalpha() else open_words).append(word)
+        bare = {word[:-1] for word in closed}.difference(known)
+        rest, split, pack = [], self.tokenizer.model.tokenize, _PACKED.pack
+        for word in bare.union(open_words):
+            if not word.isalpha():
+                rest.append(word)
+                continue
+            if word.isascii():
+                piece = word
+            elif _is_latin(word):
+                piece = word.lower().encode("utf-8").decode("latin-1").translate(BYTE_LETTERS)
+            else:
+                rest.append(word)
+                continue
+            known[word] = b"".join([pack(token.id) for token in split(piece)])
+        self._encode_words(rest)
+        for word in closed:
+            known[word] = known[word[:-1]] + closing[word[-1]]
 
     def _encode_words(self, words: list[str]) -> None:
         plain = [word for word in words if MARK not in word]
