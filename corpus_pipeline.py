@@ -16,6 +16,8 @@ from lotline.llm.common import read, stored
 from lotline.llm.queries import MIX_WEIGHTS
 from lotline.sources.snapshots import scratch_dir
 
+PLACE = {"slot": "long", "share": "string", "place": "long"}
+
 
 def quality_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that the classifier accepts; it learns from the labelled ones among ``docs``."""
@@ -36,20 +38,29 @@ def secrets_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFram
 
 
 def mixing_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """All documents; each stored file holds its blocks in the order of the mixed stream."""
+    """All documents; each stored file holds its blocks in the order of the mixed stream.
+
+    The schedule goes on to the next stage as metadata of ``source``, since rows of stored tables have no order.
+    """
     mixed = mixing.mix(docs, MIX_WEIGHTS, keep=tuple(docs.columns))
-    return mixed.sortWithinPartitions("slot", "share", "place").select(*docs.columns)
+    ordered = mixed.sortWithinPartitions("slot", "share", "place").select(*docs.columns)
+    return mixing.with_schedule(ordered, MIX_WEIGHTS)
 
 
 def tokens_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Token ids of every document, with a decoding of each and its place in the mixed stream.
 
-    ``ORDER BY slot, place`` is the stream. Rows of stored tables have no order, so the places
-    are told again; they depend on the set of documents only.
+    ``ORDER BY slot, place`` is the stream. The schedule is the one that the mixing stage handed on; the places
+    follow from it and the set of documents. Documents without a schedule are in no stream: their ``slot``,
+    ``share`` and ``place`` are NULL.
     """
-    mixed = mixing.mix(docs, MIX_WEIGHTS, keep=tuple(docs.columns))
+    schedule = mixing.schedule_of(docs)
+    if schedule is None:
+        placed = docs.withColumns({name: F.lit(None).cast(kind) for name, kind in PLACE.items()})
+    else:
+        placed = mixing.mix(docs, **schedule, keep=tuple(docs.columns))
     ranks = public_tokenizers.path("byte_bpe_50k.tiktoken")
-    return bpe.tokens(mixed, ranks, public_tokenizers.PATTERN, keep=("slot", "share", "place"))
+    return bpe.tokens(placed, ranks, public_tokenizers.PATTERN, keep=tuple(PLACE))
 
 
 STAGES = [

@@ -20,6 +20,8 @@ BLOCK_DOCS = 8
 # Documents per cell and cells per group of cells, when the rows of a source are numbered.
 CELL_ROWS = 256
 GROUP_CELLS = 512
+# Key of the schedule in the metadata of the source column.
+SCHEDULE = "mixing"
 
 
 def period(weights: Mapping[str, int]) -> list[tuple[str, int, int]]:
@@ -41,6 +43,23 @@ def period(weights: Mapping[str, int]) -> list[tuple[str, int, int]]:
     return plan
 
 
+def with_schedule(
+    docs: DataFrame, weights: Mapping[str, int], *, source: str = "source", block_docs: int = BLOCK_DOCS
+) -> DataFrame:
+    """``docs`` with the schedule as metadata of the column ``source``, which Parquet files keep; rows stay as they are."""
+    schedule = {"weights": dict(weights), "block_docs": block_docs}
+    return docs.withMetadata(source, _metadata(docs, source) | {SCHEDULE: schedule})
+
+
+def schedule_of(docs: DataFrame, source: str = "source") -> dict | None:
+    """``weights`` and ``block_docs`` that ``with_schedule`` handed on; None where it did not, or the metadata is lost."""
+    return _metadata(docs, source).get(SCHEDULE)
+
+
+def _metadata(docs: DataFrame, column: str) -> dict:
+    return docs.select(F.col(f"`{column}`")).schema[0].metadata
+
+
 def _hash(doc_id: Column) -> Column:
     return F.md5(F.coalesce(doc_id.cast("string"), F.lit("")).cast("binary"))
 

@@ -278,6 +278,35 @@ def test_pipeline_tells_the_mixed_stream(spark, frame):
     ]
 
 
+def test_the_mixing_stage_decides_the_stream(spark, frame, monkeypatch):
+    rows = [(i, f"text {i}", None, f"src{i % 3}" if i % 9 else None, 7) for i in range(200)]
+    docs = frame(rows, "doc_id long, text string, lang string, source string, n_chars long")
+    stages, weights = dict(corpus_pipeline.STAGES), {"src0": 1, "src1": 3, mixing.REST: 2}
+
+    def places(table):
+        return {r.doc_id: (r.slot, r.share, r.place) for r in stages["tokens"](spark, table, SF_DIR).collect()}
+
+    with monkeypatch.context() as other:
+        other.setattr(corpus_pipeline, "MIX_WEIGHTS", weights)
+        path = scratch_dir(spark, "mixed")
+        stages["mixing"](spark, docs, SF_DIR).write.parquet(path)
+    stored = spark.read.parquet(path)
+    assert stored.columns == docs.columns and sorted(stored.collect()) == sorted(docs.collect())
+    stream = {r.doc_id: (r.slot, r.share, r.place) for r in mixing.mix(docs, weights).collect()}
+    assert places(stored) == stream
+    again = stages["mixing"](spark, stored, SF_DIR)  # the last schedule counts
+    assert places(again) == {r.doc_id: (r.slot, r.share, r.place) for r in mixing.mix(docs, MIX_WEIGHTS).collect()}
+    assert places(docs) == dict.fromkeys(stream, (None, None, None))  # the stage left out
+
+
+def test_schedule_stays_with_the_source_column(frame):
+    docs = frame([(1, "a")], "doc_id long, source string").withMetadata("source", {"note": "kept"})
+    assert mixing.schedule_of(docs) is None
+    handed = mixing.with_schedule(docs, {"a": 3, mixing.REST: 2}, block_docs=4)
+    assert handed.columns == docs.columns and handed.schema["source"].metadata["note"] == "kept"
+    assert mixing.schedule_of(handed.repartition(3).filter("doc_id = 1")) == {"weights": {"a": 3, mixing.REST: 2}, "block_docs": 4}
+
+
 def test_one_row_of_each_group_stays(spark, frame):
     words = [f"w{i}" for i in range(60)]
     text, near, own = " ".join(words), " ".join([*words[:-1], "end"]), "a text of its own"
